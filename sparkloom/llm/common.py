@@ -71,7 +71,7 @@ class AtomicFile:
         self._fs, self._path = filesystem(uri)
         self._temp = f"{self._path}.{uuid.uuid4().hex}.tmp"
         self._fs.create_dir(os.path.dirname(self._path), recursive=True)
-        self._out = self._fs.open_output_stream(self._temp)
+        self._out = self._fs.open_output_stream(self._temp, compression=None)
 
     def write(self, data) -> None:
         self._out.write(data)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from sparkloom.llm import decontam, quality, secrets, sentpiece, simhash, tokens
+from sparkloom.llm import decontam, exact, quality, secrets, sentpiece, sharding, simhash, tokens, urls, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -34,6 +34,31 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of each page."""
+    return urls.judge(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written as archives and read back."""
+    found = warc.archives_roundtrip(_table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each document and of its edited text."""
+    return exact.fingerprints(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document."""
+    found = sharding.assign(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit(sharding.LAW).alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, and whether they decode to the text."""
     found = sentpiece.roundtrip(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
@@ -66,6 +91,10 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_tokens": op2_tokens,
+        "op3_urls": op3_urls,
+        "op4_warc": op4_warc,
+        "op5_fingerprints": op5_fingerprints,
+        "op6_sharding": op6_sharding,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_quality": op8_quality,
         "op9_secrets": op9_secrets,
