@@ -14,7 +14,8 @@ border, so a path whose neighbours all agree is the merge order's result, and th
 finite weight.
 
 Pieces never hold a marker after another character, so the lattice falls apart in front of each
-run of markers; equal parts have equal paths, which a bounded memory keeps.
+run of markers, and with byte fallback also between characters that no piece holds side by
+side; equal parts have equal paths, which a bounded memory keeps.
 
 Defined results: a null or empty text has no pieces and decodes to an empty text; characters
 that no piece covers become their UTF-8 bytes; decoding joins bytes and replaces those that are
@@ -38,7 +39,7 @@ _PARTS = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 # Piece types of the model format (fixed values).
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
-_MEMORY = 350_000
+_MEMORY = 400_000
 
 
 # Each byte that is not UTF-8 becomes one replacement character.
@@ -108,10 +109,14 @@ class Transducer:
         if any(_MARK in p.lstrip(_MARK) for p in self._id):
             raise NotImplementedError("pieces with white space inside")
         self._longest = max(map(len, self._id))
-        # Prefixes of pieces are the states of the piece transducer.
-        self._states = {p[:k] for p in self._id for k in range(1, len(p))}
-        self._agree: dict[tuple[str, str], bool] = {}
+        # Prefixes of pieces are the states of the piece transducer; true where a piece ends.
+        self._states = {p[:k]: False for p in self._id for k in range(1, len(p))} | dict.fromkeys(self._id, True)
+        # No merge joins two characters that no piece holds side by side.
+        self._inside = {p[i : i + 2] for p in self._id for i in range(len(p) - 1)}
+        self._agree: dict[str, dict[str, bool]] = {}
+        self._agreed = 0
         self._paths: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def normalise(self, text: str) -> str:
         """The text as it enters the lattice."""
@@ -151,47 +156,60 @@ class Transducer:
         return [p for p in parts if p is not None]
 
     def _fits(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b has weight 0 (for BPE)."""
-        known = self._agree.get((a, b))
-        if known is None:
-            if len(self._agree) > _MEMORY:
-                self._agree.clear()
-            known = self._agree[a, b] = self._merge(a + b) == [a, b]
+        """Whether the arc from piece a to piece b has weight 0 (for BPE); a is empty at the start."""
+        if self._agreed >= _MEMORY:
+            self._agree.clear()
+            self._agreed = 0
+        self._agreed += 1
+        known = self._merge(a + b) == ([a, b] if a else [b])
+        self._agree.setdefault(a, {})[b] = known
         return known
 
-    def _arcs(self, part: str, at: int):
-        """The pieces that begin at a place, longest first; the bare character stands for the fallback."""
-        found = []
-        end = at + 1
-        while True:
-            piece = part[at:end]
-            if piece in self._id or end == at + 1:
-                found.append(piece)
-            if end >= len(part) or piece not in self._states:
-                return found[::-1]
+    def _ends(self, part: str, at: int) -> list[int]:
+        """Where the pieces that begin at a place end, the longest last; a bare character stands for the fallback."""
+        states = self._states.get
+        ends, end, size = [at + 1], at + 2, len(part)
+        while end <= size:
+            found = states(part[at:end])
+            if found is None:
+                break
+            if found:
+                ends.append(end)
             end += 1
+        return ends
 
     def _path_bpe(self, part: str) -> list[str]:
-        """The one path of finite weight: depth first over states (place, last piece), dead ones remembered."""
-        size, dead = len(part), set()
+        """The one path of finite weight: depth first over states (place, last piece), longest arcs
+        first, dead states remembered."""
+        size, at, last = len(part), 0, ""
         path: list[str] = []
-        todo = [iter(self._arcs(part, 0))]
-        at = 0
-        fits = self._fits
+        dead: set[tuple[int, str]] = set()
+        todo: list[list[int]] = []
+        agree = self._agree
         while at < size:
-            for piece in todo[-1]:
-                if (at, piece) not in dead and (not path or fits(path[-1], piece)):
-                    if not path and len(piece) > 1 and self._merge(piece) != [piece]:
-                        continue
-                    path.append(piece)
-                    at += len(piece)
-                    todo.append(iter(self._arcs(part, at)) if at < size else iter(()))
-                    break
-            else:
-                todo.pop()
-                piece = path.pop()
-                at -= len(piece)
-                dead.add((at, piece))
+            ends = self._ends(part, at)
+            while True:
+                known = agree.get(last)
+                while ends:
+                    end = ends.pop()
+                    piece = part[at:end]
+                    fits = known.get(piece) if known is not None else None
+                    if fits is None:
+                        fits = self._fits(last, piece)
+                        known = agree.get(last)
+                    if fits and not (dead and (at, piece) in dead):
+                        break
+                else:
+                    last = path.pop()
+                    at -= len(last)
+                    dead.add((at, last))
+                    last = path[-1] if path else ""
+                    ends = todo.pop()
+                    continue
+                break
+            todo.append(ends)
+            path.append(piece)
+            last, at = piece, end
         return path
 
     def _path_unigram(self, part: str) -> list[str]:
@@ -199,7 +217,8 @@ class Transducer:
         worst = min(self.pieces[i][1] for i in self._id.values())
         best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * len(part)
         for at in range(len(part)):
-            for piece in self._arcs(part, at):
+            for end in self._ends(part, at):
+                piece = part[at:end]
                 weight = -self.pieces[self._id[piece]][1] if piece in self._id else 10.0 - worst
                 if best[at][0] + weight < best[at + len(piece)][0]:
                     best[at + len(piece)] = (best[at][0] + weight, at)
@@ -209,31 +228,54 @@ class Transducer:
             at = best[at][1]
         return path[::-1]
 
+    def _remember(self, part: str, ids: tuple[int, ...]) -> None:
+        """Keeps a path; of a full memory the older half is forgotten."""
+        if len(part) <= 64:
+            if len(self._paths) >= _MEMORY:
+                self._older, self._paths = self._paths, {}
+            self._paths[part] = ids
+
+    def _shortest(self, part: str) -> tuple[int, ...]:
+        """The ids of the shortest path of a part."""
+        path = self._path_bpe(part) if self._kind == _BPE else self._path_unigram(part)
+        out: list[int] = []
+        for piece in path:
+            if piece in self._id:
+                out.append(self._id[piece])
+            elif self._fallback:
+                out += [self._byte[b] for b in piece.encode("utf-8", "surrogatepass")]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return tuple(out)
+
     def _ids(self, part: str) -> tuple[int, ...]:
-        known = self._paths.get(part)
-        if known is None:
-            path = self._path_bpe(part) if self._kind == _BPE else self._path_unigram(part)
-            out: list[int] = []
-            for piece in path:
-                if piece in self._id:
-                    out.append(self._id[piece])
-                elif self._fallback:
-                    out += [self._byte[b] for b in piece.encode("utf-8", "surrogatepass")]
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
-            known = tuple(out)
-            if len(part) <= 64:
-                if len(self._paths) > _MEMORY:
-                    self._paths.clear()
-                self._paths[part] = known
+        """The ids of a part that is not in memory, cut where no piece crosses."""
+        known = self._older.get(part)
+        if known is not None:
+            self._remember(part, known)
+            return known
+        cuts = [0, *[i for i, pair in enumerate(map(str.__add__, part, part[1:]), 1) if pair not in self._inside], len(part)]
+        # Runs of unknown characters are one piece in models without bytes, so those are not cut.
+        if len(cuts) == 2 or not self._fallback:
+            known = self._shortest(part)
+        else:
+            found: list[int] = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = part[a:b]
+                ids = self._paths.get(own) or self._older.get(own)
+                if ids is None:
+                    ids = self._shortest(own)
+                    self._remember(own, ids)
+                found += ids
+            known = tuple(found)
+        self._remember(part, known)
         return known
 
     def encode(self, text: str | None) -> list[int]:
         """The piece ids of a text."""
         ids: list[int] = []
-        paths = self._paths
         for part in _PARTS.findall(self.normalise(text or "")):
-            ids += paths.get(part) or self._ids(part)
+            ids += self._paths.get(part) or self._ids(part)
         return ids
 
     def decode(self, ids) -> str:
