@@ -39,6 +39,7 @@ MARGIN = 0.05
 PRIOR = 40
 _SIGNS = ".,;:!?'\"-()/|%$#&*=+_@[]{}<>\\^~`"
 _MAX_LANGUAGES = 100_000
+_MERGE_CHARS = 4 << 20
 
 
 def class_table():
@@ -89,14 +90,24 @@ def gram_counts(trusted: DataFrame, codes_col: str = "codes") -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         held_g, held_n = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for batch in batches:
-            grams = [grams_of(np.frombuffer(unpack(x), dtype=np.uint8)) for x in batch.column(0).to_pylist() if x]
-            if not grams:
-                continue
-            g, n = np.unique(np.concatenate(grams), return_counts=True)
+        waiting, chars = [], 0
+
+        def merge():
+            nonlocal held_g, held_n, waiting, chars
+            g, n = np.unique(np.concatenate(waiting), return_counts=True)
             both, place = np.unique(np.concatenate([held_g, g]), return_inverse=True)
             held_n = np.bincount(place, weights=np.concatenate([held_n, n])).astype(np.int64)
-            held_g = both.astype(np.int32)
+            held_g, waiting, chars = both.astype(np.int32), [], 0
+
+        for batch in batches:
+            for codes in batch.column(0).to_pylist():
+                if codes:
+                    waiting.append(grams_of(np.frombuffer(unpack(codes), dtype=np.uint8)))
+                    chars += len(waiting[-1])
+                    if chars >= _MERGE_CHARS:
+                        merge()
+        if waiting:
+            merge()
         yield pa.RecordBatch.from_arrays([pa.array(held_g, pa.int32()), pa.array(held_n, pa.int64())], ["gram", "n"])
 
     return trusted.select(codes_col).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -124,8 +135,7 @@ class Model:
     """The tables of a trained model, each of a size bounded by CLASSES ** ORDER.
 
     grams and shares: the discounted share of each 4-gram that occurs; left: what each 3-gram
-    context leaves to the lower order; lower: the lower-order probability of each 3-gram;
-    mean: the trusted mean score.
+    context leaves to the lower order; lower: the lower-order probability of each 3-gram.
     """
 
     grams: object
@@ -137,8 +147,8 @@ class Model:
         """The negative log probability of each of the CLASSES ** ORDER 4-grams."""
         import numpy as np
 
-        p = self.left.reshape(-1, CLASSES, CLASSES, 1).astype(np.float32) * self.lower.reshape(1, CLASSES, CLASSES, CLASSES)
-        p = p.reshape(-1)
+        p = np.multiply.outer(np.ones(CLASSES, np.float32), self.lower.astype(np.float32)).reshape(-1)
+        p.reshape(-1, CLASSES)[:] *= self.left.astype(np.float32)[:, None]
         p[self.grams] += self.shares
         return -np.log(p, out=p)
 
