@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: The size of bitmaps that tell scans which rows to look at.
+BITMAP_BITS = 26
+
 _LOCAL_BASE: dict[str, str] = {}
 
 
@@ -48,6 +51,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def bitmap(places: DataFrame) -> bytes:
+    """2**BITMAP_BITS bits, set at the places (column `bit`, from 1 to 2**BITMAP_BITS)."""
+    import numpy as np
+
+    rows = places.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
+    for bucket, bits in rows.collect():  # at most 2**BITMAP_BITS / 32768 rows of 4 kB
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), dtype=np.uint8)
+    return out.tobytes()
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a path or of a URI with a scheme."""
     from pyarrow import fs

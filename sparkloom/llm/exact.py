@@ -28,9 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise
-
-BITMAP_BITS = 26
+from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise
 
 _PAIR_SCHEMA = (
     "kind int, part int, id bigint, ztext binary, n_chars bigint, edited_sha256 string, digest string, "
@@ -145,14 +143,7 @@ def _bit(digest_col: str):
 
 def repeated_bitmap(pairs: DataFrame) -> bytes:
     """A bit for each place that a digest that occurs more than once has."""
-    import numpy as np
-
-    spots = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_bit("digest").alias("bit"))
-    rows = spots.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
-    for bucket, bits in rows.collect():  # at most 2**BITMAP_BITS / 32768 rows of 4 kB
-        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), dtype=np.uint8)
-    return out.tobytes()
+    return bitmap(pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_bit("digest").alias("bit")))
 
 
 def collisions(docs: DataFrame, pairs: DataFrame, text_col: str, bits: int) -> DataFrame:

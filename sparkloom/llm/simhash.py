@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise
+from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise
 
 _CHUNK = 8192
 
@@ -76,10 +76,6 @@ def block_masks(max_bits: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _hamming(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of the edges (u, v), root being the smallest node reachable.
 
@@ -112,51 +108,62 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_components(distinct: DataFrame, max_bits: int, blocks: int) -> DataFrame:
-    """(fp, root) for the fingerprints of `distinct` (fp) that have a neighbour; root names the component."""
+def hamming_pairs(max_bits: int):
+    """A check of pairs (u, v) of fingerprints themselves."""
+    return lambda pairs: pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
+
+
+def near_components(nodes: DataFrame, max_bits: int, blocks: int, check) -> DataFrame:
+    """(node, root) for the nodes that have a neighbour; root names the component.
+
+    nodes: (node, fps): a distinct long and the node's fingerprints, one of each family.
+    check: keeps those of distinct pairs (u, v) that are links.
+    """
     masks = block_masks(max_bits, blocks)
-    keyed = distinct.select(
-        "fp",
-        F.explode(
-            F.array(*[F.struct(F.lit(i).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
-        ).alias("e"),
-    ).select("fp", "e.t", "e.k")
+    keys = F.flatten(F.transform("fps", lambda fp, j: F.array(*[F.xxhash64(j, F.lit(i), fp.bitwiseAND(m)) for i, m in enumerate(masks)])))
+    keyed = nodes.select("node", F.explode(keys).alias("bucket"))
     buckets = materialise(
-        keyed.groupBy("t", "k").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
         "simhash-buckets",
     )
-    members = materialise(keyed.join(buckets, ["t", "k"]), "simhash-members")
-    star = members.where(F.col("fp") != F.col("pivot")).where(_hamming("fp", "pivot") <= max_bits)
-    roots = connected(star.select(F.col("fp").alias("u"), F.col("pivot").alias("v")), "simhash-star")
-    roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    roots = materialise(roots, "simhash-roots")
-
-    placed = members.join(roots, members.fp == roots.node, "left").select(
-        "t", "k", "fp", F.coalesce("root", "fp").alias("comp")
-    )
+    members = materialise(keyed.join(buckets, "bucket"), "simhash-members")
+    star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    roots = connected(check(star), "simhash-star")
+    roots = materialise(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "simhash-roots")
+
+    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
     placed = materialise(placed, "simhash-placed")
-    sizes = placed.groupBy("t", "k", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max_by("comp", F.struct("n", "comp")).alias("main")
     mixed = materialise(
-        sizes.groupBy("t", "k").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps"),
-        "simhash-mixed",
-    )
-    inside = materialise(placed.join(mixed, ["t", "k"]), "simhash-inside")
-    stray = inside.where("comp <> main").select("t", "k", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
-    crossing = (
-        inside.join(stray, ["t", "k"])
-        .where("comp <> comp2")
-        .where(_hamming("fp", "fp2") <= max_bits)
-        .select(F.col("comp").alias("u"), F.col("comp2").alias("v"))
+        sizes.groupBy("bucket").agg(largest, F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps"), "simhash-mixed"
     )
+    inside = materialise(placed.join(mixed, "bucket"), "simhash-inside")
+    stray = inside.where("comp <> main").select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
+    # Links to the pivot are known already; of two strays one order is enough.
+    met = inside.join(stray, "bucket").where("comp <> comp2").where("comp = main or node < node2")
+    met = materialise(met.select(F.col("node").alias("u"), F.col("node2").alias("v"), "comp", "comp2").distinct(), "simhash-met")
+    linked = check(met.select("u", "v").distinct())
+    crossing = met.join(linked, ["u", "v"], "left_semi").select(F.col("comp").alias("u"), F.col("comp2").alias("v"))
     merged = connected(crossing, "simhash-cross")
     merged = merged.union(merged.select(F.col("root").alias("node"), "root").distinct())
     merged = materialise(merged.select(F.col("node").alias("comp"), F.col("root").alias("top")), "simhash-merged")
 
-    lone = merged.join(roots.select(F.col("node").alias("comp")), "comp", "left_anti")
-    grown = roots.select(F.col("node").alias("fp"), F.col("root").alias("comp")).unionByName(
-        lone.select(F.col("comp").alias("fp"), "comp")
+    lone = merged.join(roots.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), "comp")
+    grown = roots.select("node", F.col("root").alias("comp")).unionByName(lone)
+    return grown.join(merged, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
+
+
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) for the classes (node, least, n) that hold several rows or have a neighbour."""
+    grouped = materialise(
+        classes.join(roots, "node", "left")
+        .where("n > 1 or root is not null")
+        .select("node", F.coalesce("root", "node").alias("root"), "least"),
+        "simhash-grouped",
     )
-    return grown.join(merged, "comp", "left").select("fp", F.coalesce("top", "comp").alias("root"))
+    least = materialise(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    return materialise(grouped.join(least, "root").select("node", "component_id"), "simhash-named")
 
 
 def near_duplicates(
@@ -170,19 +177,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fp, component_id) for each row; component_id is the smallest id of its group."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-prints")
-    by_print = materialise(
-        prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct"
-    )
-    roots = materialise(near_components(by_print.select("fp"), max_bits, blocks), "simhash-components")
-    grouped = materialise(
-        by_print.join(roots, "fp", "left")
-        .where("n > 1 or root is not null")
-        .select("fp", F.coalesce("root", "fp").alias("root"), "least"),
-        "simhash-grouped",
+    classes = materialise(
+        prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct"
     )
-    least = materialise(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = materialise(grouped.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named, "fp", "left").select(
+    roots = near_components(classes.select("node", F.array("node").alias("fps")), max_bits, blocks, hamming_pairs(max_bits))
+    named = _named(classes, materialise(roots, "simhash-components"))
+    return prints.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
         "id", "fp", F.coalesce("component_id", "id").alias("component_id")
     )
 
@@ -192,13 +192,114 @@ def hex_fingerprint(column) -> "F.Column":
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
+def word_prints(docs: DataFrame, id_col: str, text_col: str, families: int) -> DataFrame:
+    """(id, words, fps): a 128-bit digest of the word sequence, and fingerprints of the set of words.
+
+    Each family has its own hash seed. A few edited words move a fingerprint of single words far
+    less than one of shingles, so that few families reach similar texts; what they bring
+    together by chance the shingles then part.
+    """
+    import pyarrow as pa
+
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            keys, prints = [], []
+            for text in batch.column(1).to_pylist():
+                words = (text or b"").lower().split()
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                once = b" ".join(dict.fromkeys(words))
+                prints.append([_fingerprint(once, 1, seed) for seed in range(families)])
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "words", "fps"])
+
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, words binary, fps array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(words, shingles array<bigint>) for the word digests of `wanted` (words), one row each.
+
+    The scan learns from a bitmap of fixed size which rows may be wanted, so no text is shuffled;
+    the few that pass by chance fall out in the join.
+    """
+    import pyarrow as pa
+
+    bit = F.conv(F.substring(F.hex("words"), 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(bit.alias("bit"))))
+
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        marks, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << BITMAP_BITS) - 1
+        for batch in batches:
+            keys, sets = [], []
+            for text in batch.column(0).to_pylist():
+                words = (text or b"").lower().split()
+                key = xxhash.xxh3_128_digest(b" ".join(words))
+                place = int.from_bytes(key[:4], "big") & mask
+                if marks[place // 8] >> (place % 8) & 1:
+                    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+                    keys.append(key)
+                    sets.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["words", "shingles"])
+
+    found = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "words binary, shingles array<bigint>")
+    return found.join(wanted, "words", "left_semi").dropDuplicates(["words"])
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    families: int = 4,
+    max_bits: int = 3,
+    blocks: int = 6,
+) -> DataFrame:
+    """(id, component_id) for each row: groups of texts whose sets of word shingles are similar.
+
+    Candidates are pairs of which one family's fingerprints differ in at most max_bits bits, met
+    by pigeonhole blocks; the shingle sets of the candidates then give their Jaccard similarity.
+    """
+    prints = materialise(word_prints(docs, id_col, text_col, families), "similar-prints")
+    classes = prints.groupBy("words").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fps").alias("fps"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "similar-classes")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "similar-pairs")
+        side = classes.select("node", "fps", "words")
+        for name in ("u", "v"):
+            own = side.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"), F.col("words").alias(f"words_{name}"))
+            pairs = materialise(pairs.join(own, name), "similar-sides")
+        near = F.exists(F.arrays_zip("fps_u", "fps_v"), lambda x: F.bit_count(x["fps_u"].bitwiseXOR(x["fps_v"])) <= max_bits)
+        pairs = materialise(pairs.where(near).select("u", "v", "words_u", "words_v"), "similar-near")
+        wanted = pairs.select(F.col("words_u").alias("words")).union(pairs.select(F.col("words_v").alias("words"))).distinct()
+        sets = materialise(shingle_sets(docs, text_col, materialise(wanted, "similar-wanted"), shingle), "similar-sets")
+        for name in ("u", "v"):
+            own = sets.select(F.col("words").alias(f"words_{name}"), F.col("shingles").alias(f"set_{name}"))
+            pairs = pairs.join(own, f"words_{name}")
+        common, a, b = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u"), F.size("set_v")
+        similar = F.when(F.least(a, b) < similarity * F.greatest(a, b), False).otherwise(common >= similarity * (a + b - common))
+        return materialise(pairs.where(similar).select("u", "v"), "similar-links")
+
+    roots = materialise(near_components(classes.select("node", "fps"), max_bits, blocks, close), "similar-components")
+    named = _named(classes.select("node", "least", "n"), roots)
+    named = materialise(classes.select("node", "words").join(named, "node").select("words", "component_id"), "similar-named")
+    return prints.join(named, "words", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row with the smallest id.
+    """The rows of docs without near-duplicates: of each similar group the row with the smallest id.
 
     Rows with a null id stay only where their group has no other id. Repeated rows (same id)
     count as one document, of which one row stays.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
+    groups = similar_groups(docs, id_col, text_col, **options)
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(key.alias("_kept")).distinct()
     kept = materialise(kept, "simhash-kept")

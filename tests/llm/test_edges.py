@@ -86,8 +86,8 @@ def test_components_of_chains_and_crowds(spark):
         prints.add(one)
     prints |= {0, (1 << 64) - 1, 1, 1 << 63, 7}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
-    df = spark.createDataFrame([(signed(f),) for f in prints], "fp bigint")
-    found = {r["fp"]: r["root"] for r in simhash.near_components(df, 3, 6).collect()}
+    df = spark.createDataFrame([(signed(f), [signed(f)]) for f in prints], "node bigint, fps array<bigint>")
+    found = {r["node"]: r["root"] for r in simhash.near_components(df, 3, 6, simhash.hamming_pairs(3)).collect()}
     roots = brute.components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
     groups: dict = {}
     for f in prints:
@@ -98,6 +98,30 @@ def test_components_of_chains_and_crowds(spark):
     assert len({found.get(signed(f), signed(f)) for f in prints}) == len(groups)
 
 
+def test_similar_texts_leave_one(spark):
+    """Copies with a few changed words go, texts below the similarity stay, whatever their order."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows, origin = [], {}
+    for k in range(40):
+        text = rng.choices(words, k=rng.randint(60, 300))
+        origin[len(rows)] = k
+        rows.append(" ".join(text))
+        for edits, counts in ((1, True), (1, True), (len(text) // 4, False)):
+            other = list(text)
+            for at in rng.sample(range(len(other)), edits):
+                other[at] = "changed"
+            origin[len(rows)] = k if counts else -len(rows)
+            rows.append(" ".join(other).upper() if edits == 1 else " ".join(other))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(5)
+    found = {r["id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    roots = brute.components(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert found == roots
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert kept == set(roots.values()) and len(kept) >= 80
+
+
 def test_connected_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u bigint, v bigint")
     found = {r["node"]: r["root"] for r in simhash.connected(edges, "path").collect()}
@@ -137,9 +161,12 @@ def test_word_encoder_takes_any_text():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder, t = tokens.WordEncoder(path, "<u4"), Tokenizer.from_file(path)
     rng = random.Random(2)
-    parts = ["a", "the", " ", "  ", "\n", "é", "日本", "😀", "1", "²", "'s", "'S", "...", "\t", "\x1c", "\xa0", "\x85", "<|endoftext|>", "½", "\x00"]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    parts = ["a", "the", " ", "  ", "\n", "é", "日本", "😀", "1", "²", "'s", "'S", "...", "\t", "\x1c", "\xa0", "\x85", "½", "\x00", " \n", "\n ", ".", " .", "don't"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)] + ["", " ", "\n", "foo\n \nbar", "a \n b", "a <|endoftext|> b", "  ", " a ", "a\n\n b"]
+    texts += [" ".join(rng.choices([p for p in parts if "  " not in p], k=rng.randint(0, 12))) for _ in range(3000)]
+    ids, sizes = encoder.encode(texts)
+    ends = np.cumsum(sizes)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_urls_edges(spark):
