@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Patterns whose matches must equal the published feature definitions (fixed values).
 FROM_NAME = r"(?i)FROM\s+([a-zA-Z0-9_.]+)"
 JOIN_NAME = r"(?i)JOIN\s+([a-zA-Z0-9_.]+)"
-THREE_PART = r"([a-zA-Z0-9_]+)\.([a-zA-Z0-9_]+)\.([a-zA-Z0-9_]+)"
+# Starting at the head of a run finds the same names and keeps long runs linear.
+THREE_PART = r"(?<![a-zA-Z0-9_])([a-zA-Z0-9_]++)\.([a-zA-Z0-9_]++)\.([a-zA-Z0-9_]++)"
 TWO_PART = r"(?i)(?:FROM|JOIN)\s+([a-zA-Z0-9_]+)\.([a-zA-Z0-9_]+)"
 IN_LIST = r"(?i)IN\s*\(([^)]+)\)"
 WHERE_BODY = r"(?is)WHERE\s+(.*?)(?:GROUP BY|ORDER BY|LIMIT|HAVING|UNION|EXCEPT|INTERSECT|$)"
@@ -70,7 +71,7 @@ def hash_feature(text: Column, buckets: int) -> Column:
 
 def strip(text: Column) -> Column:
     """The text without white space at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|(?<!\s)\s+$", "")
 
 
 def table_names(query: Column) -> Column:

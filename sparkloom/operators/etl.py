@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import strip as strip_text
+
 CPU_SECONDS = 300.0
 MEMORY_GB = 10.0
 HEAVY_ERRORS = ("EXCEEDED_TIME_LIMIT", "EXCEEDED_SCAN_LIMIT", "EXCEEDED_CPU_LIMIT")
@@ -85,7 +87,7 @@ def check_requests(df: DataFrame, max_length: int = 1_000_000) -> DataFrame:
         F.when(~F.col("hour").between(0, 23), "hour is out of range"),
         F.when(F.length("clientInfo") > 500, "clientInfo is too long"),
     ))
-    strip = lambda c: F.regexp_replace(F.col(c), r"^\s+|\s+$", "")
+    strip = lambda c: strip_text(F.col(c))
     return df.withColumns({
         "user": F.lower(strip("user")),
         "catalog": F.when(F.col("catalog") != "", strip("catalog")),
