@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,53 +36,141 @@ from sparkloom.llm.common import AtomicFile, drop_path, filesystem, materialise,
 
 _BLOCK_IDS = 1 << 20
 _HEAD = "<IQQ"
-_CACHE_WORDS = 600_000
+_KNOWN_CHUNKS = 1_200_000
+_KNOWN_CHARS = 24_000_000
+
+
+_TEXTS = 200
+
+
+class _Chunks(dict):
+    """Chunks of text by number; a new one gets the next number and is noted with what stands in front."""
+
+    def __init__(self, front: str, noted: list[str]):
+        super().__init__()
+        self._front, self._noted = front, noted
+        self.first = 0
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = self.first + len(self._noted)
+        self._noted.append(self._front + chunk)
+        return number
 
 
 class WordEncoder:
-    """Encodes texts by their pre-tokens, each of which the tokenizer itself encodes once.
+    """Encodes texts by their chunks between single spaces, each of which the tokenizer encodes once.
 
-    Merges never cross pre-tokens, so the ids of a text are those of its pre-tokens in order.
-    A text with one of the vocabulary's added tokens, or with characters outside the blocks in
-    which every Unicode version agrees on letters and spaces, goes to the tokenizer whole.
-    The memory is bounded: a full cache is emptied.
+    A single space in front of a chunk always begins a pre-token, and merges never cross
+    pre-tokens, so the ids of a text are those of its chunks, each with its space, in order. A text
+    with white space on both sides of a space, with one of the vocabulary's added tokens, or with characters outside
+    the blocks in which every Unicode version agrees on letters and spaces, goes to the tokenizer
+    whole. The memory is bounded: a full one is emptied.
     """
 
     def __init__(self, vocabulary: str, dtype: str):
-        import regex
+        import numpy as np
         from tokenizers import Tokenizer
 
-        import public_tokenizers
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._split = regex.compile(public_tokenizers.PATTERN).findall
-        self._unsure = re.compile("[^\\t-\\r -~\\u00a0-\\u024f\\u2010-\\u2027\\u20ac]").search
+        self._unsure = re.compile("[^\\t-\\r -~\u00a0-\u024f\u2010-\u2027\u20ac]|  |\\s \\s").search
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._dtype = dtype
-        self._known: dict[str, bytes] = {}
+        size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        # Byte-level pieces have a character for each byte.
+        self._bytes = np.array([len(self._tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self._noted: list[str] = []
+        self._heads, self._rest = _Chunks("", self._noted), _Chunks(" ", self._noted)
+        self._flat, self._used = np.zeros(1 << 16, dtype=self._dtype), 0
+        self._starts, self._sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self._chunks = self._chars = 0
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, numbers, ids, sizes) -> None:
+        """Appends the ids of chunks; numbers: the chunks' numbers, sizes: how many ids each has."""
+        import numpy as np
+
+        while self._used + len(ids) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[self._used : self._used + len(ids)] = ids
+        self._sizes[numbers] = sizes
+        self._starts[numbers] = self._used + np.cumsum(sizes) - sizes
+        self._used += len(ids)
+
+    def _learn(self) -> None:
+        """Encodes the noted chunks. Those that begin with a space go through in one text, and the
+        bytes of pieces tell where each ends."""
+        import numpy as np
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+        first, noted = self._chunks, self._noted
+        if not noted:
+            return
+        self._chunks += len(noted)
+        self._chars += sum(map(len, noted))
+        while self._chunks > len(self._starts):
+            self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
+        spaced = [i for i, c in enumerate(noted) if len(c) > 1 and c[0] == " "]
+        if spaced:
+            chunks = [noted[i] for i in spaced]
+            ids = np.array(self._ids(["".join(chunks)])[0], dtype=self._dtype)
+            ends, at = np.cumsum([len(c.encode()) for c in chunks]), np.cumsum(self._bytes[ids])
+            cuts = np.searchsorted(at, ends)
+            if not np.array_equal(at[cuts], ends):
+                raise ValueError("pieces cross chunks")
+            self._store(first + np.array(spaced), ids, np.diff(cuts, prepend=-1))
+        inside = set(spaced)
+        other = [i for i in range(len(noted)) if i not in inside]
+        if other:
+            found = self._ids([noted[i] for i in other])
+            self._store(first + np.array(other), [t for ids in found for t in ids], np.array([len(ids) for ids in found]))
+        noted.clear()
+        self._heads.first = self._rest.first = self._chunks
+
+    def encode(self, texts: list[str]):
+        """(ids of all texts in order, how many each text has)."""
         import numpy as np
 
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self._dtype).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian."""
-        known, out = self._known, []
-        for text in texts:
-            if self._unsure(text) or any(a in text for a in self._added):
-                out += self._whole([text])
-                continue
-            words = self._split(text)
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(fresh) > _CACHE_WORDS:
-                known.clear()
-                fresh = list(dict.fromkeys(words))
-            known.update(zip(fresh, self._whole(fresh)))
-            out.append(b"".join([known[w] for w in words]))
-        return out
+        parts_ids, parts_sizes = [np.zeros(0, dtype=self._dtype)], [np.zeros(0, dtype=np.int64)]
+        for lo in range(0, len(texts), _TEXTS):
+            if self._chunks > _KNOWN_CHUNKS or self._chars > _KNOWN_CHARS:
+                self._forget()
+            own = texts[lo : lo + _TEXTS]
+            whole = [i for i, t in enumerate(own) if self._unsure(t) or any(a in t for a in self._added)]
+            strange = dict(zip(whole, self._ids([own[i] for i in whole])))
+            split = [t.split(" ") for i, t in enumerate(own) if i not in strange]
+            counts = np.array([len(x) for x in split], dtype=np.int64)
+            at = np.cumsum(counts) - counts
+            index = np.empty(int(counts.sum()), dtype=np.int64)
+            index[at] = [self._heads[x[0]] for x in split]
+            rest = np.ones(len(index), dtype=bool)
+            rest[at] = False
+            get = self._rest.__getitem__
+            index[rest] = np.fromiter(chain.from_iterable(map(get, x[1:]) for x in split), np.int64, len(index) - len(split))
+            self._learn()
+            sizes = self._sizes[index]
+            place = np.cumsum(sizes) - sizes
+            ids = self._flat[np.repeat(self._starts[index] - place, sizes) + np.arange(int(sizes.sum()))]
+            per_text = np.add.reduceat(sizes, at) if len(at) else np.zeros(0, dtype=np.int64)
+            if strange:
+                ends, plain, mixed, lengths = np.cumsum(per_text), 0, [], []
+                for i in range(len(own)):
+                    if i in strange:
+                        mixed.append(np.array(strange[i], dtype=self._dtype))
+                    else:
+                        mixed.append(ids[ends[plain] - per_text[plain] : ends[plain]])
+                        plain += 1
+                    lengths.append(len(mixed[-1]))
+                ids, per_text = np.concatenate(mixed), np.array(lengths, dtype=np.int64)
+            parts_ids.append(ids)
+            parts_sizes.append(per_text)
+        return np.concatenate(parts_ids), np.concatenate(parts_sizes)
 
 
 _ENCODERS: dict = {}
@@ -95,27 +184,52 @@ def _encoder(vocabulary: str, dtype: str) -> WordEncoder:
 
 
 def token_table(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id: int, dtype: str) -> DataFrame:
-    """(id, n, ids): the ids of each row with the end id, as little-endian binary."""
+    """(id, n, ids, counts): the ids of each row with the end id, as little-endian binary.
+
+    Each task adds one row in which only `counts` is set: how often it saw each id.
+    """
     import pyarrow as pa
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    names = ["id", "n", "ids", "counts"]
 
     def run(batches):
         import numpy as np
 
         encoder = _encoder(vocabulary, dtype)
-        end, width = np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
+        seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            coded = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+            ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            ends = np.cumsum(sizes)
+            ids, sizes = np.insert(ids, ends, end_id), sizes + 1
+            part = np.bincount(ids, minlength=len(seen))
+            part[: len(seen)] += seen
+            seen = part
+            raw, width = ids.tobytes(), ids.itemsize
+            cuts = (np.cumsum(sizes) * width).tolist()
+            coded = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.binary()), pa.nulls(len(coded), pa.binary())], names
+            )
+        if len(seen):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // width for x in coded], pa.int64()), pa.array(coded, pa.binary())],
-                ["id", "n", "ids"],
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names
             )
 
-    return picked.mapInArrow(run, "id bigint, n bigint, ids binary")
+    return picked.mapInArrow(run, "id bigint, n bigint, ids binary, counts binary")
+
+
+def _values(column):
+    """The bytes of a binary column, one value after the other, without copies."""
+    import numpy as np
+
+    if len(column) == 0:
+        return b""
+    ends = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
 
 
-def ranked_ids(tokens: DataFrame, dtype: str):
+def ranked_ids(tokens: DataFrame):
     """The ids that occur, most frequent first: as many as the vocabulary has at most."""
     import numpy as np
     import pyarrow as pa
@@ -123,29 +237,39 @@ def ranked_ids(tokens: DataFrame, dtype: str):
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype)
-            part = np.bincount(ids, minlength=len(total))
-            part[: len(total)] += total
-            total = part
+            for counts in batch.column(0).to_pylist():
+                part = np.frombuffer(counts, dtype="<i8")
+                longer, shorter = (part.copy(), total) if len(part) > len(total) else (total, part)
+                longer[: len(shorter)] += shorter
+                total = longer
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
 
-    counts = tokens.select("ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = tokens.select("counts").where("counts is not null")
+    counts = counts.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     rows = sorted(((r["n"], r["token"]) for r in counts.collect()), key=lambda r: (-r[0], r[1]))
     return np.array([t for _, t in rows], dtype="<u4")
 
 
-def encode_ranks(ranks) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of an array of uint32 ranks."""
+def encode_ranks(ranks, counts) -> list[tuple[bytes, bytes]]:
+    """(control bytes, data bytes) of each document; ranks: those of all, counts: how many each has."""
     import numpy as np
 
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    sizes = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = sizes - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]
-    return control.tobytes(), data.tobytes()
+    counts = np.asarray(counts, dtype=np.int64)
+    held = -(-counts // 4) * 4
+    sizes = (1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    padded = np.zeros(int(held.sum()), dtype=np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(np.cumsum(held) - held - (np.cumsum(counts) - counts), counts)] = sizes - 1
+    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < sizes[:, None]].tobytes()
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    data_ends = upto[np.cumsum(counts)].tolist()
+    control_ends = (np.cumsum(held) // 4).tolist()
+    return [
+        (control[a:b], data[c:d])
+        for a, b, c, d in zip([0, *control_ends], control_ends, [0, *data_ends], data_ends)
+    ]
 
 
 def length_table():
@@ -173,6 +297,20 @@ def decode_ranks(control: bytes, data: bytes, counts):
     return ranks
 
 
+def _sliced(batches, most: int = 4 << 20):
+    """Batches (id, n, ids) cut so that each holds about `most` ids, or one document."""
+    import numpy as np
+
+    for batch in batches:
+        upto = np.cumsum(batch.column(1).to_numpy())
+        lo = 0
+        while lo < batch.num_rows:
+            before = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, before + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def write_tokens(
     docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
 ) -> DataFrame:
@@ -185,7 +323,7 @@ def write_tokens(
     size = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     tokens, waiting = written(token_table(docs, vocabulary, id_col, text_col, end_id, dtype), "tokens-ids")
-    by_rank = ranked_ids(tokens, dtype)
+    by_rank = ranked_ids(tokens)
     ranks_file = AtomicFile(f"{folder}/ranks.bin")
     ranks_file.write(by_rank.tobytes())
     ranks_file.commit()
@@ -194,8 +332,8 @@ def write_tokens(
     sent = spark.sparkContext.broadcast(rank_of)  # one number for each id of the vocabulary
 
     def code(batches):
-        for batch in batches:
-            pairs = [encode_ranks(sent.value[np.frombuffer(x, dtype=dtype)]) for x in batch.column(2).to_pylist()]
+        for batch in _sliced(batches):
+            pairs = encode_ranks(sent.value[np.frombuffer(_values(batch.column(2)), dtype=dtype)], batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
                 ["id", "n", "control", "data"],
@@ -230,7 +368,7 @@ def write_tokens(
             )
 
     order = ["id", "n", "control", "data"]
-    coded = tokens.mapInArrow(code, "id bigint, n bigint, control binary, data binary")
+    coded = tokens.where("counts is null").select("id", "n", "ids").mapInArrow(code, "id bigint, n bigint, control binary, data binary")
     files = (
         coded.repartitionByRange("id")
         .sortWithinPartitions(*order)
@@ -259,10 +397,10 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if by_rank is None:
                     fs, at = filesystem(f"{folder}/ranks.bin")
-                    with fs.open_input_stream(at) as f:
+                    with fs.open_input_stream(at, compression=None) as f:
                         by_rank = np.frombuffer(f.read(), dtype="<u4")
                 fs, at = filesystem(path)
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     while head := f.read(struct.calcsize(_HEAD)):
                         n, n_control, n_data = struct.unpack(_HEAD, head)
                         ids = np.frombuffer(f.read(8 * n), dtype="<i8")
