@@ -141,3 +141,10 @@ def test_op10(spark, sf, docs):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in Q.op10_decontamination(spark, sf).collect()}
     assert found == {i: brute.contamination(t, items) for i, t in docs.items()}
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql(spark, sf, name):
+    from tests.compare import connect, duck_rows, spark_rows
+
+    assert spark_rows(Q.queries()[name](spark, sf)) == duck_rows(connect(sf), Q.oracle_sql()[name])
