@@ -271,7 +271,8 @@ def fit(
     import uuid
 
     trusted = materialise(trusted_ids.toDF("id").where("id is not null").distinct(), "quality-trusted")
-    codes = coded_texts(docs, id_col, text_col).join(trusted, "id", "left_semi")
+    # One plan for every size: both sides are shuffled, however few the trusted are.
+    codes = coded_texts(docs, id_col, text_col).join(trusted.hint("merge"), "id", "left_semi")
     model, key = train(codes), uuid.uuid4().hex
     if model is None:
         return Classifier(None, 0.0, {}, 0, prior, key), None
