@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import features as feats
+from sparkloom.functions import text
 from sparkloom.functions.registry import FeatureSpec, base_names
 from sparkloom.functions.text import normalise_sql, stable_bucket
 from sparkloom.operators import analysis, etl, evaluation, parity, sampling, statistics, tfidf, training
@@ -370,6 +371,62 @@ def zero_cost_safety(spark, sf_dir):
     return rounded(analysis.zero_cost_safety(labelled(spark, sf_dir), ["USE", "DESCRIBE"]))
 
 
+# --- parsers and helpers
+
+_NAMES = "list_sort(list_distinct(list_concat(regexp_extract_all(query, 'FROM\\s+([a-zA-Z0-9_.]+)', 1, 'i'), regexp_extract_all(query, 'JOIN\\s+([a-zA-Z0-9_.]+)', 1, 'i'))))"
+_THREE = "([a-zA-Z0-9_]+)\\.([a-zA-Z0-9_]+)\\.([a-zA-Z0-9_]+)"
+_USE = "'USE\\s+([a-zA-Z0-9_]+)\\.([a-zA-Z0-9_]+)'"
+
+
+@register(O.query(f"SELECT queryId, array_to_string({_NAMES}, ',') AS tables FROM query_log"))
+def table_names(spark, sf_dir):
+    return log(spark, sf_dir).select("queryId", F.array_join(text.table_names(F.col("query")), ",").alias("tables"))
+
+
+@register(O.query(f"SELECT queryId, array_to_string(regexp_extract_all(query, '{_THREE}'), ',') AS three, array_to_string(regexp_extract_all(regexp_replace(query, '{_THREE}', '', 'g'), '(?:FROM|JOIN)\\s+([a-zA-Z0-9_]+)\\.([a-zA-Z0-9_]+)', 0, 'i'), ',') AS two FROM query_log"))
+def qualified_names(spark, sf_dir):
+    q = F.col("query")
+    return log(spark, sf_dir).select("queryId", F.array_join(text.three_part_names(q), ",").alias("three"), F.array_join(text.two_part_names(q), ",").alias("two"))
+
+
+@register(O.query("SELECT queryId, w AS where_text, array_to_string(regexp_extract_all(w, 'IN\\s*\\(([^)]+)\\)', 1, 'i'), '|') AS in_lists FROM staged", O.STAGED))
+def where_clauses(spark, sf_dir):
+    w = text.where_body(F.col("query"))
+    return log(spark, sf_dir).select("queryId", w.alias("where_text"), F.array_join(text.in_lists(w), "|").alias("in_lists"))
+
+
+@register(O.query(f"SELECT queryId, nullif(regexp_extract(query, {_USE}, 1, 'i'), '') AS use_catalog, nullif(CASE WHEN regexp_extract(query, {_USE}, 0, 'i') <> '' THEN regexp_extract(query, {_USE}, 2, 'i') ELSE regexp_extract(query, 'USE\\s+([a-zA-Z0-9_]+)(?:\\s|$|;)', 1, 'i') END, '') AS use_schema FROM query_log"))
+def use_statements(spark, sf_dir):
+    catalog, schema = text.use_names(F.col("query"))
+    return log(spark, sf_dir).select("queryId", catalog.alias("use_catalog"), schema.alias("use_schema"))
+
+
+@register(O.query("SELECT queryId, round(coalesce(cpuTime / nullif(peakUserMemoryBytes, 0)::DOUBLE, 0), 6) AS divided, round(least(cpuTime / 300000.0::DOUBLE, 1), 6) AS cut, greatest(1, least(12, hour)) AS clamped FROM query_log"))
+def scalar_helpers(spark, sf_dir):
+    cells = [text.safe_divide(F.col("cpuTime"), F.col("peakUserMemoryBytes")).alias("divided"), text.at_most_one(F.col("cpuTime"), 300_000).alias("cut"), text.clamp(F.col("hour"), 1, 12).alias("clamped")]
+    return rounded(log(spark, sf_dir).select("queryId", *cells))
+
+
+@register(O.query("SELECT queryId, query FROM query_log ORDER BY CAST(queryId AS BIGINT) LIMIT 10"))
+def first_rows(spark, sf_dir):
+    return log(spark, sf_dir).orderBy(F.col("queryId").cast("bigint")).limit(10).select("queryId", "query")
+
+
+@register(O.query("SELECT queryId, is_heavy, NULL::VARCHAR AS note FROM labelled WHERE is_heavy = 1 UNION ALL SELECT queryId, is_heavy, 'small' FROM labelled WHERE is_heavy = 0"))
+def union_by_name(spark, sf_dir):
+    df = labelled(spark, sf_dir).select("queryId", "is_heavy")
+    small = df.where("is_heavy = 0").select(F.lit("small").alias("note"), "is_heavy", "queryId")
+    return df.where("is_heavy = 1").unionByName(small, allowMissingColumns=True)
+
+
+@register(O.query("SELECT queryId, 95 AS n, total FROM (SELECT queryId, round(length(query)::DOUBLE, 6) AS total FROM query_log WHERE regexp_matches(query, '\\S'))"))
+def concatenated_vectors(spark, sf_dir):
+    """78 base and 17 historical features in one array; its first element is the length of the query."""
+    df = labelled(spark, sf_dir).where(feats.valid_query())
+    done = pipeline.featurised(df, statistics.compute(df))
+    return done.select("queryId", F.size("features").alias("n"), F.col("features")[0].alias("total"))
+
+
 # --- text and TF-IDF
 
 

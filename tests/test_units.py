@@ -328,3 +328,18 @@ def test_streams(spark, sf, tmp_path):
     batch = {r["queryId"]: r["features"] for r in feats.with_features(catalogue.log(spark, sf)).collect()}
     assert {r["queryId"]: r["features"] for r in spark.table("feature_out").collect()} == batch
     assert spark.table("rate_out").agg(F.sum("total")).first()[0] == len(batch)
+
+
+def test_library_stands_without_the_text_operators(tmp_path):
+    """The entry point imports, and lists the other queries, where the subpackage is gone."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(os.path.join(here, name), tmp_path)
+    shutil.copytree(os.path.join(here, "sparkloom"), tmp_path / "sparkloom", ignore=lambda d, names: [n for n in names if n == "llm"])
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'user_stats' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
