@@ -62,6 +62,13 @@ def bitmap(places: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def sliced(batches, rows: int = 500):
+    """Arrow batches cut into slices, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a path or of a URI with a scheme."""
     from pyarrow import fs

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise
+from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise, sliced
 
 _PAIR_SCHEMA = (
     "kind int, part int, id bigint, ztext binary, n_chars bigint, edited_sha256 string, digest string, "
@@ -90,7 +90,7 @@ def paired(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
+        for batch in sliced(batches):
             packed = [squeeze(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "tie", "ztext"])
 
@@ -99,7 +99,7 @@ def paired(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
         part, held, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for number, ztext in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 text = unpack(ztext).decode("utf-8", "surrogatepass")
@@ -156,7 +156,7 @@ def collisions(docs: DataFrame, pairs: DataFrame, text_col: str, bits: int) -> D
         import numpy as np
 
         marks, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << BITMAP_BITS) - 1
-        for batch in batches:
+        for batch in sliced(batches):
             found = [(digest_of(f, bits), f) for f in (canonical(t or "") for t in batch.column(0).to_pylist())]
             places = [int(d[:8], 16) & mask for d, _ in found]
             found = [x for x, p in zip(found, places) if marks[p // 8] >> (p % 8) & 1]
