@@ -268,11 +268,11 @@ for _name in feats.GROUPS:
 
 @register(O.query(
     "SELECT queryId, CAST(78 AS INTEGER) AS n_features, CASE WHEN regexp_matches(q, '\\S') THEN round("
-    + " + ".join(f"({O.FEATURES[n]})" for n in base_names()) + ", 5) ELSE 0.0::DOUBLE END AS total FROM staged", O.STAGED))
+    + " + ".join(f"({O.FEATURES[n]})" for n in base_names()) + ", 6) ELSE 0.0::DOUBLE END AS total FROM staged", O.STAGED))
 def feature_vector(spark, sf_dir):
     """The whole vector: its length and the sum of its elements."""
     df = feats.with_features(log(spark, sf_dir))
-    return df.select("queryId", F.size("features").alias("n_features"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+    return df.select("queryId", F.size("features").alias("n_features"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @register(O.query(f"SELECT queryId, round({O.FEATURES['query_length']}, 6) AS query_length, round({O.FEATURES['join_count']}, 6) AS join_count FROM staged WHERE regexp_matches(q, '\\S')", O.STAGED))
