@@ -22,6 +22,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import sliced
+
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -141,7 +143,7 @@ def contamination(
 
     def run(batches):
         scanner = _scanner(key, sent.value, window)
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(zip(*(scanner.row(t) for t in batch.column(1).to_pylist()))) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names
@@ -169,7 +171,7 @@ def keep_clean(
 
     def run(batches):
         scanner = _scanner(key, sent.value, window)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([not scanner.scan(t)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

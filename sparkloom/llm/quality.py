@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise
+from sparkloom.llm.common import materialise, sliced
 
 CLASSES = 64
 ORDER = 4
@@ -99,7 +99,7 @@ def gram_counts(trusted: DataFrame, codes_col: str = "codes") -> DataFrame:
             held_n = np.bincount(place, weights=np.concatenate([held_n, n])).astype(np.int64)
             held_g, waiting, chars = both.astype(np.int32), [], 0
 
-        for batch in batches:
+        for batch in sliced(batches):
             for codes in batch.column(0).to_pylist():
                 if codes:
                     waiting.append(grams_of(np.frombuffer(unpack(codes), dtype=np.uint8)))
@@ -123,7 +123,7 @@ def coded_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import zstandard
 
         table, pack = class_table(), zstandard.ZstdCompressor(1).compress
-        for batch in batches:
+        for batch in sliced(batches):
             codes = [pack(classes_of(t, table).tobytes()) if t else None for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["id", "codes"])
 
@@ -234,7 +234,7 @@ def scores(docs: DataFrame, model: Model, key: str, id_col: str, text_col: str,
 
     def run(batches):
         score = _scorer(key, sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([score(t) for t in texts], pa.float64())],
@@ -333,7 +333,7 @@ def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
     def run(batches):
         rule = sent.value
         score = _scorer(rule.key, rule.model)
-        for batch in batches:
+        for batch in sliced(batches):
             texts, langs = batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist()
             stays = [rule.keeps("" if lang is None else str(lang), rule.mills(len(t or ""), score(t))) for t, lang in zip(texts, langs)]
             yield batch.filter(pa.array(stays, pa.bool_()))

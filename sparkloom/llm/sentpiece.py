@@ -34,6 +34,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import sliced
+
 _MARK = "▁"
 _PARTS = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 # Piece types of the model format (fixed values).
@@ -318,7 +320,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     def run(batches):
         encode = transducer(model_file).encode
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "pieces"])
 
@@ -331,7 +333,7 @@ def decode_documents(coded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches):
         decode = transducer(model_file).decode
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [decode(p or []) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
@@ -352,7 +354,7 @@ def roundtrip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col
         import numpy as np
 
         machine = transducer(model_file)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, sums, equal = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = machine.encode(text)

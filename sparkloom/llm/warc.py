@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import AtomicFile, filesystem, materialise, scratch_path
+from sparkloom.llm.common import AtomicFile, filesystem, materialise, scratch_path, sliced
 
 LEAST_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -135,7 +135,7 @@ def write_archives(
     def run(batches):
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         out, records, size = None, 0, 0
-        for batch in batches:
+        for batch in sliced(batches):
             for number, url, payload, length, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or AtomicFile(name)
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
