@@ -9,10 +9,11 @@ at least blocks - d whole blocks, so they share a key in at least one of the C(b
 tables that keep that many blocks. With 6 blocks and 3 bits that is 20 tables whose keys hold
 31 bits at least, so chance meetings stay rare far beyond a billion distinct fingerprints.
 
-No bucket is ever expanded into its pairs. First each member is compared with the smallest
-member of its bucket; those links, connected, settle nearly all. Then only buckets that still
-hold several components matter: there the members outside the bucket's largest component are
-compared with the others. Pairs within one component cannot change the result, so nothing is lost.
+No bucket is ever expanded into its pairs. First each text is compared with the one bucket
+pivot that it shares most keys with; those links, connected, settle nearly all. Then the ends
+of components that still share a bucket are compared, and at last what lies outside a bucket's
+largest component with what lies in others. Pairs within one component cannot change the
+result, so nothing is lost.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other;
 exact copies and repeated rows share a fingerprint and so a group; a null id never becomes a
@@ -27,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise
+from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise, sliced
 
 _CHUNK = 8192
 
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3,
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [_fingerprint(t or b"", shingle, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
@@ -113,11 +114,38 @@ def hamming_pairs(max_bits: int):
     return lambda pairs: pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
 
 
+def _with_roots(edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) of the components of edges (u, v), roots included."""
+    roots = connected(edges, name)
+    return materialise(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), f"{name}-roots")
+
+
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, comp) of members (bucket, node)."""
+    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+    return materialise(placed, "simhash-placed")
+
+
+def _mixed(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((bucket, comp, low, high), (bucket, main, low, high)) of the buckets with several components:
+    the least and greatest node of each component, and those of the largest one."""
+    sizes = placed.groupBy("bucket", "comp").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+    sizes = materialise(sizes, "simhash-sizes")
+    largest = F.max_by(F.struct("comp", "low", "high"), F.struct("n", "comp")).alias("main")
+    mixed = sizes.groupBy("bucket").agg(largest, F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return sizes, materialise(mixed.select("bucket", F.col("main.comp").alias("main"), F.col("main.low").alias("main_low"), F.col("main.high").alias("main_high")), "simhash-mixed")
+
+
 def near_components(nodes: DataFrame, max_bits: int, blocks: int, check) -> DataFrame:
     """(node, root) for the nodes that have a neighbour; root names the component.
 
     nodes: (node, fps): a distinct long and the node's fingerprints, one of each family.
     check: keeps those of distinct pairs (u, v) that are links.
+
+    Pairs whose link would change nothing are never made: first each node meets the pivot (the
+    least node of a bucket) that it shares most buckets with; then in buckets that still hold
+    several components the ends of each meet those of the largest; at last, in the buckets that
+    are left, what lies outside the largest component meets what lies in other components.
     """
     masks = block_masks(max_bits, blocks)
     keys = F.flatten(F.transform("fps", lambda fp, j: F.array(*[F.xxhash64(j, F.lit(i), fp.bitwiseAND(m)) for i, m in enumerate(masks)])))
@@ -127,31 +155,26 @@ def near_components(nodes: DataFrame, max_bits: int, blocks: int, check) -> Data
         "simhash-buckets",
     )
     members = materialise(keyed.join(buckets, "bucket"), "simhash-members")
-    star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    roots = connected(check(star), "simhash-star")
-    roots = materialise(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "simhash-roots")
-
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
-    placed = materialise(placed, "simhash-placed")
-    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = F.max_by("comp", F.struct("n", "comp")).alias("main")
-    mixed = materialise(
-        sizes.groupBy("bucket").agg(largest, F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps"), "simhash-mixed"
-    )
-    inside = materialise(placed.join(mixed, "bucket"), "simhash-inside")
+    shared = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy(F.col("node").alias("u")).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("v"))
+    links = materialise(check(best.select("u", "v")), "simhash-star-links")
+    placed = _placed(members, _with_roots(links, "simhash-star"))
+
+    sizes, mixed = _mixed(placed)
+    ends = sizes.join(mixed, "bucket").where("comp <> main")
+    near = F.max(F.struct("low", "main_high")).alias("near"), F.min(F.struct("high", "main_low")).alias("far")
+    ends = materialise(ends.groupBy("comp", "main").agg(*near), "simhash-ends")
+    tried = ends.select(F.col("near.low").alias("u"), F.col("near.main_high").alias("v")).union(ends.select("far.high", "far.main_low"))
+    links = materialise(links.union(check(tried.distinct())), "simhash-end-links")
+    roots = _with_roots(links, "simhash-ends")
+
+    placed = _placed(members, roots)
+    _, mixed = _mixed(placed)
+    inside = materialise(placed.join(mixed.select("bucket", "main"), "bucket"), "simhash-inside")
     stray = inside.where("comp <> main").select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-    # Links to the pivot are known already; of two strays one order is enough.
-    met = inside.join(stray, "bucket").where("comp <> comp2").where("comp = main or node < node2")
-    met = materialise(met.select(F.col("node").alias("u"), F.col("node2").alias("v"), "comp", "comp2").distinct(), "simhash-met")
-    linked = check(met.select("u", "v").distinct())
-    crossing = met.join(linked, ["u", "v"], "left_semi").select(F.col("comp").alias("u"), F.col("comp2").alias("v"))
-    merged = connected(crossing, "simhash-cross")
-    merged = merged.union(merged.select(F.col("root").alias("node"), "root").distinct())
-    merged = materialise(merged.select(F.col("node").alias("comp"), F.col("root").alias("top")), "simhash-merged")
-
-    lone = merged.join(roots.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), "comp")
-    grown = roots.select("node", F.col("root").alias("comp")).unionByName(lone)
-    return grown.join(merged, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
+    met = inside.join(stray, "bucket").where("comp <> comp2").where("comp = main or node < node2")  # of two strays one order
+    last = check(met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct())
+    return _with_roots(links.union(last), "simhash-all")
 
 
 def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -206,7 +229,7 @@ def word_prints(docs: DataFrame, id_col: str, text_col: str, families: int) -> D
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys, prints = [], []
             for text in batch.column(1).to_pylist():
                 words = (text or b"").lower().split()
@@ -235,7 +258,7 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int
         import xxhash
 
         marks, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << BITMAP_BITS) - 1
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sets = [], []
             for text in batch.column(0).to_pylist():
                 words = (text or b"").lower().split()
