@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import AtomicFile, drop_path, filesystem, materialise, scratch_path, written
+from sparkloom.llm.common import AtomicFile, drop_path, filesystem, materialise, scratch_path, sliced, written
 
 _BLOCK_IDS = 1 << 20
 _HEAD = "<IQQ"
@@ -198,7 +198,7 @@ def token_table(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, en
 
         encoder = _encoder(vocabulary, dtype)
         seen = np.zeros(0, dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum(sizes)
             ids, sizes = np.insert(ids, ends, end_id), sizes + 1
@@ -331,12 +331,20 @@ def write_tokens(
     rank_of[by_rank] = np.arange(len(by_rank), dtype="<u4")
     sent = spark.sparkContext.broadcast(rank_of)  # one number for each id of the vocabulary
 
+    # Ranges of ids come from a sketch of the ids alone, so nothing is coded twice.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [k / ranges for k in range(1, ranges)] or [0.5]
+    found = tokens.select(F.percentile_approx("id", shares, 10_000)).first()[0]
+    bounds = np.unique(np.array(found if ranges > 1 and found else [], dtype=np.int64))
+
     def code(batches):
         for batch in _sliced(batches):
+            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            place = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids))
             pairs = encode_ranks(sent.value[np.frombuffer(_values(batch.column(2)), dtype=dtype)], batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
-                ["id", "n", "control", "data"],
+                [pa.array(place, pa.int32()), batch.column(0), batch.column(1), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
+                ["place", "id", "n", "control", "data"],
             )
 
     def write(batches):
@@ -368,9 +376,10 @@ def write_tokens(
             )
 
     order = ["id", "n", "control", "data"]
-    coded = tokens.where("counts is null").select("id", "n", "ids").mapInArrow(code, "id bigint, n bigint, control binary, data binary")
+    coded = tokens.where("counts is null").select("id", "n", "ids").mapInArrow(code, "place int, id bigint, n bigint, control binary, data binary")
     files = (
-        coded.repartitionByRange("id")
+        coded.repartitionById(ranges, F.col("place"))
+        .select(*order)
         .sortWithinPartitions(*order)
         .mapInArrow(write, "file_no bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint")
     )
