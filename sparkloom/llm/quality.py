@@ -1,18 +1,22 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
-
-The model is trained on trusted text, all of it. Its units are characters folded into 64
-classes (lower-case letters, capitals, digits, space, line end, each ASCII sign, other letters),
-and its order is 4, so it has 64**4 n-grams at most, however large the corpus: that proves the
-size of what is broadcast. Counts are gathered for each part of the corpus, shuffled by n-gram,
-and joined, sharded, with the statistics of their contexts: discounts come from the counts of
-counts, lower orders from continuation counts. Documents then look their n-grams up in place,
-so no text is shuffled to be scored.
-
-A document's score is its mean negative log-likelihood, drawn towards the trusted mean by
-`prior` characters, so that short texts do not stray by chance. A document is rejected when its
-score is above its language's threshold: the `quantile` of the scores of the language's trusted
-documents times 1 + `margin`. Quantiles are exact on scores in thousandths: they are read off a
-histogram of bounded width.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney models of words and characters.
+
+Both models are trained on trusted text, all of it. The word model is a bigram model over all
+words, signs and unusual white space as they stand; its tables grow with the text and stay
+sharded. New words are spelled by the character model: order 4 over characters folded into 64
+classes (so 64**4 n-grams at most), each class shared evenly by its code points.
+
+Counts are summed in each task, shuffled by n-gram and joined, sharded, with the statistics of
+their contexts: discounts come from the counts of counts, lower orders from continuation counts.
+A text costs the spelling of its units plus the terms of the units, contexts and pairs that the
+model holds. Terms of the `HEAD` most frequent are added in place; of the rest, those that a
+bitmap does not rule out are summed for each row, shuffled by key and joined with the table.
+
+A document's score is its mean negative log-likelihood for each character, drawn towards the
+mean of trusted text by `prior` characters, so that short texts do not stray by chance. A
+document is rejected when its score is above its language's threshold: the `quantile` of the
+scores of the language's trusted documents, each scored by a model of the half of the trusted
+texts that it is not in, times 1 + `margin`. Quantiles are exact on scores in thousandths: they
+are read off a histogram of bounded width.
 
 Defined results: a null or empty text has the trusted mean as its score and stays; a null
 language is one of its own; languages without trusted text take the threshold of all trusted
@@ -24,22 +28,25 @@ columns are read.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, sliced
+from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise, sliced
 
 CLASSES = 64
 ORDER = 4
 QUANTILE = 0.999
-MARGIN = 0.05
+MARGIN = 0.0
 PRIOR = 40
 _SIGNS = ".,;:!?'\"-()/|%$#&*=+_@[]{}<>\\^~`"
 _MAX_LANGUAGES = 100_000
 _MERGE_CHARS = 4 << 20
+HEAD = 1 << 20
+_CACHED = 1 << 20
 
 
 def class_table():
@@ -113,21 +120,44 @@ def gram_counts(trusted: DataFrame, codes_col: str = "codes") -> DataFrame:
     return trusted.select(codes_col).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def coded_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, codes): classes of each text, compressed, so that joins move little."""
+def packed_texts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, lang, packed): the compressed texts of trusted rows; a bitmap of their ids spares most others the shuffle."""
     import pyarrow as pa
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    bit = lambda c: F.xxhash64(c).bitwiseAND((1 << BITMAP_BITS) - 1) + 1
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(trusted.select(bit("id").alias("bit"))))
+    kind = trusted.schema["id"].dataType.simpleString()
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), bit(F.col(id_col).cast(kind)).alias("bit"), F.col(lang_col).cast("string").alias("lang"))
+
+    def run(batches):
+        import numpy as np
+        import zstandard
+
+        pack, seen = zstandard.ZstdCompressor(1).compress, np.frombuffer(marks.value, np.uint8)
+        for batch in sliced(batches):
+            place = batch.column(2).to_numpy() - 1
+            batch = batch.filter(pa.array((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            packed = [pack(t.encode("utf-8", "surrogatepass")) if t else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(packed, pa.binary())], ["id", "lang", "packed"])
+
+    made = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, lang string, packed binary")
+    # One plan for every size: both sides are shuffled, however few the trusted are.
+    return made.join(trusted.hint("merge"), "id", "left_semi")
+
+
+def _codes_of(trusted: DataFrame) -> DataFrame:
+    """(codes): the classes of packed texts, compressed."""
+    import pyarrow as pa
 
     def run(batches):
         import zstandard
 
-        table, pack = class_table(), zstandard.ZstdCompressor(1).compress
+        table, pack, unpack = class_table(), zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
         for batch in sliced(batches):
-            codes = [pack(classes_of(t, table).tobytes()) if t else None for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["id", "codes"])
+            codes = [pack(classes_of(unpack(t).decode("utf-8", "surrogatepass"), table).tobytes()) if t else None for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary())], ["codes"])
 
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, codes binary")
+    return trusted.select("packed").mapInArrow(run, "codes binary")
 
 
 @dataclass
@@ -213,54 +243,275 @@ def train(trusted_codes: DataFrame) -> Model | None:
     return None
 
 
-_COSTS: dict = {}
+# Words, and each other sign but single spaces; scripts without spaces give one unit for each character.
+_UNIT = re.compile(
+    "[^\\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+|[^ ]|(?<= ) "
+)
+_MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def _scorer(key: str, model: Model):
-    """The cost table, once for each Python worker."""
-    if key not in _COSTS:
-        _COSTS.clear()
-        _COSTS[key] = (model.costs(), class_table())
-    costs, table = _COSTS[key]
-    return lambda text: float(costs[grams_of(classes_of(text, table))].sum(dtype="f8")) if text else 0.0
+def unit_hashes(units: list[str], known: dict):
+    """64-bit hashes of units; `known` keeps those already made."""
+    import numpy as np
+    import xxhash
 
+    for u in set(units):
+        if u not in known:
+            known[u] = xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
+    return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
-def scores(docs: DataFrame, model: Model, key: str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, n, cost): characters and negative log-likelihood of each row."""
-    import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+def pair_keys(a, b):
+    """The keys of pairs of neighbours; 0 as the second stands for a as a context alone."""
+    import numpy as np
+
+    x = a.view(np.uint64) * np.uint64(_MULTIPLIER) + b.view(np.uint64)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+class Speller:
+    """The cost of a unit's spelling under the character model, each class shared evenly by its code points."""
+
+    def __init__(self, model: Model):
+        import numpy as np
+
+        self.costs, self.table = model.costs(), class_table()
+        sizes = np.bincount(self.table[:0x250], minlength=CLASSES)
+        sizes[63] += 0x110000 - 0x250
+        self.within = np.log(np.maximum(sizes, 1))
+        self.end = self.table[ord(" ")]
+
+    def __call__(self, unit: str) -> float:
+        import numpy as np
+
+        c = classes_of(unit, self.table)
+        return float(self.costs[grams_of(np.append(c, self.end))].sum(dtype="f8") + self.within[c].sum())
+
+
+_SPELLERS: dict = {}
+
+
+def _speller(key: str, model: Model) -> Speller:
+    """The speller, once for each Python worker."""
+    if key not in _SPELLERS:
+        _SPELLERS.clear()
+        _SPELLERS[key] = Speller(model)
+    return _SPELLERS[key]
+
+
+def pair_counts(trusted: DataFrame, sent, key: str) -> DataFrame:
+    """(a, b, pair, n, spell) over rows of packed texts: neighbours, summed in each task, then by pair.
+
+    spell is the cost of b's spelling.
+    """
+    import pyarrow as pa
 
     def run(batches):
-        score = _scorer(key, sent.value)
+        import numpy as np
+        import zstandard
+
+        unpack, speller = zstandard.ZstdDecompressor().decompress, _speller(key, sent.value)
+        known, waiting, held = {}, [], 0
+
+        def flush():
+            a, b = (np.concatenate(x) for x in zip(*waiting))
+            pairs, at, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+            names = {h: u for u, h in known.items()}
+            cost = {h: speller(names[h]) for h in np.unique(b).tolist()}
+            spell = [cost[h] for h in b[at].tolist()]
+            for lo in range(0, len(pairs), 50_000):
+                part = slice(lo, lo + 50_000)
+                columns = [pa.array(x[part]) for x in (a[at], b[at], pairs, n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spell[part], pa.float64())], ["a", "b", "pair", "n", "spell"])
+
         for batch in sliced(batches):
-            texts = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(t or "") for t in texts], pa.int64()), pa.array([score(t) for t in texts], pa.float64())],
-                ["id", "lang", "n", "cost"],
-            )
+            for text in batch.column(0).to_pylist():
+                units = _UNIT.findall(unpack(text).decode("utf-8", "surrogatepass")) if text else []
+                if units:
+                    b = unit_hashes(units, known)
+                    waiting.append((np.concatenate([np.zeros(1, np.int64), b[:-1]]), b))
+                    held += len(b)
+            if held >= _MERGE_CHARS // 2:
+                yield from flush()
+                known, waiting, held = {}, [], 0
+        if waiting:
+            yield from flush()
+
+    made = trusted.select("packed").mapInArrow(run, "a bigint, b bigint, pair bigint, n bigint, spell double")
+    return made.groupBy("pair").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("n"), F.first("spell").alias("spell"))
+
+
+@dataclass
+class WordModel:
+    """A word bigram model whose words are spelled by a character model where they are new.
+
+    terms: (key, n, term), sharded and as large as the text asks for. A text costs the spelling of
+    each unit plus `fresh`, plus the terms of its units, contexts and pairs that occur in the table.
+    head: keys and terms of the most frequent, of bounded number; marks: a bitmap of all keys.
+    """
+
+    spelling: Model
+    fresh: float
+    terms: DataFrame
+    head: tuple
+    marks: bytes
+    key: str
 
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, lang string, n bigint, cost double")
+
+def train_words(trusted: DataFrame) -> WordModel | None:
+    """The model of rows (packed): interpolated modified Kneser-Ney over all words; None without any text."""
+    import uuid
+
+    import numpy as np
+
+    spelling, key = train(_codes_of(trusted)), uuid.uuid4().hex
+    if spelling is None:
+        return None
+    sent = trusted.sparkSession.sparkContext.broadcast(spelling)
+    pairs = materialise(pair_counts(trusted, sent, key), "quality-pairs")
+
+    def cuts(counts: DataFrame):
+        rows = counts.groupBy(F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # five rows at most
+        d1, d2, d3 = discounts({r["k"]: r["n"] for r in rows})
+        return F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+
+    if pairs.isEmpty():
+        return WordModel(spelling, 0.0, materialise(pairs.select(F.col("pair").alias("key"), "n", F.lit(0.0).alias("term")), "quality-terms"), (np.zeros(0, np.int64), np.zeros(0)), bytes((1 << BITMAP_BITS) // 8), key)
+    cut = cuts(pairs)
+    contexts = pairs.groupBy("a").agg(F.sum("n").alias("total"), F.sum(cut).alias("taken"))
+    contexts = materialise(contexts.select("a", "total", (F.col("taken") / F.col("total")).alias("left")), "quality-word-contexts")
+    words = materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("seen"), F.first("spell").alias("spell")), "quality-words")
+    low = cuts(words)
+    total, taken = words.agg(F.sum("n"), F.sum(low)).first()
+    left0 = taken / total
+    p = (F.col("n") - low) / total + left0 * F.exp(-F.col("spell"))
+    words = materialise(words.select("b", "seen", "spell", p.alias("p")), "quality-word-shares")
+    joint = pairs.withColumn("cut", cut).drop("spell").join(contexts, "a").join(words, "b")
+    share = (F.col("n") - F.col("cut")) / F.col("total")
+    lower = F.col("left") * F.col("p")
+    terms = joint.select(F.col("pair").alias("key"), "n", (F.log(lower) - F.log(share + lower)).alias("term"))
+    terms = terms.union(words.select(F.col("b").alias("key"), F.col("seen").alias("n"), (-F.log("p") + F.log(F.lit(left0)) - F.col("spell")).alias("term")))
+    # A context's key is made in Python, where pairs are.
+    terms = materialise(terms.union(_context_terms(contexts)), "quality-terms")
+    head = terms.orderBy(F.desc("n"), "key").limit(HEAD).select("key", "term").toArrow()  # HEAD rows at most
+    keys, values = head.column(0).to_numpy(), head.column(1).to_numpy()
+    order = np.argsort(keys)
+    bit = F.col("key").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
+    return WordModel(spelling, -math.log(left0), terms, (keys[order], values[order]), bitmap(terms.select(bit.alias("bit"))), key)
+
+
+def _context_terms(contexts: DataFrame) -> DataFrame:
+    """(key, n, term) of rows (a, total, left)."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            a = np.array(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(a, np.zeros_like(a))), batch.column(1), batch.column(2)], ["key", "n", "term"])
+
+    return contexts.select("a", "total", -F.log("left")).mapInArrow(run, "key bigint, n bigint, term double")
+
+
+def scores(docs: DataFrame, model: WordModel, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, lang, digest, n, cost): characters and negative log-likelihood of each row; texts may be packed.
+
+    Terms of the head are added in place. What else may be in the table, told by the bitmap, is
+    summed for each row, shuffled by key and joined with the table, then summed by row.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((model.spelling, model.fresh, model.head, model.marks, model.key))
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("id"), lang.alias("lang"), row_digest(text_col, lang_col).alias("digest")).alias("doc"))
+
+    def run(batches):
+        import numpy as np
+        import zstandard
+
+        spelling, fresh, (head, terms), marks, key = sent.value
+        speller, marks = _speller(key, spelling), np.frombuffer(marks, np.uint8)
+        unpack = zstandard.ZstdDecompressor().decompress
+        known, spelled = {}, {}
+        for batch in sliced(batches):
+            chars, costs, keys, rids, counts = [], [], [], [], []
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if isinstance(text, bytes):
+                    text = unpack(text).decode("utf-8", "surrogatepass")
+                units = _UNIT.findall(text) if text else []
+                cost = 0.0
+                if units:
+                    for u in set(units):
+                        if u not in spelled:
+                            spelled[u] = speller(u) + fresh
+                    cost = sum(map(spelled.__getitem__, units))
+                    b = unit_hashes(units, known)
+                    a = np.concatenate([np.zeros(1, np.int64), b[:-1]])
+                    own, n = np.unique(np.concatenate([b, pair_keys(a, np.zeros_like(a)), pair_keys(a, b)]), return_counts=True)
+                    if len(head):
+                        at = np.minimum(np.searchsorted(head, own), len(head) - 1)
+                        hit = head[at] == own
+                        cost += float((terms[at[hit]] * n[hit]).sum())
+                        own, n = own[~hit], n[~hit]
+                    place = own & ((1 << BITMAP_BITS) - 1)
+                    may = (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                    keys.append(own[may])
+                    counts.append(n[may])
+                    rids.append(np.full(int(may.sum()), rid, np.int64))
+                chars.append(len(text or ""))
+                costs.append(cost)
+            if len(spelled) > _CACHED:
+                known, spelled = {}, {}
+            nothing = pa.array([0] * batch.num_rows, pa.int64())
+            # A row's own entry goes to any partition; no term touches it.
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), nothing, batch.column(2), pa.array(chars, pa.int64()), pa.array(costs, pa.float64())], names)
+            if keys:
+                k, r, m = np.concatenate(keys), np.concatenate(rids), np.concatenate(counts).astype(np.int64)
+                for lo in range(0, len(k), 50_000):
+                    part = slice(lo, lo + 50_000)
+                    size = len(k[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(r[part]), pa.array(m[part]), pa.nulls(size, batch.column(2).type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64())], names)
+
+    names = ["key", "rid", "m", "doc", "n", "cost"]
+    found = picked.mapInArrow(run, f"key bigint, rid bigint, m bigint, doc {picked.schema['doc'].dataType.simpleString()}, n bigint, cost double")
+    met = found.join(model.terms.select("key", "term").hint("merge"), "key", "left")
+    cost = F.coalesce(F.sum("cost"), F.lit(0.0)) + F.coalesce(F.sum(F.when(F.col("m") > 0, F.col("m") * F.col("term"))), F.lit(0.0))
+    summed = met.groupBy("rid").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("n").alias("n"), F.round(cost, 6).alias("cost"))
+    return summed.select("doc.*", "n", "cost")
+
+
+def row_digest(text_col: str, lang_col: str):
+    """What a row's verdict depends on, as a digest."""
+    return F.md5(F.concat_ws("\x00", F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
 
 
 @dataclass
 class Classifier:
     """A model with what decides: the trusted mean, and thresholds in thousandths by language."""
 
-    model: Model | None
+    model: WordModel | None
     mean: float
     thresholds: dict
     default: int
     prior: int
-    key: str
 
-    def mills(self, n: int, cost: float) -> int:
-        """A score in thousandths of a nat."""
-        return round(1000 * (cost + self.prior * self.mean) / (n + self.prior))
 
-    def keeps(self, lang: str, mills: int) -> bool:
-        return mills <= self.thresholds.get(lang, self.default)
+def held_out_scores(texts: DataFrame) -> DataFrame:
+    """The scores of trusted rows (id, lang, packed) under models that have not seen them.
+
+    Equal texts fall in one half, and each half is scored by the model of the other.
+    """
+    half = F.xxhash64("packed").bitwiseAND(1)
+    found = []
+    for k in (0, 1):
+        model = train_words(texts.where(half == 1 - k))
+        if model is not None:
+            found.append(materialise(scores(texts.where(half == k), model, "id", "packed", "lang"), "quality-held-out"))
+    return found[0].union(found[1]) if len(found) == 2 else texts.sparkSession.createDataFrame([], "id string, lang string, digest string, n bigint, cost double")
 
 
 def fit(
@@ -268,17 +519,15 @@ def fit(
     quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR,
 ) -> tuple[Classifier, DataFrame | None]:
     """(classifier, scores of all rows). trusted_ids: one column, the ids of trusted documents."""
-    import uuid
-
     trusted = materialise(trusted_ids.toDF("id").where("id is not null").distinct(), "quality-trusted")
-    # One plan for every size: both sides are shuffled, however few the trusted are.
-    codes = coded_texts(docs, id_col, text_col).join(trusted.hint("merge"), "id", "left_semi")
-    model, key = train(codes), uuid.uuid4().hex
+    texts = materialise(packed_texts(docs, trusted, id_col, text_col, lang_col), "quality-texts")
+    model = train_words(texts)
     if model is None:
-        return Classifier(None, 0.0, {}, 0, prior, key), None
-    scored = materialise(scores(docs, model, key, id_col, text_col, lang_col), "quality-scores")
-    good = scored.where("n > 0").join(trusted, "id", "left_semi").select("lang", "n", "cost")
-    good = materialise(good, "quality-good")
+        return Classifier(None, 0.0, {}, 0, prior), None
+    scored = materialise(scores(docs, model, id_col, text_col, lang_col), "quality-scores")
+    good = materialise(held_out_scores(texts).where("n > 0"), "quality-good")
+    if good.isEmpty():  # all trusted texts are equal: nothing was held out
+        good = materialise(scores(texts, model, "id", "packed", "lang").where("n > 0"), "quality-good")
     total = good.agg(F.sum("cost"), F.sum("n")).first()
     mean = round(total[0] / total[1], 6)
     mills = F.round(1000 * (F.col("cost") + prior * mean) / (F.col("n") + prior)).cast("int")
@@ -297,7 +546,15 @@ def fit(
     widen = lambda m: math.floor(m * (1 + margin))
     merged = histogram.groupBy("mills").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "mills", "n")
     default = widen(limits(merged).first()["mills"])
-    return Classifier(model, mean, {r["lang"]: widen(r["mills"]) for r in by_lang}, default, prior, key), scored
+    return Classifier(model, mean, {r["lang"]: widen(r["mills"]) for r in by_lang}, default, prior), scored
+
+
+def verdicts(spark, chosen: Classifier, scored: DataFrame) -> DataFrame:
+    """The scored rows with score, threshold and keep."""
+    table = materialise(spark.createDataFrame(sorted(chosen.thresholds.items()) or [("", chosen.default)], "lang string, threshold int"), "quality-limits")
+    score = F.round(1000 * (F.col("cost") + chosen.prior * chosen.mean) / (F.col("n") + chosen.prior)).cast("int")
+    limited = scored.join(table, "lang", "left").withColumn("score", score).withColumn("threshold", F.coalesce("threshold", F.lit(chosen.default)))
+    return limited.withColumn("keep", F.col("score") <= F.col("threshold"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
@@ -309,33 +566,36 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
             F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"),
             F.lit(None).cast("int").alias("score"), F.lit(None).cast("int").alias("threshold"), F.lit(True).alias("keep"),
         )
-    spark = docs.sparkSession
-    table = materialise(spark.createDataFrame(sorted(chosen.thresholds.items()) or [("", chosen.default)], "lang string, threshold int"), "quality-limits")
-    score = F.round(1000 * (F.col("cost") + chosen.prior * chosen.mean) / (F.col("n") + chosen.prior)).cast("int")
-    threshold = F.coalesce("threshold", F.lit(chosen.default))
-    return (
-        scored.join(table, "lang", "left")
-        .withColumn("score", score)
-        .select("id", "lang", F.col("n").alias("n_chars"), F.round(F.exp(F.col("cost") / F.greatest("n", F.lit(1))), 6).alias("perplexity"), "score", threshold.alias("threshold"), (F.col("score") <= threshold).alias("keep"))
-    )
+    return verdicts(docs.sparkSession, chosen, scored).select(
+        "id", "lang", F.col("n").alias("n_chars"), F.round(F.exp(F.col("cost") / F.greatest("n", F.lit(1))), 6).alias("perplexity"),
+        "score", "threshold", "keep",
+    )
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of docs, with all columns, that the classifier keeps; decided in place, without a shuffle of texts."""
     import pyarrow as pa
 
-    chosen, _ = fit(docs, trusted_ids, id_col, text_col, lang_col, **options)
-    if chosen.model is None:
+    chosen, scored = fit(docs, trusted_ids, id_col, text_col, lang_col, **options)
+    if scored is None:
         return docs
-    sent = docs.sparkSession.sparkContext.broadcast(chosen)
-    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
-
-    def run(batches):
-        rule = sent.value
-        score = _scorer(rule.key, rule.model)
-        for batch in sliced(batches):
-            texts, langs = batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist()
-            stays = [rule.keeps("" if lang is None else str(lang), rule.mills(len(t or ""), score(t))) for t, lang in zip(texts, langs)]
-            yield batch.filter(pa.array(stays, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    bad = materialise(verdicts(docs.sparkSession, chosen, scored).where(~F.col("keep")).select("digest").distinct(), "quality-bad")
+    bit = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << BITMAP_BITS) - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(bad.select((bit + 1).alias("bit"))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*columns, row_digest(text_col, lang_col).alias("digest")).select(*columns, F.col("digest").alias("_digest"), bit.alias("_bit"))
+
+    def suspects(wanted: bool):
+        def run(batches):
+            import numpy as np
+
+            marks = np.frombuffer(sent.value, np.uint8)
+            for batch in sliced(batches):
+                place = batch.column(batch.num_columns - 1).to_numpy()
+                yield batch.filter(pa.array(((marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1) == wanted))
+
+        return marked.mapInArrow(run, marked.schema)
+
+    # Only what the bitmap points at is shuffled.
+    held = suspects(True).join(bad.withColumnRenamed("digest", "_digest").hint("merge"), "_digest", "left_anti").select(*columns)
+    return suspects(False).select(*columns).union(held)
