@@ -274,7 +274,7 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int
     return found.join(wanted, "words", "left_semi").dropDuplicates(["words"])
 
 
-def similar_groups(
+def similar_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -283,10 +283,10 @@ def similar_groups(
     families: int = 4,
     max_bits: int = 3,
     blocks: int = 6,
-) -> DataFrame:
-    """(id, component_id) for each row: groups of texts whose sets of word shingles are similar.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, words, fps) of each row, (node, words, fps, least, n) of each word sequence, (node, root)).
 
-    Candidates are pairs of which one family's fingerprints differ in at most max_bits bits, met
+    Roots join texts whose sets of word shingles are similar. Candidates are pairs of which one family's fingerprints differ in at most max_bits bits, met
     by pigeonhole blocks; the shingle sets of the candidates then give their Jaccard similarity.
     """
     prints = materialise(word_prints(docs, id_col, text_col, families), "similar-prints")
@@ -311,20 +311,44 @@ def similar_groups(
         return materialise(pairs.where(similar).select("u", "v"), "similar-links")
 
     roots = materialise(near_components(classes.select("node", "fps"), max_bits, blocks, close), "similar-components")
+    return prints, classes, roots
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, component_id) for each row: groups of texts whose sets of word shingles are similar."""
+    prints, classes, roots = similar_classes(docs, id_col, text_col, **options)
     named = _named(classes.select("node", "least", "n"), roots)
     named = materialise(classes.select("node", "words").join(named, "node").select("words", "component_id"), "similar-named")
     return prints.join(named, "words", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def with_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with the column _words: the digest of each row's word sequence, as in word_prints."""
+    import pyarrow as pa
+
+    given = docs.withColumn("_words", F.col(text_col).cast("binary"))
+
+    def run(batches):
+        import xxhash
+
+        for batch in sliced(batches):
+            keys = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in batch.column("_words").to_pylist()]
+            yield batch.set_column(batch.num_columns - 1, "_words", pa.array(keys, batch.schema.field("_words").type))
+
+    return given.mapInArrow(run, given.schema)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without near-duplicates: of each similar group the row with the smallest id.
 
-    Rows with a null id stay only where their group has no other id. Repeated rows (same id)
-    count as one document, of which one row stays.
+    Rows with a null id stay only where their group has no other id. A row is known by its id and
+    its words, so different texts under one id, or without one, are documents of their own;
+    repeated rows (same id and words) count as one document, of which one row stays.
     """
-    groups = similar_groups(docs, id_col, text_col, **options)
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(key.alias("_kept")).distinct()
-    kept = materialise(kept, "simhash-kept")
-    keyed = docs.withColumn("_kept", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    _, classes, roots = similar_classes(docs, id_col, text_col, **options)
+    key = lambda i, words: F.concat(F.hex(words), F.coalesce(F.concat(F.lit(":"), i.cast("string")), F.lit("")))
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "words")).alias("first")
+    kept = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(first)
+    kept = materialise(kept.select(key(F.col("first.least"), F.col("first.words")).alias("_kept")), "simhash-kept")
+    keyed = with_words(docs, text_col).withColumn("_kept", key(F.col(id_col), F.col("_words"))).drop("_words")
     return keyed.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")

@@ -122,6 +122,13 @@ def test_similar_texts_leave_one(spark):
     assert kept == set(roots.values()) and len(kept) >= 80
 
 
+def test_keep_one_keeps_null_and_repeated_ids(spark):
+    texts = [f"{w} stands alone among all the others here with {w} and {w}s" for w in ("apple", "bridge", "candle", "dragon")]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[2]), (None, texts[3])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(i), t) for i, t in rows[:4])
+
+
 def test_connected_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u bigint, v bigint")
     found = {r["node"]: r["root"] for r in simhash.connected(edges, "path").collect()}
