@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking, in DataFrame functions alone.
 
 Base rules find assignments, access identifiers and long hex runs. Beyond them, weak candidates
-are looked for: bare key material (40 to 64 characters of base64 with both cases and digits),
+are looked for: bare key material (40 characters of base64 or more, with both cases and digits),
 account identifiers, and endpoints. Alone, none of them means a thing; they are reported only
 where complementary parts (an identifier and a secret, or a secret and an endpoint) lie in one
 scope, a stretch of at most `reach` code points.
@@ -36,9 +36,9 @@ BASE = ("assign", "access", "hex")
 
 # Weak parts. Possessive runs keep the scan linear.
 WEAK = {
-    "key": ("secret", r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{40})(?=[A-Za-z0-9+/]{0,63}[a-z])(?=[A-Za-z0-9+/]{0,63}[A-Z])(?=[A-Za-z0-9+/]{0,63}[0-9])[A-Za-z0-9+/]{40,64}+(?![A-Za-z0-9+/])"),
-    "account": ("id", r"(?<![A-Za-z0-9_])(?:client_id|account_id|user_id|username|login|access_key_id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_.@-]{4,128}+"),
-    "endpoint": ("endpoint", r"(?:https?|ftp|s3|jdbc:[a-z]{2,16}|mongodb|postgres|mysql|redis|amqp)://[A-Za-z0-9._:@/-]{4,256}+"),
+    "key": ("secret", r"(?<![A-Za-z0-9+/])(?=[A-Z0-9+/]*+[a-z])(?=[a-z0-9+/]*+[A-Z])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{40,}+"),
+    "account": ("id", r"(?<![A-Za-z0-9])(?i:client_id|account_id|user_id|username|login|access_key_id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_.@-]{4,}+"),
+    "endpoint": ("endpoint", r"(?:https?|ftp|s3|jdbc:[a-z]{2,16}|mongodb|postgres|mysql|redis|amqp)://[A-Za-z0-9._:@/-]{4,}+"),
 }
 # What each part gives when others are looked for: the identifier, the secret or the place.
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {k: role for k, (role, _) in WEAK.items()}

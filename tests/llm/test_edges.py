@@ -427,6 +427,14 @@ def test_linked_candidates(spark):
     assert {r["doc_id"] for r in secrets.redact(df).collect() if key in texts[r["doc_id"]] and key not in r["text"]} == {1, 3, 5}
 
 
+def test_weak_parts_of_any_length(spark):
+    key, end = "aB3" * 22, "https://h.example.com/" + "x/" * 200
+    texts = [f"AWS_ACCESS_KEY_ID=ABCD1234 {key[:65]}", f"aws_access_key_id = abcd1234 {key * 40}", f"{end} {key}", f"login={'q' * 300} {key}"]
+    rows = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    cleaned = [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert cleaned == ["AWS_[SECRET] [SECRET]", "aws_[SECRET] [SECRET]", "[SECRET] [SECRET]", "[SECRET] [SECRET]"]
+
+
 def test_decontamination_edges(spark, docs, empty):
     items = [(1, "Word0 RUNS word1 runs word2 runs word3 runs word4 runs word5"), (2, "one"), (3, None), (4, ""), (5, "alpha,beta; GAMMA"), (5, "alpha,beta; GAMMA"), (None, "negative"), (11, "日本語")]
     bench = spark.createDataFrame([(*x, "e") for x in items], "item_id bigint, text string, id string")
