@@ -1,12 +1,15 @@
 """The 78 base features as native columns, by group, in their fixed order.
 
-Groups read three staged columns: `_q` (the query), `_u` (upper case) and `_w` (the WHERE body),
-so each is computed once per row. Rows whose query is blank or too long get zeros.
+Groups read staged columns: the query, its upper case, its WHERE body and the depth of its
+parentheses, so each is computed once per row. Their names give way to those of the input. Depth
+needs a fold, which generated code cannot hold, so it stays in the staging projection; all
+features themselves are generated code. Rows whose query is blank or too long get zeros.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +33,19 @@ STRUCTURE_SCALE = {
 }
 
 
-def sql_group() -> dict[str, Column]:
-    q, u = F.col("_q"), F.col("_u")
+@dataclass
+class Staged:
+    """The staged columns of a frame: query, upper case, WHERE body, depth of parentheses, validity."""
+
+    query: Column
+    upper: Column
+    where: Column
+    depth: Column
+    valid: Column
+
+
+def sql_group(s: Staged) -> dict[str, Column]:
+    q, u = s.query, s.upper
     limit = F.regexp_extract(u, r"LIMIT\s+(\d+)", 1)
     return {
         "query_length": F.length(q).cast("double"),
@@ -44,7 +58,7 @@ def sql_group() -> dict[str, Column]:
         "limit_value": F.coalesce(F.nullif(limit, F.lit("")).cast("double"), F.lit(0.0)),
         "has_offset": T.has(u, "OFFSET"),
         "comment_ratio": (20.0 * T.count_of(q, "--") + 30.0 * T.count_of(q, "/*")) / F.greatest(F.length(q), F.lit(1)),
-        "parentheses_depth": T.deepest_parentheses(q),
+        "parentheses_depth": F.when(s.depth.isNull(), 0.0).otherwise(s.depth),
         "quoted_strings_count": F.floor(T.count_of(q, "'") / 2).cast("double"),
         "numeric_literals_count": F.regexp_count(q, F.lit(r"\b\d+\b")).cast("double"),
         "wildcard_count": T.count_of(q, "%"),
@@ -52,8 +66,8 @@ def sql_group() -> dict[str, Column]:
     }
 
 
-def table_join_group() -> dict[str, Column]:
-    q, u = F.col("_q"), F.col("_u")
+def table_join_group(s: Staged) -> dict[str, Column]:
+    q, u = s.query, s.upper
     where = F.locate("WHERE", u)
     return {
         "table_count": F.size(T.table_names(q)).cast("double"),
@@ -71,26 +85,29 @@ def table_join_group() -> dict[str, Column]:
     }
 
 
-def where_group() -> dict[str, Column]:
-    w = F.col("_w")
+def where_group(s: Staged) -> dict[str, Column]:
+    w = s.where
     upper = F.upper(w)
-    sizes = F.transform(T.in_lists(w), lambda x: F.size(F.split(x, ",", -1)))
+    lists = T.in_lists(w)
+    # No list holds a closing parenthesis, so one parts the lists; what is left is commas.
+    commas = F.regexp_replace(F.array_join(lists, ")"), "[^,)]", "")
+    longest = F.array_max(F.split(commas, "\\)", -1))
     return {
         "where_condition_count": T.count_of(w, "=") + T.count_of(w, "<") + T.count_of(w, ">"),
         "where_and_count": T.count_of(upper, " AND "),
         "where_or_count": T.count_of(upper, " OR "),
         "where_not_count": T.count_of(upper, " NOT "),
-        "in_clause_count": F.size(sizes).cast("double"),
-        "in_list_total_items": F.aggregate(sizes, F.lit(0), lambda a, x: a + x).cast("double"),
-        "max_in_list_size": F.coalesce(F.array_max(sizes), F.lit(0)).cast("double"),
+        "in_clause_count": F.size(lists).cast("double"),
+        "in_list_total_items": F.when(F.size(lists) == 0, 0.0).otherwise(T.count_of(commas, ",") + F.size(lists)),
+        "max_in_list_size": F.when(F.size(lists) == 0, 0.0).otherwise((F.length(longest) + 1).cast("double")),
         "between_count": T.count_of(upper, "BETWEEN"),
         "like_pattern_count": T.count_of(upper, "LIKE"),
         "exists_count": T.count_of(upper, "EXISTS"),
     }
 
 
-def aggregation_group() -> dict[str, Column]:
-    u = F.col("_u")
+def aggregation_group(s: Staged) -> dict[str, Column]:
+    u = s.upper
     body = F.regexp_extract(u, T.GROUP_BODY, 1)
     return {
         "group_by_count": F.when(body == "", 0.0).otherwise(F.size(F.split(body, ",", -1)).cast("double")),
@@ -104,9 +121,9 @@ def aggregation_group() -> dict[str, Column]:
     }
 
 
-def structure_group() -> dict[str, Column]:
+def structure_group(s: Staged) -> dict[str, Column]:
     """The deterministic definition: counts of what marks structure, scaled and cut at 1."""
-    u = F.col("_u")
+    u = s.upper
     with_count = T.count_of(u, "WITH ")
     raw = {
         "ast_depth": T.count_of(u, "(") + T.count_of(u, "SELECT"),
@@ -123,7 +140,7 @@ def structure_group() -> dict[str, Column]:
     return {name: T.at_most_one(value, STRUCTURE_SCALE[name]) for name, value in raw.items()}
 
 
-def context_group() -> dict[str, Column]:
+def context_group(s: Staged) -> dict[str, Column]:
     hour = F.coalesce(F.col("hour").cast("int"), F.lit(12))
     angle = hour * F.lit(2 * math.pi / 24)
     return {
@@ -138,8 +155,8 @@ def context_group() -> dict[str, Column]:
     }
 
 
-def query_type_group() -> dict[str, Column]:
-    u = F.col("_u")
+def query_type_group(s: Staged) -> dict[str, Column]:
+    u = s.upper
     head = T.strip(u)
     return {
         "is_select_query": T.flag(head.startswith("SELECT")),
@@ -150,8 +167,8 @@ def query_type_group() -> dict[str, Column]:
     }
 
 
-def set_operation_group() -> dict[str, Column]:
-    q, u = F.col("_q"), F.col("_u")
+def set_operation_group(s: Staged) -> dict[str, Column]:
+    q, u = s.query, s.upper
     except_, intersect = T.count_of(u, "EXCEPT"), T.count_of(u, "INTERSECT")
     return {
         "except_count": except_,
@@ -161,8 +178,8 @@ def set_operation_group() -> dict[str, Column]:
     }
 
 
-def null_aware_group() -> dict[str, Column]:
-    q = F.col("_q")
+def null_aware_group(s: Staged) -> dict[str, Column]:
+    q = s.query
     missing = lambda c: T.flag(F.coalesce(F.col(c), F.lit("")) == "")
     three, two = F.size(T.three_part_names(q)), F.size(T.two_part_names(q))
     catalogs, schemas = T.inferred_names(q)
@@ -191,10 +208,15 @@ GROUPS = {
 }
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df with the columns that the groups read."""
+def staged(df: DataFrame) -> tuple[DataFrame, Staged]:
+    """(df with the columns that the groups read, those columns)."""
+    names = [T.free_name(df.columns, n) for n in ("_query", "_upper", "_where", "_depth", "_valid")]
+    query, upper, where, depth, valid = names
     q = F.coalesce(F.col("query"), F.lit(""))
-    return df.withColumns({"_q": q, "_u": F.upper(q)}).withColumn("_w", T.where_body(F.col("_q")))
+    df = df.withColumns({query: q, upper: F.upper(q), valid: valid_query()})
+    # A query without parentheses has no depth; the others are folded.
+    folded = F.when(F.col(query).contains("("), T.deepest_parentheses(F.col(query)))
+    return df.withColumns({where: T.where_body(F.col(query)), depth: folded}), Staged(*map(F.col, names))
 
 
 def valid_query() -> Column:
@@ -205,23 +227,27 @@ def valid_query() -> Column:
 
 def group_columns(df: DataFrame, group: str, keep: list[str]) -> DataFrame:
     """The kept columns and the features of one group; only the columns that they read are scanned."""
-    cells = {n: F.when(F.col("_ok"), c).otherwise(0.0) for n, c in GROUPS[group]().items()}
-    return staged(df.withColumn("_ok", valid_query())).select(*keep, *[c.alias(n) for n, c in cells.items()])
+    rows, s = staged(df)
+    return rows.select(*keep, *[F.when(s.valid, c).otherwise(0.0).alias(n) for n, c in GROUPS[group](s).items()])
+
+
+def feature_names() -> dict[str, list[str]]:
+    """The names of each group's features, in their fixed order."""
+    nothing = Staged(*[F.lit(None)] * 5)
+    return {name: list(make(nothing)) for name, make in GROUPS.items()}
 
 
 def with_features(df: DataFrame, names: list[str] | None = None, output: str = "features") -> DataFrame:
     """df with an array<double> of the named features (all 78 by default), in that order.
 
-    Three layers keep generated code small: staged texts, one column for each feature, the array.
     Features that are not named are never computed.
     """
-    cells = {n: c for make in GROUPS.values() for n, c in make().items()}
+    layer, s = staged(df)
+    cells = {n: c for make in GROUPS.values() for n, c in make(s).items()}
     names = list(cells) if names is None else names
     unknown = [n for n in names if n not in cells]
     if unknown:
         raise ValueError(f"unknown features: {unknown}")
-    layer = staged(df.withColumn("_ok", valid_query()))
-    layer = layer.select(*df.columns, "_ok", *[cells[n].alias(f"_f_{n}") for n in names])
-    array = F.array(*[F.col(f"_f_{n}") for n in names]) if names else F.array().cast("array<double>")
+    array = F.array(*[cells[n] for n in names]) if names else F.array().cast("array<double>")
     zeros = F.array_repeat(F.lit(0.0), len(names))
-    return layer.select(*df.columns, F.when(F.col("_ok"), array).otherwise(zeros).alias(output))
+    return layer.select(*[F.col(f"`{c}`") for c in df.columns], F.when(s.valid, array).otherwise(zeros).alias(output))

@@ -28,6 +28,17 @@ LITERALS = (
 )
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that is not taken: the given one, with underscores in front as long as it is.
+
+    Names that differ in case alone count as taken, as the session may not tell them apart.
+    """
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def count_of(text: Column, part: str) -> Column:
     """Occurrences of a substring that do not overlap, as a double."""
     lost = F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
@@ -77,7 +88,7 @@ def strip(text: Column) -> Column:
 def table_names(query: Column) -> Column:
     """The distinct names after FROM and JOIN, sorted."""
     found = [F.regexp_extract_all(query, F.lit(p), F.lit(1)) for p in (FROM_NAME, JOIN_NAME)]
-    return F.array_sort(F.array_union(*found))
+    return F.sort_array(F.array_union(*found))
 
 
 def three_part_names(query: Column, group: int = 0) -> Column:
@@ -114,7 +125,8 @@ def inferred_names(query: Column) -> tuple[Column, Column]:
     use_catalog, use_schema = use_names(query)
     catalogs = F.concat(three_part_names(query, 1), F.array(use_catalog))
     schemas = F.concat(three_part_names(query, 2), two_part_names(query, 1), F.array(use_schema))
-    return F.array_distinct(F.array_compact(catalogs)), F.array_distinct(F.array_compact(schemas))
+    nothing = F.array(F.lit(None).cast("string"))
+    return F.array_except(catalogs, nothing), F.array_except(schemas, nothing)
 
 
 def normalise_sql(query: Column) -> Column:

@@ -126,6 +126,27 @@ def zero_cost_safety(df: DataFrame, safe: list[str], category=None) -> DataFrame
     return df.agg(total.alias("total"), covered.alias("covered"), heavy.alias("heavy_in_safe"), _percent(covered, total).alias("coverage_pct"), (heavy == 0).alias("is_safe"))
 
 
+def summary(df: DataFrame) -> dict:
+    """What quick_stats says of a labelled frame, under the names that reports use."""
+    row = quick_stats(df).first()
+    return {
+        "total_queries": row["total"], "heavy_queries": row["heavy"], "small_queries": row["small"],
+        "heavy_percentage": row["heavy_pct"], "small_to_heavy_ratio": row["small_to_heavy"],
+    }
+
+
+def comparison_report(before: DataFrame, after: DataFrame, name: str = "step") -> str:
+    """A text about what a step removed; it warns where heavy queries lose five points more than all do."""
+    row = compare(before, after).first()
+    lines = [f"== {name}"]
+    for kind in ("total", "heavy", "small"):
+        lines.append(f"{kind}: {row[f'{kind}_before']} to {row[f'{kind}_after']}, {row[f'{kind}_removed']} removed ({row[f'{kind}_removed_pct']:.1f} %)")
+    if row["heavy_removed_pct"] > row["total_removed_pct"] + 5:
+        lines.append("warning: heavy queries are removed out of proportion")
+    balance = [f"{row[f'small_{t}'] / row[f'heavy_{t}']:.2f}" if row[f"heavy_{t}"] else "none" for t in ("before", "after")]
+    return "\n".join([*lines, f"small to heavy: {balance[0]} to {balance[1]}"])
+
+
 def report(df: DataFrame) -> str:
     """A text of the profiles."""
     parts = [("overview", quick_stats(df)), ("query types", top_types(df)), ("heaviest types", heaviest_types(df)), ("resource errors", top_errors(df))]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import free_name
 from sparkloom.functions.text import strip as strip_text
 
 CPU_SECONDS = 300.0
@@ -49,7 +50,8 @@ def filter_queries(
 def first_of(df: DataFrame, key: str = "queryId", order: tuple[str, ...] = ("createTime",)) -> DataFrame:
     """The first row of each key by `order`; what is left to ties is settled by a hash of the row."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(*order, F.xxhash64(*df.columns)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    name = free_name(df.columns, "_rank")
+    return df.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def with_date_parts(df: DataFrame) -> DataFrame:
@@ -70,8 +72,8 @@ def split_column(end: Column, val_days: int = 7, test_days: int = 7, start: Colu
 
 def time_splits(df: DataFrame, start: str, end: str, val_days: int = 7, test_days: int = 7) -> dict[str, DataFrame]:
     """The three splits of a frame with queryDate."""
-    marked = df.withColumn("_split", split_column(F.lit(end).cast("date"), val_days, test_days, F.lit(start).cast("date")))
-    return {n: marked.where(F.col("_split") == n).drop("_split") for n in ("train", "val", "test")}
+    split = split_column(F.lit(end).cast("date"), val_days, test_days, F.lit(start).cast("date"))
+    return {n: df.where(split == n) for n in ("train", "val", "test")}
 
 
 def check_requests(df: DataFrame, max_length: int = 1_000_000) -> DataFrame:

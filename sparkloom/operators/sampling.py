@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import stable_bucket
+from sparkloom.functions.text import free_name, stable_bucket
 
 BUCKETS = 1_000_000
 
@@ -62,6 +64,8 @@ def adjust(all_small: DataFrame, sampled: DataFrame, target: int, tolerance: flo
     difference = target - current
     if target <= 0 or abs(difference) < target * tolerance:
         return sampled
+    if abs(difference) > 0.2 * target:
+        logging.getLogger(__name__).warning("the sample is adjusted by %.1f %% of its target", 100 * abs(difference) / target)
     if difference > 0:
         rest = all_small.join(sampled.select("queryId"), "queryId", "left_anti")
         left = rest.count()
@@ -81,17 +85,17 @@ def exact_ratio_sample(df: DataFrame, ratio: float = 5.0, label: str = "is_heavy
     target = int(heavy * ratio)
     rows = with_probability(with_distance(df.where(F.col(label) == 0)), **options)
     weight = unit_hash() / F.greatest(F.col("sampling_probability"), F.lit(1e-9))
-    rows = rows.withColumn("_weight", weight).withColumn("_bucket", F.least(F.floor(F.col("_weight") * 10_000), F.lit(1_000_000)))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    histogram = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    reached = histogram.select("_bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own, bucket, rank = (free_name(rows.columns, n) for n in ("_weight", "_bucket", "_rank"))
+    rows = rows.withColumn(own, weight).withColumn(bucket, F.least(F.floor(F.col(own) * 10_000), F.lit(1_000_000)))
+    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    histogram = rows.groupBy(F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    reached = histogram.select("bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     last = reached.where(f"before < {target} and before + n >= {target}").first()
     small = rows.where(F.lit(True)) if last is None and target > 0 else rows.where(F.lit(False))
     if last is not None:
-        edge = rows.where(F.col("_bucket") == last["_bucket"])
-        rank = F.row_number().over(W.orderBy("_weight", "queryId"))
-        taken = edge.withColumn("_rank", rank).where(F.col("_rank") <= target - last["before"]).drop("_rank")
-        small = rows.where(F.col("_bucket") < last["_bucket"]).unionByName(taken)
+        edge = rows.where(F.col(bucket) == last["bucket"])
+        taken = edge.withColumn(rank, F.row_number().over(W.orderBy(own, "queryId"))).where(F.col(rank) <= target - last["before"]).drop(rank)
+        small = rows.where(F.col(bucket) < last["bucket"]).unionByName(taken)
     return df.where(F.col(label) == 1).unionByName(small.select(*df.columns), allowMissingColumns=True)
 
 

@@ -53,14 +53,23 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder below the shared checkpoint folder; a local one only where that is unset."""
+    """A folder below the shared checkpoint folder; a local one only where that is unset, on one machine."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp()
     return f"{base.rstrip('/')}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def training_days(df: DataFrame) -> DataFrame:
+    """The rows of the days that come before validation and test."""
+    return df.where(F.col("createTime") < F.lit("2024-01-16").cast("timestamp"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each catalog over the labelled and filtered log."""
     return rounded(statistics.catalog_stats(etl.filter_queries(labelled(spark, sf_dir))))
@@ -147,10 +156,12 @@ def in_memory(spark, sf_dir):
 
 
 @register(O.query(f"""SELECT queryId, lower({O.strip('"user"')}) AS "user", CASE WHEN catalog <> '' THEN {O.strip('catalog')} END AS catalog,
-  CAST(CASE WHEN query IS NULL OR NOT regexp_matches(query, '\\S') THEN 1 ELSE 0 END AS INTEGER) + CAST(CASE WHEN hour BETWEEN 0 AND 23 THEN 0 ELSE 1 END AS INTEGER) AS n_problems FROM query_log"""))
+  CASE WHEN schema <> '' THEN {O.strip('schema')} END AS schema, {O.strip('clientInfo')} AS "clientInfo",
+  concat_ws(', ', CASE WHEN query IS NULL OR NOT regexp_matches(query, '\\S') THEN 'query is blank' END, CASE WHEN length(query) > 1000000 THEN 'query is too long' END,
+    CASE WHEN hour NOT BETWEEN 0 AND 23 THEN 'hour is out of range' END, CASE WHEN length(clientInfo) > 500 THEN 'clientInfo is too long' END) AS problems FROM query_log"""))
 def validate_requests(spark, sf_dir):
     df = etl.check_requests(log(spark, sf_dir))
-    return df.select("queryId", "user", "catalog", F.size("problems").alias("n_problems"))
+    return df.select("queryId", "user", "catalog", "schema", "clientInfo", F.array_join("problems", ", ").alias("problems"))
 
 
 # --- sampling
@@ -207,7 +218,22 @@ def exact_ratio_sample(spark, sf_dir):
     return sampling.exact_ratio_sample(labelled(spark, sf_dir)).select("queryId", "is_heavy")
 
 
-@register()
+_ADJUSTED = f"""small AS (SELECT queryId, is_heavy, {O.unit(42)} AS u42, {O.unit(43)} AS u43, {O.unit(44)} AS u44 FROM labelled WHERE is_heavy = 0),
+goal AS (SELECT (SELECT 5 * count(*) FROM labelled WHERE is_heavy = 1) AS target, (SELECT count(*) FROM small WHERE u42 < {{0}}) AS have, (SELECT count(*) FROM small WHERE u42 >= {{0}}) AS rest)"""
+_KEPT = """SELECT queryId, is_heavy FROM small, goal WHERE CASE WHEN target <= 0 OR abs(target - have) < target * 0.05::DOUBLE THEN u42 < {0}
+  WHEN target > have THEN u42 < {0} OR u43 < least((target - have) / nullif(rest, 0)::DOUBLE, 1) ELSE u42 < {0} AND u44 < target / have::DOUBLE END"""
+
+
+@register(O.query(_KEPT.format("0.9::DOUBLE"), _ADJUSTED.format("0.9::DOUBLE")))
+def shrunk_sample(spark, sf_dir):
+    """As adjusted_sample, from a sample that is too large."""
+    df = labelled(spark, sf_dir)
+    heavy, _ = sampling.class_counts(df)
+    small = df.where("is_heavy = 0")
+    return sampling.adjust(small, sampling.hash_sample(small, 0.9), 5 * heavy).select("queryId", "is_heavy")
+
+
+@register(O.query(_KEPT.format("0.05::DOUBLE"), _ADJUSTED.format("0.05::DOUBLE")))
 def adjusted_sample(spark, sf_dir):
     df = labelled(spark, sf_dir)
     heavy, _ = sampling.class_counts(df)
@@ -238,16 +264,17 @@ def overall_stats(spark, sf_dir):
     return rounded(statistics.overall_stats(labelled(spark, sf_dir)))
 
 
-@register()
+@register(O.stats_sql("catalog"))
 def catalog_stats_approx(spark, sf_dir):
-    return statistics.catalog_stats(labelled(spark, sf_dir))
+    """By sketches, which are exact while a group has fewer values than the sketch's accuracy."""
+    return rounded(statistics.catalog_stats(labelled(spark, sf_dir)))
 
 
 @register(O.historical_sql())
 def historical_features(spark, sf_dir):
-    """Features of all queries by the statistics of the even-numbered ones."""
+    """Features of all queries by the statistics of the training days."""
     df = labelled(spark, sf_dir)
-    stats = statistics.compute(df.where(F.col("queryId").cast("bigint") % 2 == 0), exact=True)
+    stats = statistics.compute(training_days(df), exact=True)
     return rounded(statistics.with_historical(df, stats).select("queryId", *pipeline.HISTORICAL_NAMES))
 
 
@@ -419,12 +446,41 @@ def union_by_name(spark, sf_dir):
     return df.where("is_heavy = 1").unionByName(small, allowMissingColumns=True)
 
 
-@register(O.query("SELECT queryId, 95 AS n, total FROM (SELECT queryId, round(length(query)::DOUBLE, 6) AS total FROM query_log WHERE regexp_matches(query, '\\S'))"))
+_VALID = "WHERE regexp_matches(q, '\\S')"
+_CELLS = ", ".join(f"round({O.FEATURES[n]}, 6) AS {n}" for n in base_names())
+
+
+@register(O.query(f"SELECT b.*, h.* EXCLUDE (queryId) FROM (SELECT queryId, {_CELLS} FROM staged {_VALID}) b JOIN (SELECT * FROM ({O.historical_sql(rows='true')})) h USING (queryId)", O.STAGED))
 def concatenated_vectors(spark, sf_dir):
-    """78 base and 17 historical features in one array; its first element is the length of the query."""
-    df = labelled(spark, sf_dir).where(feats.valid_query())
-    done = pipeline.featurised(df, statistics.compute(df))
-    return done.select("queryId", F.size("features").alias("n"), F.col("features")[0].alias("total"))
+    """78 base and 17 historical features, each read off one array."""
+    df = labelled(spark, sf_dir)
+    done = pipeline.featurised(df.where(feats.valid_query()), statistics.compute(training_days(df), exact=True))
+    return rounded(done.select("queryId", *[F.col("features")[i].alias(n) for i, n in enumerate(pipeline.feature_names())]))
+
+
+@register(O.query("SELECT split, queryId, is_heavy FROM (SELECT CASE WHEN createTime < TIMESTAMP '2024-01-16' THEN 'train' ELSE 'test' END AS split, queryId, is_heavy FROM labelled)"))
+def split_roundtrip(spark, sf_dir):
+    """Splits that are written to folders of their own and read back."""
+    df, base = labelled(spark, sf_dir).select("queryId", "createTime", "is_heavy"), scratch(spark, "splits")
+    first = F.col("createTime") < F.lit("2024-01-16").cast("timestamp")
+    for name, rows in (("train", df.where(first)), ("test", df.where(~first))):
+        query_log.write_plain(rows, f"{base}/{name}")
+    found = query_log.read_splits(spark, base, ("train", "test"))
+    return found["train"].withColumn("split", F.lit("train")).union(found["test"].withColumn("split", F.lit("test"))).select("split", "queryId", "is_heavy")
+
+
+@register(O.query("SELECT count(*) AS rows, count(*) FILTER (is_heavy = 1) AS heavy FROM labelled"))
+def statistics_document(spark, sf_dir):
+    """What the statistics say once they went through their JSON document: the sums over all users."""
+    stats = statistics.compute(labelled(spark, sf_dir), exact=True)
+    read = statistics.from_document(spark, statistics.to_document(stats))
+    return read["user"].agg(F.sum("query_count").alias("rows"), F.sum(F.round(F.col("query_count") * F.col("heavy_rate")).cast("bigint")).alias("heavy"))
+
+
+@register(O.query("""SELECT round(sum(p * precision) / sum(p), 6) AS pr_auc FROM (SELECT count(*) FILTER (is_heavy = 1) AS p,
+  (SELECT count(*) FILTER (is_heavy = 1) / count(*)::DOUBLE FROM scores b WHERE b.score >= a.score) AS precision FROM scores a GROUP BY score)""", O.SCORES))
+def pr_auc(spark, sf_dir):
+    return rounded(evaluation.pr_auc(scores(spark, sf_dir)))
 
 
 # --- text and TF-IDF
@@ -470,17 +526,22 @@ def tfidf_l2(spark, sf_dir):
     return rounded(tfidf.unit_weights(log(spark, sf_dir), "queryId", min_df=10, drop_keywords=True))
 
 
-@register()
+_WEIGHED = "weighed AS (SELECT k AS queryId, term, coalesce(idf / nullif(sqrt(sum(idf * idf) OVER (PARTITION BY k)), 0), 0) AS weight FROM terms JOIN chosen USING (term))"
+
+
+@register(O.query("SELECT queryId, term, round(weight, 6) AS weight FROM weighed WHERE weight > 0", _CHOSEN, _WEIGHED))
 def tfidf_vectors(spark, sf_dir):
-    """The same weights by the fitted ML pipeline."""
+    """The same weights by the fitted ML pipeline, one row for each that is not zero."""
     df = log(spark, sf_dir)
-    return tfidf.SqlTfidf(min_df=10).fit(df).transform(df).select("queryId", "tfidf")
+    fitted = tfidf.SqlTfidf(min_df=10).fit(df)
+    rows = fitted.transform(df).select("queryId", F.posexplode("tfidf").alias("at", "weight")).where("weight > 0")
+    return rounded(rows.select("queryId", F.get(F.array(*map(F.lit, fitted.vocabulary)), F.col("at")).alias("term"), "weight"))
 
 
-@register()
+@register(O.query("SELECT queryId, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY queryId ORDER BY weight DESC, term) AS r FROM weighed WHERE weight > 0) WHERE r <= 5", _CHOSEN, _WEIGHED))
 def tfidf_top_terms(spark, sf_dir):
     df = log(spark, sf_dir)
-    return tfidf.SqlTfidf(min_df=10).fit(df).top_terms(df, "queryId", 5)
+    return rounded(tfidf.SqlTfidf(min_df=10).fit(df).top_terms(df, "queryId", 5))
 
 
 # --- evaluation
@@ -601,14 +662,16 @@ def mismatch_by_group(spark, sf_dir):
 
 
 def _ready(spark, sf_dir):
+    """Features of all valid queries by the statistics of the training days."""
     df = labelled(spark, sf_dir).where(feats.valid_query())
-    return pipeline.featurised(df, statistics.compute(df.where(F.col("queryId").cast("bigint") % 2 == 0))).select("queryId", "is_heavy", "features")
+    return pipeline.featurised(df, statistics.compute(training_days(df))).select("queryId", "createTime", "is_heavy", "features")
 
 
 @register()
 def gbt_scores(spark, sf_dir):
-    df = _ready(spark, sf_dir).persist()
-    model = training.fit(df, rounds=10, depth=4)
+    """Scores of all queries by a model that is fitted on the training days."""
+    df = _ready(spark, sf_dir)
+    model = training.fit(training_days(df), rounds=10, depth=4)
     return training.scored(model, df).select("queryId", "is_heavy", "score")
 
 
@@ -619,7 +682,7 @@ def cv_folds(spark, sf_dir):
 
 @register()
 def importance(spark, sf_dir):
-    model = training.fit(_ready(spark, sf_dir), rounds=5, depth=3)
+    model = training.fit(training_days(_ready(spark, sf_dir)), rounds=5, depth=3)
     return spark.createDataFrame(training.importance(model, pipeline.feature_names()), "feature string, importance double")
 
 

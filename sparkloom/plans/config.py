@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 #: Defaults of each section. Paths are the caller's.
@@ -16,6 +17,8 @@ DEFAULTS: dict[str, dict] = {
     "requirements": {"target_heavy_recall": 0.98, "target_fnr": 0.02, "target_f1": 0.85, "target_roc_auc": 0.90},
     "time_splits": {"train_days": 30, "val_days": 7, "test_days": 7},
     "validation": {"parity_tolerance": 1e-6, "parity_samples": 100, "parity_success_threshold": 0.5},
+    "spark": {"app_name": "sparkloom", "driver_memory": "16G", "executor_memory": "20G", "executor_cores": 5, "driver_cores": 4, "min_executors": 2, "max_executors": 20},
+    "storage": {"container": "data", "artifacts": "artifacts", "models": "models"},
 }
 
 _NUMBER = (int, float)
@@ -36,6 +39,7 @@ _RANGES: dict[str, dict[str, tuple]] = {
     },
     "requirements": {k: (_NUMBER, 0, True, 1.0) for k in ("target_heavy_recall", "target_fnr", "target_f1", "target_roc_auc")},
     "time_splits": {k: (int, 1, True, None) for k in ("train_days", "val_days", "test_days")},
+    "spark": {k: (int, 1, True, None) for k in ("executor_cores", "driver_cores", "min_executors", "max_executors")},
     "validation": {"parity_tolerance": (_NUMBER, 0, False, None), "parity_samples": (int, 1, True, None), "parity_success_threshold": (_NUMBER, 0, True, 100.0)},
 }
 _REQUIRED = {
@@ -44,7 +48,10 @@ _REQUIRED = {
     "model": ("n_estimators", "max_depth", "learning_rate"),
     "requirements": ("target_heavy_recall", "target_fnr", "target_f1", "target_roc_auc"),
     "time_splits": ("train_days", "val_days", "test_days"),
+    "spark": ("app_name",),
+    "storage": ("container",),
 }
+_MEMORY = re.compile(r"\d+(?:\.\d+)?[kmgtKMGT]?[bB]?")
 
 
 def _day(value) -> date | None:
@@ -73,6 +80,16 @@ def problems(config: dict) -> list[str]:
     found += [f"data_loading: {k} is not a date" for k, d in days.items() if d is None]
     if len(days) == 2 and all(days.values()) and days["end_date"] <= days["start_date"]:
         found.append("data_loading: end_date must come after start_date")
+    spark = config.get("spark", {})
+    for key in ("driver_memory", "executor_memory"):
+        if key in spark and not _MEMORY.fullmatch(str(spark[key])):
+            found.append(f"spark: {key} is not an amount of memory")
+    least, most = spark.get("min_executors"), spark.get("max_executors")
+    if isinstance(least, int) and isinstance(most, int) and least > most:
+        found.append("spark: min_executors is above max_executors")
+    for section, keys in {"spark": ("app_name",), "storage": ("container", "artifacts", "models")}.items():
+        values = config.get(section, {})
+        found += [f"{section}: {k} must be a text" for k in keys if k in values and not (isinstance(values[k], str) and values[k].strip())]
     pair = config.get("features", {}).get("ngram_range")
     if pair is not None and (not isinstance(pair, list) or len(pair) != 2 or pair[0] < 1 or pair[1] < pair[0]):
         found.append("features: ngram_range must be two growing integers")

@@ -47,7 +47,11 @@ DISTANCES = """distances AS (SELECT *, abs(cpu_time_seconds - 300) / 300.0::DOUB
 PROBABILITIES = """probabilities AS (SELECT *, CASE WHEN boundary_distance < 0.5 THEN 1.0::DOUBLE
   ELSE 2.0::DOUBLE - 1.95::DOUBLE * least(boundary_distance, 1.0::DOUBLE) END AS sampling_probability FROM distances)"""
 SCORES = f"""scores AS (SELECT queryId, is_heavy, least({bucket('queryId', 1000)} / 1000.0::DOUBLE + 0.3::DOUBLE * is_heavy, 1.0::DOUBLE) AS score FROM labelled)"""
-UNIT = "(" + bucket("concat('42:', queryId)", 1_000_000) + " / 1000000.0::DOUBLE)"
+def unit(seed: int = 42) -> str:
+    return "(" + bucket(f"concat('{seed}:', queryId)", 1_000_000) + " / 1000000.0::DOUBLE)"
+
+
+UNIT = unit()
 
 
 def query(select: str, *parts: str) -> str:
@@ -86,11 +90,13 @@ def stats_sql(kind: str) -> str:
     return query(select, MEASURED)
 
 
-def historical_sql() -> str:
+def historical_sql(known: str = "createTime < TIMESTAMP '2024-01-16'", rows: str = "true") -> str:
+    """known: the rows that statistics are made of; rows: those that get features."""
+    common = "count(*) AS n, avg(CAST(is_heavy AS DOUBLE)) AS r, coalesce(avg(c), 0) AS a, " + _disc("c", 0.9) + " AS p, coalesce(avg(m), 0) AS g"
     sides = {
-        "u": 'SELECT "user" AS k, count(*) AS n, avg(CAST(is_heavy AS DOUBLE)) AS r, coalesce(avg(c), 0) AS a, ' + _disc("c", 0.9) + ' AS p, coalesce(avg(m), 0) AS g, count(DISTINCT catalog) AS d FROM measured WHERE CAST(queryId AS BIGINT) % 2 = 0 GROUP BY "user"',
-        "cs": "SELECT coalesce(nullif(catalog, ''), 'NULL') AS k, count(*) AS n, avg(CAST(is_heavy AS DOUBLE)) AS r, coalesce(avg(c), 0) AS a, " + _disc("c", 0.9) + ' AS p, coalesce(avg(m), 0) AS g, count(DISTINCT "user") AS d FROM measured WHERE CAST(queryId AS BIGINT) % 2 = 0 GROUP BY 1',
-        "ss": "SELECT coalesce(nullif(schema, ''), 'NULL') AS k, count(*) AS n, avg(CAST(is_heavy AS DOUBLE)) AS r, coalesce(avg(c), 0) AS a, " + _disc("c", 0.9) + " AS p, coalesce(avg(m), 0) AS g, 0 AS d FROM measured WHERE CAST(queryId AS BIGINT) % 2 = 0 GROUP BY 1",
+        "u": f'SELECT "user" AS k, {common}, count(DISTINCT catalog) AS d FROM measured WHERE {known} GROUP BY "user"',
+        "cs": f"SELECT coalesce(nullif(catalog, ''), 'NULL') AS k, {common}, count(DISTINCT \"user\") AS d FROM measured WHERE {known} GROUP BY 1",
+        "ss": f"SELECT coalesce(nullif(schema, ''), 'NULL') AS k, {common}, 0 AS d FROM measured WHERE {known} GROUP BY 1",
     }
     cut = lambda e, scale: f"least(coalesce({e[0]}, {e[1]}) / {scale}.0::DOUBLE, 1.0::DOUBLE)"
     cells = []
@@ -107,7 +113,7 @@ def historical_sql() -> str:
     cells.append("CAST(CASE WHEN u.k IS NULL AND cs.k IS NULL AND ss.k IS NULL THEN 1 ELSE 0 END AS DOUBLE) AS is_cold_start")
     key = lambda c: f"CASE WHEN m.{c} IS NULL OR m.{c} IN ('', 'null', 'NULL') THEN 'NULL' ELSE m.{c} END"
     select = f"""SELECT m.queryId, {', '.join(cells)} FROM measured m
-  LEFT JOIN ({sides['u']}) u ON m."user" = u.k LEFT JOIN ({sides['cs']}) cs ON {key('catalog')} = cs.k LEFT JOIN ({sides['ss']}) ss ON {key('schema')} = ss.k"""
+  LEFT JOIN ({sides['u']}) u ON m."user" = u.k LEFT JOIN ({sides['cs']}) cs ON {key('catalog')} = cs.k LEFT JOIN ({sides['ss']}) ss ON {key('schema')} = ss.k WHERE {rows}"""
     return query(select, MEASURED)
 
 
