@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The size of bitmaps that tell scans which rows to look at.
-BITMAP_BITS = 26
+#: Bitmaps that tell scans which rows to look at have 2**LEAST_BITS to 2**MOST_BITS bits, by the number of keys.
+LEAST_BITS, MOST_BITS = 20, 30
 
 _LOCAL_BASE: dict[str, str] = {}
 
@@ -19,11 +20,14 @@ _LOCAL_BASE: dict[str, str] = {}
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a local folder takes its place.
+    Only where that setting is absent in a session on one machine (as in tests) a local folder
+    takes its place; a cluster without it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = _LOCAL_BASE.setdefault("dir", tempfile.mkdtemp(prefix="sparkloom-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _LOCAL_BASE.get("dir") or _LOCAL_BASE.setdefault("dir", tempfile.mkdtemp(prefix="sparkloom-"))
     return f"{base.rstrip('/')}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
@@ -51,13 +55,44 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def bitmap(places: DataFrame) -> bytes:
-    """2**BITMAP_BITS bits, set at the places (column `bit`, from 1 to 2**BITMAP_BITS)."""
+class Scratch:
+    """Intermediate tables of one computation, below one folder, dropped when they are consumed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._folder, self._paths = spark, scratch_path(spark, name), {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and reads it back; a name that is used again replaces the older table afterwards."""
+        path = f"{self._folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self._paths[name] = path
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self._paths:
+                drop_path(self._spark, self._paths.pop(name))
+
+    def close(self) -> None:
+        drop_path(self._spark, self._folder)
+
+
+def bits_for(keys: int) -> int:
+    """The logarithm of a bitmap's size: 16 bits for each key at least, up to 2**MOST_BITS (128 MB) in all.
+
+    Beyond some 10^8 keys a bitmap lets more rows through than it must; what passes is always decided by a join.
+    """
+    return max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(16 * keys + 1))))
+
+
+def bitmap(places: DataFrame, size: int) -> bytes:
+    """2**size bits, set at the places (column `bit`, from 1 to 2**size)."""
     import numpy as np
 
     rows = places.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
-    for bucket, bits in rows.collect():  # at most 2**BITMAP_BITS / 32768 rows of 4 kB
+    out = np.zeros((1 << size) // 8, dtype=np.uint8)
+    for bucket, bits in rows.collect():  # at most 2**size / 32768 rows of 4 kB
         out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), dtype=np.uint8)
     return out.tobytes()
 

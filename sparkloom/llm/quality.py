@@ -1,186 +1,180 @@
-"""Quality classifier: perplexity under interpolated modified Kneser-Ney models of words and characters.
-
-Both models are trained on trusted text, all of it. The word model is a bigram model over all
-words, signs and unusual white space as they stand; its tables grow with the text and stay
-sharded. New words are spelled by the character model: order 4 over characters folded into 64
-classes (so 64**4 n-grams at most), each class shared evenly by its code points.
-
-Counts are summed in each task, shuffled by n-gram and joined, sharded, with the statistics of
-their contexts: discounts come from the counts of counts, lower orders from continuation counts.
-A text costs the spelling of its units plus the terms of the units, contexts and pairs that the
-model holds. Terms of the `HEAD` most frequent are added in place; of the rest, those that a
-bitmap does not rule out are summed for each row, shuffled by key and joined with the table.
-
-A document's score is its mean negative log-likelihood for each character, drawn towards the
-mean of trusted text by `prior` characters, so that short texts do not stray by chance. A
-document is rejected when its score is above its language's threshold: the `quantile` of the
-scores of the language's trusted documents, each scored by a model of the half of the trusted
-texts that it is not in, times 1 + `margin`. Quantiles are exact on scores in thousandths: they
-are read off a histogram of bounded width.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters.
+
+The model is trained on all trusted text: n-grams of up to `ORDER` code points as they stand, no
+classes and no folding, so its tables grow with the text and know every script. Counts are summed
+in each task, shuffled by n-gram and joined, sharded, with the statistics of their contexts:
+discounts come from the counts of counts, lower orders from continuation counts. Below the last
+order each of the code points is as likely as any other.
+
+Scores come from joins of counts as well. A character costs -log p of the longest n-gram that the
+model holds, and the backing-off weights of the longer contexts that it holds. Of the most
+frequent n-grams and contexts (`head` at most) each worker has a copy and adds their terms in
+place; occurrences of others that a bitmap does not rule out are summed for each row, shuffled by
+key and joined with the sharded table, and the joined terms are summed by row. Costs are integers
+(millionths of a nat), so sums do not depend on their order.
+
+A document's score is its mean negative log-likelihood for each character, in thousandths of a
+nat, drawn towards the mean of trusted text by `prior` characters, so that short texts do not
+stray by chance. It is rejected when its score is above its language's threshold: the `quantile`
+of the scores of the language's trusted documents, each under a model of the half of the trusted
+texts that it is not in (equal texts share a half). Quantiles are exact: they are read off a
+histogram of thousandths. Counts are kept for both halves, so three models come from one count.
 
 Defined results: a null or empty text has the trusted mean as its score and stays; a null
-language is one of its own; languages without trusted text take the threshold of all trusted
-documents; without any trusted text everything stays and scores are null; repeated rows count
-as often as they occur; labels with null ids match nothing. Only the id, text and language
-columns are read.
+language is one of its own, named ''; languages without trusted text take the threshold of all
+trusted documents; without any trusted text everything stays and scores are null; repeated rows
+count as often as they occur; labels with null ids match nothing; U+0000 counts as U+0001, the
+mark in front of texts. Only the id, text and language columns are read, and columns of any name
+come back unchanged.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise, sliced
+from sparkloom.llm.common import Scratch, bitmap, bits_for, materialise, sliced
 
-CLASSES = 64
-ORDER = 4
+ORDER = 5
 QUANTILE = 0.999
-MARGIN = 0.0
 PRIOR = 40
-_SIGNS = ".,;:!?'\"-()/|%$#&*=+_@[]{}<>\\^~`"
-_MAX_LANGUAGES = 100_000
-_MERGE_CHARS = 4 << 20
 HEAD = 1 << 20
-_CACHED = 1 << 20
+#: Code points in all; the scale of costs; the models: of all trusted text and of either half.
+_POINTS, _MICRO, _MODELS = 0x110000, 1_000_000, (0, 1, 2)
+_MARK = 1
+_PIECE = 1 << 20
+#: Odd multipliers, one for each place of an n-gram.
+_PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-def class_table():
-    """The class of each code point below 0x250; the last entry is for all others."""
+def batches_of(texts: list[str], order: int, most: int = _PIECE):
+    """(codes, places, owner) of parts of about `most` characters: code points with what stands in front,
+    the places of the part's own characters, and the number of the text that each belongs to."""
     import numpy as np
 
-    table = np.full(0x251, 63, dtype=np.uint8)
-    for cp in range(0x250):
-        c = chr(cp)
-        if "a" <= c <= "z":
-            table[cp] = 1 + cp - ord("a")
-        elif c.isupper():
-            table[cp] = 27
-        elif c.isdigit():
-            table[cp] = 28
-        elif c in "\n\r":
-            table[cp] = 30
-        elif c.isspace():
-            table[cp] = 29
-        elif c in _SIGNS:
-            table[cp] = 31 + _SIGNS.index(c)
-    return table
-
-
-def classes_of(text: str, table):
-    """The classes of a text's characters."""
+    parts, owners, held = [], [], 0
+
+    def joined():
+        codes = np.concatenate(parts)
+        sizes = np.array([len(p) - order + 1 for p in parts])
+        starts = np.cumsum(sizes + order - 1) - sizes
+        places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return codes, places, np.repeat(np.array(owners), sizes)
+
+    for number, text in enumerate(texts):
+        if not text:
+            continue
+        points = np.maximum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), _MARK)
+        points = np.concatenate([np.full(order - 1, _MARK, np.uint32), points])
+        for lo in range(0, len(points) - order + 1, most):
+            parts.append(points[lo : lo + most + order - 1])
+            owners.append(number)
+            held += len(parts[-1])
+            if held >= most:
+                yield joined()
+                parts, owners, held = [], [], 0
+    if parts:
+        yield joined()
+
+
+def sums_of(codes, order: int) -> list:
+    """For k from 0 to order: a number for the k code points up to each place (wrong where fewer stand in front)."""
     import numpy as np
 
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return table[np.minimum(points, 0x250)]
+    wide = codes.astype(np.uint64)
+    out = [np.zeros(len(wide), np.uint64)]
+    for k in range(order):
+        shifted = wide if k == 0 else np.concatenate([np.zeros(k, np.uint64), wide[:-k]])
+        out.append(out[-1] + shifted * np.uint64(_PLACES[k]))
+    return out
 
 
-def grams_of(classes):
-    """The 4-gram that ends at each character, class 0 standing before the text."""
+def mixed(sums, k: int, context: bool):
+    """Keys of n-grams of k code points, or of contexts before a k-th one."""
     import numpy as np
 
-    c = np.concatenate([np.zeros(ORDER - 1, dtype=np.int32), classes.astype(np.int32)])
-    return (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
-
-
-def gram_counts(trusted: DataFrame, codes_col: str = "codes") -> DataFrame:
-    """(gram, n) over rows of compressed classes: summed in each task, then by n-gram."""
-    import pyarrow as pa
+    x = sums ^ np.uint64(0x2545F4914F6CDD1D * (2 * k + context) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
 
-    def run(batches):
-        import numpy as np
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        held_g, held_n = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        waiting, chars = [], 0
+def half_of(text: str) -> int:
+    """Which half of the trusted texts a text falls in."""
+    import xxhash
 
-        def merge():
-            nonlocal held_g, held_n, waiting, chars
-            g, n = np.unique(np.concatenate(waiting), return_counts=True)
-            both, place = np.unique(np.concatenate([held_g, g]), return_inverse=True)
-            held_n = np.bincount(place, weights=np.concatenate([held_n, n])).astype(np.int64)
-            held_g, waiting, chars = both.astype(np.int32), [], 0
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 5) & 1
 
-        for batch in sliced(batches):
-            for codes in batch.column(0).to_pylist():
-                if codes:
-                    waiting.append(grams_of(np.frombuffer(unpack(codes), dtype=np.uint8)))
-                    chars += len(waiting[-1])
-                    if chars >= _MERGE_CHARS:
-                        merge()
-        if waiting:
-            merge()
-        yield pa.RecordBatch.from_arrays([pa.array(held_g, pa.int32()), pa.array(held_n, pa.int64())], ["gram", "n"])
 
-    return trusted.select(codes_col).mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+def _trusted_place(column, kind: str, size: int):
+    return F.xxhash64(column.cast(kind)).bitwiseAND((1 << size) - 1)
 
 
-def packed_texts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, packed): the compressed texts of trusted rows; a bitmap of their ids spares most others the shuffle."""
+def trusted_texts(docs: DataFrame, trusted: DataFrame, marks, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(packed): the compressed texts of trusted rows; a bitmap of their ids spares most others the shuffle."""
     import pyarrow as pa
 
-    bit = lambda c: F.xxhash64(c).bitwiseAND((1 << BITMAP_BITS) - 1) + 1
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(trusted.select(bit("id").alias("bit"))))
     kind = trusted.schema["id"].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), bit(F.col(id_col).cast(kind)).alias("bit"), F.col(lang_col).cast("string").alias("lang"))
+    picked = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text"), _trusted_place(F.col(id_col), kind, size).alias("place"))
 
     def run(batches):
         import numpy as np
         import zstandard
 
-        pack, seen = zstandard.ZstdCompressor(1).compress, np.frombuffer(marks.value, np.uint8)
+        pack, seen = zstandard.ZstdCompressor(3).compress, np.frombuffer(marks.value, np.uint8)
         for batch in sliced(batches):
-            place = batch.column(2).to_numpy() - 1
-            batch = batch.filter(pa.array((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             packed = [pack(t.encode("utf-8", "surrogatepass")) if t else None for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(packed, pa.binary())], ["id", "lang", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
-    made = picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, lang string, packed binary")
+    made = picked.mapInArrow(run, f"id {kind}, packed binary").where("packed is not null")
     # One plan for every size: both sides are shuffled, however few the trusted are.
-    return made.join(trusted.hint("merge"), "id", "left_semi")
+    return made.join(trusted.hint("merge"), "id", "left_semi").select("packed")
 
 
-def _codes_of(trusted: DataFrame) -> DataFrame:
-    """(codes): the classes of packed texts, compressed."""
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, n1, n2) over rows of compressed texts: summed in each task, then by n-gram; how often it occurs in either half."""
     import pyarrow as pa
 
     def run(batches):
+        import numpy as np
         import zstandard
 
-        table, pack, unpack = class_table(), zstandard.ZstdCompressor(1).compress, zstandard.ZstdDecompressor().decompress
-        for batch in sliced(batches):
-            codes = [pack(classes_of(unpack(t).decode("utf-8", "surrogatepass"), table).tobytes()) if t else None for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary())], ["codes"])
-
-    return trusted.select("packed").mapInArrow(run, "codes binary")
-
-
-@dataclass
-class Model:
-    """The tables of a trained model, each of a size bounded by CLASSES ** ORDER.
-
-    grams and shares: the discounted share of each 4-gram that occurs; left: what each 3-gram
-    context leaves to the lower order; lower: the lower-order probability of each 3-gram.
-    """
-
-    grams: object
-    shares: object
-    left: object
-    lower: object
+        unpack = zstandard.ZstdDecompressor().decompress
+        held: tuple[list, list] = ([], [])
+
+        def flush(half):
+            for codes, places, _ in batches_of(held[half], order, 4 * _PIECE):
+                keys = sums_of(codes, order)[order][places]
+                _, first, n = np.unique(keys, return_index=True, return_counts=True)
+                windows = np.ascontiguousarray(codes[places[first][:, None] + np.arange(1 - order, 1)], "<u4")
+                grams = windows.view(f"<U{order}").ravel()
+                zero = np.zeros(len(n), np.int64)
+                for lo in range(0, len(n), 50_000):
+                    part = slice(lo, lo + 50_000)
+                    own = [zero[part], n[part].astype(np.int64)][:: 1 if half else -1]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[part].tolist(), pa.string()), *map(pa.array, own)], ["gram", "n1", "n2"])
+            held[half].clear()
 
-    def costs(self):
-        """The negative log probability of each of the CLASSES ** ORDER 4-grams."""
-        import numpy as np
+        chars = [0, 0]
+        for batch in sliced(batches):
+            for packed in batch.column(0).to_pylist():
+                text = unpack(packed).decode("utf-8", "surrogatepass")
+                half = half_of(text)
+                held[half].append(text)
+                chars[half] += len(text)
+                if chars[half] >= 4 * _PIECE:
+                    yield from flush(half)
+                    chars[half] = 0
+        for half in (0, 1):
+            yield from flush(half)
 
-        p = np.multiply.outer(np.ones(CLASSES, np.float32), self.lower.astype(np.float32)).reshape(-1)
-        p.reshape(-1, CLASSES)[:] *= self.left.astype(np.float32)[:, None]
-        p[self.grams] += self.shares
-        return -np.log(p, out=p)
+    made = texts.select("packed").mapInArrow(run, "gram string, n1 bigint, n2 bigint")
+    return made.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -192,398 +186,303 @@ def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05 * k), float(k)) for k in (1, 2, 3))
 
 
-def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((gram, share), (context, left)) of one order's counts (gram, n)."""
-    size = F.least("n", F.lit(5))
-    rows = counts.groupBy(size.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # five rows at most
-    d1, d2, d3 = discounts({r["k"]: r["n"] for r in rows})
-    cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    context = F.shiftright("gram", 6)
-    stats = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("taken"))
-    stats = materialise(stats, "quality-contexts")
-    shares = (
-        counts.withColumn("context", context)
-        .join(stats, "context")
-        .select("gram", ((F.col("n") - cut) / F.col("total")).alias("share"))
-    )
-    return shares, stats.select("context", (F.col("taken") / F.col("total")).alias("left"))
-
-
-def _dense(df: DataFrame, key: str, value: str, size: int, default: float):
-    import numpy as np
+def _keyed(table: DataFrame, k: int, context: bool) -> DataFrame:
+    """(key, n, full..., more...) of a table whose first column is the n-gram or context."""
+    import pyarrow as pa
 
-    table = df.select(key, value).toArrow()
-    out = np.full(size, default)
-    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    return out
+    size = k - context
+    rest = [f"{c}{m}" for c in ("full", "more") for m in _MODELS]
 
+    def run(batches):
+        import numpy as np
 
-def train(trusted_codes: DataFrame) -> Model | None:
-    """The model of rows (codes); None without any text."""
-    import numpy as np
+        for batch in batches:
+            codes = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+            sums = sums_of(codes, size)[size][size - 1 :: size]
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(sums, k, context).view(np.int64)), *batch.columns[1:]], ["key", "n", *rest])
 
-    counts = materialise(gram_counts(trusted_codes), "quality-counts")
-    if counts.isEmpty():
-        return None
-    lower = np.full(1, 1.0 / CLASSES)
-    orders = [counts]
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many different classes stand before
-        tail = F.col("gram").bitwiseAND((1 << 6 * k) - 1)
-        orders.append(materialise(orders[-1].groupBy(tail.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"quality-order{k}"))
-    for k, table in enumerate(reversed(orders), 1):
-        shares, left = discounted(table)
-        left = _dense(left, "context", "left", CLASSES ** (k - 1), 1.0)
-        if k == ORDER:
-            found = shares.toArrow()
-            return Model(found.column(0).to_numpy(), found.column(1).to_numpy().astype(np.float32), left, lower)
-        share = _dense(shares, "gram", "share", CLASSES**k, 0.0)
-        # p(d | abc) = share(abcd) + left(abc) * p(d | bc)
-        back = np.tile(lower, CLASSES) if k > 1 else np.full(CLASSES, lower[0])
-        lower = share + np.repeat(left, CLASSES) * back
-    return None
-
-
-# Words, and each other sign but single spaces; scripts without spaces give one unit for each character.
-_UNIT = re.compile(
-    "[^\\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+|[^ ]|(?<= ) "
-)
-_MULTIPLIER = 0x9E3779B97F4A7C15
-
-
-def unit_hashes(units: list[str], known: dict):
-    """64-bit hashes of units; `known` keeps those already made."""
-    import numpy as np
-    import xxhash
+    return table.toDF("gram", "n", *rest).mapInArrow(run, "key bigint, n bigint, " + ", ".join(f"{c} int" for c in rest))
 
-    for u in set(units):
-        if u not in known:
-            known[u] = xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
-    return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
+def train(counts: DataFrame, keep: Scratch, order: int = ORDER) -> tuple[DataFrame, list[float]]:
+    """(terms, fresh) of (gram, n1, n2). terms: (key, n, full0.., more0..), sharded.
 
-def pair_keys(a, b):
-    """The keys of pairs of neighbours; 0 as the second stands for a as a context alone."""
+    Of an n-gram fullM is -log p under model M, null where that has not seen it, and moreM what is
+    added to its cost as one that is backed off; of a context both are the weight of backing off.
+    fresh: the cost of a character that a model has never seen.
+    """
+    counted = {order: counts.select("gram", (F.col("n1") + F.col("n2")).alias("n0"), "n1", "n2")}
+    for k in range(order - 1, 0, -1):  # continuation counts: how many different characters stand before
+        kinds = [F.count(F.when(F.col(f"n{m}") > 0, 1)).alias(f"n{m}") for m in _MODELS]
+        counted[k] = keep(counted[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*kinds), f"order-{k}")
+    sizes = None
+    for k, table in counted.items():
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.least(f"n{m}", F.lit(5)).alias("n")) for m in _MODELS])).alias("x")
+        rows = table.select(F.lit(k).alias("k"), each)
+        sizes = rows if sizes is None else sizes.union(rows)
+    found: dict = {}
+    for r in sizes.where("x.n > 0").groupBy("k", "x.m", "x.n").agg(F.count(F.lit(1)).alias("rows")).collect():  # 15 * order rows at most
+        found.setdefault((r["k"], r["m"]), {})[r["n"]] = r["rows"]
+
+    def cut(k: int, m: int):
+        d1, d2, d3 = discounts(found.get((k, m), {}))
+        n = F.col(f"n{m}")
+        return F.when(n == 0, 0.0).when(n == 1, d1).when(n == 2, d2).otherwise(d3)
+
+    micro = lambda p: F.round(-F.log(p) * _MICRO).cast("int")
+    sums = [x for m in _MODELS for x in (F.sum(f"n{m}").alias(f"total{m}"), F.sum(cut(1, m)).alias(f"taken{m}"))]
+    whole = counted[1].agg(*sums).first()
+    left = [whole[f"taken{m}"] / whole[f"total{m}"] if whole[f"total{m}"] else 1.0 for m in _MODELS]
+    fresh = [round(_MICRO * (math.log(_POINTS) - math.log(x))) for x in left]
+    shares = [((F.col(f"n{m}") - cut(1, m)) / (whole[f"total{m}"] or 1) + left[m] / _POINTS) for m in _MODELS]
+    probs = counted[1].select("gram", "n0", *[F.when(F.col(f"n{m}") > 0, shares[m]).alias(f"p{m}") for m in _MODELS])
+    probs = keep(probs, "shares-1")
+    full = [micro(F.col(f"p{m}")) for m in _MODELS]
+    terms = _keyed(probs.select("gram", "n0", *full, *[x - fresh[m] for m, x in enumerate(full)]), 1, False)
+    for k in range(2, order + 1):
+        context = F.substring("gram", 1, k - 1).alias("context")
+        sums = [x for m in _MODELS for x in (F.sum(f"n{m}").alias(f"total{m}"), F.sum(cut(k, m)).alias(f"taken{m}"))]
+        contexts = counted[k].groupBy(context).agg(*sums)
+        weight = [F.when(F.col(f"total{m}") > 0, F.col(f"taken{m}") / F.nullif(F.col(f"total{m}"), F.lit(0))).alias(f"left{m}") for m in _MODELS]
+        contexts = keep(contexts.select("context", *[f"total{m}" for m in _MODELS], *weight), f"contexts-{k}")
+        lower = probs.select(F.col("gram").alias("tail"), *[F.col(f"p{m}").alias(f"lower{m}") for m in _MODELS])
+        joint = counted[k].select("*", context, F.substring("gram", 2, k - 1).alias("tail")).join(contexts, "context").join(lower, "tail")
+        share = [(F.col(f"n{m}") - cut(k, m)) / F.nullif(F.col(f"total{m}"), F.lit(0)) + F.col(f"left{m}") * F.col(f"lower{m}") for m in _MODELS]
+        columns = [F.when(F.col(f"n{m}") > 0, share[m]).alias(f"p{m}") for m in _MODELS]
+        probs = keep(joint.select("gram", "n0", *columns, *[f"left{m}" for m in _MODELS], *[f"lower{m}" for m in _MODELS]), f"shares-{k}")
+        full = [micro(F.col(f"p{m}")) for m in _MODELS]
+        more = [x - micro(F.col(f"left{m}")) - micro(F.col(f"lower{m}")) for m, x in enumerate(full)]
+        off = [micro(F.col(f"left{m}")) for m in _MODELS]
+        terms = terms.union(_keyed(probs.select("gram", "n0", *full, *more), k, False))
+        terms = terms.union(_keyed(contexts.select("context", "total0", *off, *off), k, True))
+    return keep(terms, "terms"), fresh
+
+
+def head_of(terms: DataFrame, most: int):
+    """(keys, full0, full1, full2) of the most frequent terms, `most` at most, sorted by key; -1 stands for null."""
     import numpy as np
 
-    x = a.view(np.uint64) * np.uint64(_MULTIPLIER) + b.view(np.uint64)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+    step = F.floor(F.log2(F.greatest("n", F.lit(1))) * 8)
+    sizes = {r[0]: r[1] for r in terms.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # 8 * 63 rows at most
+    least, held = max(sizes, default=0) + 1, 0
+    for at in sorted(sizes, reverse=True):
+        if held + sizes[at] > most:
+            break
+        least, held = at, held + sizes[at]
+    found = terms.where(step >= least).select("key", *[F.coalesce(f"full{m}", F.lit(-1)).alias(f"full{m}") for m in _MODELS]).toArrow()
+    keys = found.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], *[found.column(m + 1).to_numpy().astype(np.int32)[order] for m in _MODELS]
 
 
-class Speller:
-    """The cost of a unit's spelling under the character model, each class shared evenly by its code points."""
+class Scorer:
+    """Costs of texts under the head of a model, and what the rest of its terms may add."""
 
-    def __init__(self, model: Model):
+    def __init__(self, head, fresh, marks: bytes, size: int, order: int):
         import numpy as np
 
-        self.costs, self.table = model.costs(), class_table()
-        sizes = np.bincount(self.table[:0x250], minlength=CLASSES)
-        sizes[63] += 0x110000 - 0x250
-        self.within = np.log(np.maximum(sizes, 1))
-        self.end = self.table[ord(" ")]
+        self._keys, *self._full = head
+        self._fresh, self._size, self._order = fresh, size, order
+        self._marks = np.frombuffer(marks, np.uint8)
+        bits = max(1, len(self._keys).bit_length())
+        self._shift = np.uint64(64 - bits)
+        self._starts = np.searchsorted(self._keys >> self._shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
-    def __call__(self, unit: str) -> float:
+    def _find(self, keys):
+        """The place of each key in the head, or -1."""
         import numpy as np
 
-        c = classes_of(unit, self.table)
-        return float(self.costs[grams_of(np.append(c, self.end))].sum(dtype="f8") + self.within[c].sum())
-
-
-_SPELLERS: dict = {}
-
-
-def _speller(key: str, model: Model) -> Speller:
-    """The speller, once for each Python worker."""
-    if key not in _SPELLERS:
-        _SPELLERS.clear()
-        _SPELLERS[key] = Speller(model)
-    return _SPELLERS[key]
-
+        found = np.full(len(keys), -1, np.int32)
+        box = (keys >> self._shift).astype(np.int64)
+        at, end = self._starts[box], self._starts[box + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            here = at[live]
+            same = self._keys[here] == keys[live]
+            found[live[same]] = here[same]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return found
+
+    def _outside(self, keys):
+        import numpy as np
 
-def pair_counts(trusted: DataFrame, sent, key: str) -> DataFrame:
-    """(a, b, pair, n, spell) over rows of packed texts: neighbours, summed in each task, then by pair.
+        place = keys & np.uint64((1 << self._size) - 1)
+        return (self._marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    spell is the cost of b's spelling.
-    """
-    import pyarrow as pa
-
-    def run(batches):
+    def __call__(self, texts: list[str], model: int):
+        """(cost of each text, [(text, key, times)] of terms that may be in the table and are not in the head)."""
         import numpy as np
-        import zstandard
-
-        unpack, speller = zstandard.ZstdDecompressor().decompress, _speller(key, sent.value)
-        known, waiting, held = {}, [], 0
 
-        def flush():
-            a, b = (np.concatenate(x) for x in zip(*waiting))
-            pairs, at, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
-            names = {h: u for u, h in known.items()}
-            cost = {h: speller(names[h]) for h in np.unique(b).tolist()}
-            spell = [cost[h] for h in b[at].tolist()]
-            for lo in range(0, len(pairs), 50_000):
-                part = slice(lo, lo + 50_000)
-                columns = [pa.array(x[part]) for x in (a[at], b[at], pairs, n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(spell[part], pa.float64())], ["a", "b", "pair", "n", "spell"])
+        costs, rest = np.zeros(len(texts), np.int64), []
+        full = self._full[model]
+        for codes, places, owner in batches_of(texts, self._order):
+            sums = sums_of(codes, self._order)
+            live = np.arange(len(places))
+            spent = np.zeros(len(places), np.int64)
+            for k in range(self._order, 0, -1):
+                for context in ((False, True) if k > 1 else (False,)):
+                    at = places[live]
+                    keys = mixed(sums[k - 1][at - 1] if context else sums[k][at], k, context)
+                    found = self._find(keys)
+                    missing = found < 0
+                    value = np.where(missing, -1, full[found])
+                    seen = value >= 0
+                    spent[live[seen]] += value[seen]
+                    away = np.flatnonzero(missing)
+                    away = away[self._outside(keys[away])]
+                    if len(away):
+                        pairs = np.empty(len(away), [("text", "<i8"), ("key", "<u8")])
+                        pairs["text"], pairs["key"] = owner[live[away]], keys[away]
+                        rest.append(np.unique(pairs, return_counts=True))
+                    if not context:
+                        live = live[~seen]
+            spent[live] += self._fresh[model]
+            costs += np.bincount(owner, spent, len(texts)).astype(np.int64)
+        return costs, [(p["text"], p["key"].view(np.int64), n) for p, n in rest]
+
+
+_SCORERS: dict = {}
+
+
+def _scorer(key: str, parts) -> Scorer:
+    """The scorer, once for each Python worker."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(*parts)
+    return _SCORERS[key]
 
-        for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                units = _UNIT.findall(unpack(text).decode("utf-8", "surrogatepass")) if text else []
-                if units:
-                    b = unit_hashes(units, known)
-                    waiting.append((np.concatenate([np.zeros(1, np.int64), b[:-1]]), b))
-                    held += len(b)
-            if held >= _MERGE_CHARS // 2:
-                yield from flush()
-                known, waiting, held = {}, [], 0
-        if waiting:
-            yield from flush()
-
-    made = trusted.select("packed").mapInArrow(run, "a bigint, b bigint, pair bigint, n bigint, spell double")
-    return made.groupBy("pair").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").alias("n"), F.first("spell").alias("spell"))
-
-
-@dataclass
-class WordModel:
-    """A word bigram model whose words are spelled by a character model where they are new.
-
-    terms: (key, n, term), sharded and as large as the text asks for. A text costs the spelling of
-    each unit plus `fresh`, plus the terms of its units, contexts and pairs that occur in the table.
-    head: keys and terms of the most frequent, of bounded number; marks: a bitmap of all keys.
-    """
 
-    spelling: Model
-    fresh: float
-    terms: DataFrame
-    head: tuple
-    marks: bytes
-    key: str
+def row_digest(text_col: str, lang_col: str):
+    """What a row's verdict depends on, as a digest."""
+    return F.md5(F.concat_ws("\x00", F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def train_words(trusted: DataFrame) -> WordModel | None:
-    """The model of rows (packed): interpolated modified Kneser-Ney over all words; None without any text."""
+def scores(docs: DataFrame, terms: DataFrame, parts, marks, place_size: int, kind: str, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, lang, digest, n, cost, held) of each row; held is the cost under the model of the other half, for rows that may be trusted."""
     import uuid
 
-    import numpy as np
-
-    spelling, key = train(_codes_of(trusted)), uuid.uuid4().hex
-    if spelling is None:
-        return None
-    sent = trusted.sparkSession.sparkContext.broadcast(spelling)
-    pairs = materialise(pair_counts(trusted, sent, key), "quality-pairs")
-
-    def cuts(counts: DataFrame):
-        rows = counts.groupBy(F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # five rows at most
-        d1, d2, d3 = discounts({r["k"]: r["n"] for r in rows})
-        return F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-
-    if pairs.isEmpty():
-        return WordModel(spelling, 0.0, materialise(pairs.select(F.col("pair").alias("key"), "n", F.lit(0.0).alias("term")), "quality-terms"), (np.zeros(0, np.int64), np.zeros(0)), bytes((1 << BITMAP_BITS) // 8), key)
-    cut = cuts(pairs)
-    contexts = pairs.groupBy("a").agg(F.sum("n").alias("total"), F.sum(cut).alias("taken"))
-    contexts = materialise(contexts.select("a", "total", (F.col("taken") / F.col("total")).alias("left")), "quality-word-contexts")
-    words = materialise(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("seen"), F.first("spell").alias("spell")), "quality-words")
-    low = cuts(words)
-    total, taken = words.agg(F.sum("n"), F.sum(low)).first()
-    left0 = taken / total
-    p = (F.col("n") - low) / total + left0 * F.exp(-F.col("spell"))
-    words = materialise(words.select("b", "seen", "spell", p.alias("p")), "quality-word-shares")
-    joint = pairs.withColumn("cut", cut).drop("spell").join(contexts, "a").join(words, "b")
-    share = (F.col("n") - F.col("cut")) / F.col("total")
-    lower = F.col("left") * F.col("p")
-    terms = joint.select(F.col("pair").alias("key"), "n", (F.log(lower) - F.log(share + lower)).alias("term"))
-    terms = terms.union(words.select(F.col("b").alias("key"), F.col("seen").alias("n"), (-F.log("p") + F.log(F.lit(left0)) - F.col("spell")).alias("term")))
-    # A context's key is made in Python, where pairs are.
-    terms = materialise(terms.union(_context_terms(contexts)), "quality-terms")
-    head = terms.orderBy(F.desc("n"), "key").limit(HEAD).select("key", "term").toArrow()  # HEAD rows at most
-    keys, values = head.column(0).to_numpy(), head.column(1).to_numpy()
-    order = np.argsort(keys)
-    bit = F.col("key").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
-    return WordModel(spelling, -math.log(left0), terms, (keys[order], values[order]), bitmap(terms.select(bit.alias("bit"))), key)
-
-
-def _context_terms(contexts: DataFrame) -> DataFrame:
-    """(key, n, term) of rows (a, total, left)."""
     import pyarrow as pa
 
-    def run(batches):
-        import numpy as np
-
-        for batch in batches:
-            a = np.array(batch.column(0).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(a, np.zeros_like(a))), batch.column(1), batch.column(2)], ["key", "n", "term"])
-
-    return contexts.select("a", "total", -F.log("left")).mapInArrow(run, "key bigint, n bigint, term double")
-
-
-def scores(docs: DataFrame, model: WordModel, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, digest, n, cost): characters and negative log-likelihood of each row; texts may be packed.
-
-    Terms of the head are added in place. What else may be in the table, told by the bitmap, is
-    summed for each row, shuffled by key and joined with the table, then summed by row.
-    """
-    import pyarrow as pa
-
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.spelling, model.fresh, model.head, model.marks, model.key))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.struct(F.col(id_col).alias("id"), lang.alias("lang"), row_digest(text_col, lang_col).alias("digest")).alias("doc"))
+    sent, key = docs.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().hex
+    doc = F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), row_digest(text_col, lang_col).alias("digest"))
+    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.coalesce(_trusted_place(F.col(id_col), kind, place_size), F.lit(0)).alias("place"), doc.alias("doc"))
+    names = ["key", "rid", "times", "model", "doc", "n", "cost", "held"]
 
     def run(batches):
         import numpy as np
-        import zstandard
 
-        spelling, fresh, (head, terms), marks, key = sent.value
-        speller, marks = _speller(key, spelling), np.frombuffer(marks, np.uint8)
-        unpack = zstandard.ZstdDecompressor().decompress
-        known, spelled = {}, {}
+        scorer, seen = _scorer(key, sent.value), np.frombuffer(marks.value, np.uint8)
         for batch in sliced(batches):
-            chars, costs, keys, rids, counts = [], [], [], [], []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if isinstance(text, bytes):
-                    text = unpack(text).decode("utf-8", "surrogatepass")
-                units = _UNIT.findall(text) if text else []
-                cost = 0.0
-                if units:
-                    for u in set(units):
-                        if u not in spelled:
-                            spelled[u] = speller(u) + fresh
-                    cost = sum(map(spelled.__getitem__, units))
-                    b = unit_hashes(units, known)
-                    a = np.concatenate([np.zeros(1, np.int64), b[:-1]])
-                    own, n = np.unique(np.concatenate([b, pair_keys(a, np.zeros_like(a)), pair_keys(a, b)]), return_counts=True)
-                    if len(head):
-                        at = np.minimum(np.searchsorted(head, own), len(head) - 1)
-                        hit = head[at] == own
-                        cost += float((terms[at[hit]] * n[hit]).sum())
-                        own, n = own[~hit], n[~hit]
-                    place = own & ((1 << BITMAP_BITS) - 1)
-                    may = (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                    keys.append(own[may])
-                    counts.append(n[may])
-                    rids.append(np.full(int(may.sum()), rid, np.int64))
-                chars.append(len(text or ""))
-                costs.append(cost)
-            if len(spelled) > _CACHED:
-                known, spelled = {}, {}
-            nothing = pa.array([0] * batch.num_rows, pa.int64())
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rids, at = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            maybe = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+            halves = np.array([half_of(texts[i]) for i in maybe], np.int64)
+            held, rest = [None] * len(texts), []
+            costs, found = scorer(texts, 0)
+            rest += [(rids[i], k, n, 0) for i, k, n in found]
+            for half in (0, 1):
+                own = maybe[halves == half]
+                other, found = scorer([texts[i] for i in own], 2 - half)
+                for i, x in zip(own.tolist(), other.tolist()):
+                    held[i] = x
+                rest += [(rids[own[i]], k, n, 2 - half) for i, k, n in found]
             # A row's own entry goes to any partition; no term touches it.
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), nothing, batch.column(2), pa.array(chars, pa.int64()), pa.array(costs, pa.float64())], names)
-            if keys:
-                k, r, m = np.concatenate(keys), np.concatenate(rids), np.concatenate(counts).astype(np.int64)
+            none, size = pa.nulls(len(texts), pa.int32()), [len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), none, none, batch.column(3), *(pa.array(x, pa.int64()) for x in (size, costs, held))], names)
+            for r, k, n, model in rest:
                 for lo in range(0, len(k), 50_000):
                     part = slice(lo, lo + 50_000)
                     size = len(k[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(r[part]), pa.array(m[part]), pa.nulls(size, batch.column(2).type), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64())], names)
-
-    names = ["key", "rid", "m", "doc", "n", "cost"]
-    found = picked.mapInArrow(run, f"key bigint, rid bigint, m bigint, doc {picked.schema['doc'].dataType.simpleString()}, n bigint, cost double")
-    met = found.join(model.terms.select("key", "term").hint("merge"), "key", "left")
-    cost = F.coalesce(F.sum("cost"), F.lit(0.0)) + F.coalesce(F.sum(F.when(F.col("m") > 0, F.col("m") * F.col("term"))), F.lit(0.0))
-    summed = met.groupBy("rid").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("n").alias("n"), F.round(cost, 6).alias("cost"))
-    return summed.select("doc.*", "n", "cost")
-
-
-def row_digest(text_col: str, lang_col: str):
-    """What a row's verdict depends on, as a digest."""
-    return F.md5(F.concat_ws("\x00", F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
-
+                    columns = [pa.array(k[part]), pa.array(r[part]), pa.array(n[part].astype(np.int32)), pa.array(np.full(size, model, np.int32)), pa.nulls(size, batch.column(3).type)]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(size, pa.int64()) for _ in range(3))], names)
+
+    made = picked.mapInArrow(run, f"key bigint, rid bigint, times int, model int, doc {picked.schema['doc'].dataType.simpleString()}, n bigint, cost bigint, held bigint")
+    met = made.join(terms.select("key", *[f"more{m}" for m in _MODELS]), "key", "left")
+    term = F.when(F.col("model") == 0, F.col("more0")).when(F.col("model") == 1, F.col("more1")).when(F.col("model") == 2, F.col("more2"))
+    added = F.col("times").cast("bigint") * term
+    sums = met.groupBy("rid").agg(
+        F.first("doc", ignorenulls=True).alias("doc"), F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("held").alias("held"),
+        F.coalesce(F.sum(F.when(F.col("model") == 0, added)), F.lit(0)).alias("more"), F.coalesce(F.sum(F.when(F.col("model") > 0, added)), F.lit(0)).alias("more_held"),
+    )
+    return sums.select("doc.*", "n", (F.col("cost") + F.col("more")).alias("cost"), (F.col("held") + F.col("more_held")).alias("held"))
 
-@dataclass
-class Classifier:
-    """A model with what decides: the trusted mean, and thresholds in thousandths by language."""
 
-    model: WordModel | None
-    mean: float
-    thresholds: dict
-    default: int
-    prior: int
+def _score(cost: str, mean: int, prior: int):
+    """Thousandths of a nat for each character, rounded down, in whole numbers."""
+    return F.expr(f"cast(({cost} + {prior * mean}L) div (1000L * (n + {prior}L)) as int)")
 
 
-def held_out_scores(texts: DataFrame) -> DataFrame:
-    """The scores of trusted rows (id, lang, packed) under models that have not seen them.
+def verdicts(
+    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    quantile: float = QUANTILE, prior: int = PRIOR, head: int = HEAD, order: int = ORDER,
+) -> DataFrame | None:
+    """(id, lang, digest, n, cost, score, threshold, keep) of each row; None without any trusted text.
 
-    Equal texts fall in one half, and each half is scored by the model of the other.
+    trusted_ids: one column, the ids of trusted documents.
     """
-    half = F.xxhash64("packed").bitwiseAND(1)
-    found = []
-    for k in (0, 1):
-        model = train_words(texts.where(half == 1 - k))
-        if model is not None:
-            found.append(materialise(scores(texts.where(half == k), model, "id", "packed", "lang"), "quality-held-out"))
-    return found[0].union(found[1]) if len(found) == 2 else texts.sparkSession.createDataFrame([], "id string, lang string, digest string, n bigint, cost double")
-
-
-def fit(
-    docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = QUANTILE, margin: float = MARGIN, prior: int = PRIOR,
-) -> tuple[Classifier, DataFrame | None]:
-    """(classifier, scores of all rows). trusted_ids: one column, the ids of trusted documents."""
-    trusted = materialise(trusted_ids.toDF("id").where("id is not null").distinct(), "quality-trusted")
-    texts = materialise(packed_texts(docs, trusted, id_col, text_col, lang_col), "quality-texts")
-    model = train_words(texts)
-    if model is None:
-        return Classifier(None, 0.0, {}, 0, prior), None
-    scored = materialise(scores(docs, model, id_col, text_col, lang_col), "quality-scores")
-    good = materialise(held_out_scores(texts).where("n > 0"), "quality-good")
-    if good.isEmpty():  # all trusted texts are equal: nothing was held out
-        good = materialise(scores(texts, model, "id", "packed", "lang").where("n > 0"), "quality-good")
-    total = good.agg(F.sum("cost"), F.sum("n")).first()
-    mean = round(total[0] / total[1], 6)
-    mills = F.round(1000 * (F.col("cost") + prior * mean) / (F.col("n") + prior)).cast("int")
-    histogram = materialise(good.groupBy("lang", mills.alias("mills")).agg(F.count(F.lit(1)).alias("n")), "quality-histogram")
+    spark = docs.sparkSession
+    keep = Scratch(spark, "quality")
+    trusted = keep(trusted_ids.toDF("id").where("id is not null").distinct(), "trusted")
+    kind, size = trusted.schema["id"].dataType.simpleString(), bits_for(trusted.count())
+    marks = spark.sparkContext.broadcast(bitmap(trusted.select((_trusted_place(F.col("id"), kind, size) + 1).alias("bit")), size))
+    counts = keep(gram_counts(trusted_texts(docs, trusted, marks, size, id_col, text_col), order), "counts")
+    if counts.isEmpty():
+        keep.close()
+        return None
+    terms, fresh = train(counts, keep, order)
+    term_size = bits_for(terms.count())
+    bit = F.col("key").bitwiseAND((1 << term_size) - 1) + 1
+    parts = (head_of(terms, head), fresh, bitmap(terms.select(bit.alias("bit")), term_size), term_size, order)
+    scored = materialise(scores(docs, terms, parts, marks, size, kind, id_col, text_col, lang_col), "quality-scores")
+
+    good = scored.where("n > 0 and held is not null").withColumn("own", F.col("id").cast(kind)).join(trusted.withColumnRenamed("id", "own"), "own", "left_semi")
+    good = keep(good.select("lang", "n", "held"), "good")
+    total = good.agg(F.sum("held"), F.sum("n")).first()
+    mean = total[0] // total[1]
+    histogram = keep(good.groupBy("lang", _score("held", mean, prior).alias("score")).agg(F.count(F.lit(1)).alias("rows")), "histogram")
 
     def limits(table: DataFrame) -> DataFrame:
         # A row for each language and thousandth: the width is bounded, whatever the documents.
-        upto = W.partitionBy("lang").orderBy("mills")
-        whole = W.partitionBy("lang")
-        ranked = table.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
-        return ranked.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang").agg(F.min("mills").alias("mills"))
-
-    by_lang = limits(histogram).limit(_MAX_LANGUAGES + 1).collect()
-    if len(by_lang) > _MAX_LANGUAGES:
-        raise ValueError(f"more than {_MAX_LANGUAGES} languages")
-    widen = lambda m: math.floor(m * (1 + margin))
-    merged = histogram.groupBy("mills").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "mills", "n")
-    default = widen(limits(merged).first()["mills"])
-    return Classifier(model, mean, {r["lang"]: widen(r["mills"]) for r in by_lang}, default, prior), scored
+        upto, whole = W.partitionBy("lang").orderBy("score"), W.partitionBy("lang")
+        ranked = table.withColumn("upto", F.sum("rows").over(upto)).withColumn("all", F.sum("rows").over(whole))
+        return ranked.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang").agg(F.min("score").alias("threshold"))
 
-
-def verdicts(spark, chosen: Classifier, scored: DataFrame) -> DataFrame:
-    """The scored rows with score, threshold and keep."""
-    table = materialise(spark.createDataFrame(sorted(chosen.thresholds.items()) or [("", chosen.default)], "lang string, threshold int"), "quality-limits")
-    score = F.round(1000 * (F.col("cost") + chosen.prior * chosen.mean) / (F.col("n") + chosen.prior)).cast("int")
-    limited = scored.join(table, "lang", "left").withColumn("score", score).withColumn("threshold", F.coalesce("threshold", F.lit(chosen.default)))
-    return limited.withColumn("keep", F.col("score") <= F.col("threshold"))
+    merged = histogram.groupBy("score").agg(F.sum("rows").alias("rows")).select(F.lit("").alias("lang"), "score", "rows")
+    default = limits(merged).first()["threshold"]
+    by_lang = materialise(limits(histogram), "quality-limits")
+    keep.close()
+    limited = scored.join(by_lang, "lang", "left").withColumn("score", _score("cost", mean, prior)).withColumn("threshold", F.coalesce("threshold", F.lit(default)))
+    return limited.select("id", "lang", "digest", "n", "cost", "score", "threshold", (F.col("score") <= F.col("threshold")).alias("keep"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """(id, lang, n_chars, perplexity, score, threshold, keep) of each row; score and threshold in thousandths of a nat."""
-    chosen, scored = fit(docs, trusted_ids, id_col, text_col, lang_col, **options)
-    if scored is None:
+    found = verdicts(docs, trusted_ids, id_col, text_col, lang_col, **options)
+    if found is None:
         return docs.select(
             F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
             F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"),
             F.lit(None).cast("int").alias("score"), F.lit(None).cast("int").alias("threshold"), F.lit(True).alias("keep"),
         )
-    return verdicts(docs.sparkSession, chosen, scored).select(
-        "id", "lang", F.col("n").alias("n_chars"), F.round(F.exp(F.col("cost") / F.greatest("n", F.lit(1))), 6).alias("perplexity"),
-        "score", "threshold", "keep",
-    )
+    mean = F.col("cost") / (_MICRO * F.greatest("n", F.lit(1)))
+    return found.select("id", "lang", F.col("n").alias("n_chars"), F.round(F.exp(mean), 6).alias("perplexity"), "score", "threshold", "keep")
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of docs, with all columns, that the classifier keeps; decided in place, without a shuffle of texts."""
+    """The rows of docs, with all columns, that the classifier keeps; decided in place, without a shuffle of the texts that stay."""
     import pyarrow as pa
 
-    chosen, scored = fit(docs, trusted_ids, id_col, text_col, lang_col, **options)
-    if scored is None:
+    found = verdicts(docs, trusted_ids, id_col, text_col, lang_col, **options)
+    if found is None:
         return docs
-    bad = materialise(verdicts(docs.sparkSession, chosen, scored).where(~F.col("keep")).select("digest").distinct(), "quality-bad")
-    bit = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << BITMAP_BITS) - 1)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(bad.select((bit + 1).alias("bit"))))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, row_digest(text_col, lang_col).alias("digest")).select(*columns, F.col("digest").alias("_digest"), bit.alias("_bit"))
+    bad = materialise(found.where(~F.col("keep")).select("digest").distinct(), "quality-bad")
+    size = bits_for(bad.count())
+    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << size) - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(bad.select((place + 1).alias("bit")), size))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(row, row_digest(text_col, lang_col).alias("digest")).select("row", "digest", place.alias("place"))
 
     def suspects(wanted: bool):
         def run(batches):
@@ -591,11 +490,11 @@ def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
 
             marks = np.frombuffer(sent.value, np.uint8)
             for batch in sliced(batches):
-                place = batch.column(batch.num_columns - 1).to_numpy()
-                yield batch.filter(pa.array(((marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1) == wanted))
+                at = batch.column(2).to_numpy()
+                yield batch.filter(pa.array(((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) == wanted))
 
         return marked.mapInArrow(run, marked.schema)
 
     # Only what the bitmap points at is shuffled.
-    held = suspects(True).join(bad.withColumnRenamed("digest", "_digest").hint("merge"), "_digest", "left_anti").select(*columns)
-    return suspects(False).select(*columns).union(held)
+    held = suspects(True).join(bad.hint("merge"), "digest", "left_anti").select("row.*")
+    return suspects(False).select("row.*").union(held)

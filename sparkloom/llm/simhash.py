@@ -28,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise, sliced
+from sparkloom.llm.common import Scratch, materialise, sliced
 
 _CHUNK = 8192
 
@@ -77,16 +77,17 @@ def block_masks(max_bits: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def connected(edges: DataFrame, name: str) -> DataFrame:
+def connected(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root) for every node of the edges (u, v), root being the smallest node reachable.
 
     Alternating large-star and small-star steps, each a grouped minimum with map-side
     combination and a join. Minima are written before they are joined, so both sides of each
-    join are plain exchanges and the adaptive planner can split a hub's rows.
+    join are plain exchanges and the adaptive planner can split a hub's rows. Each round's
+    tables replace those of the round before.
     """
-    now = materialise(
+    now = keep(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        f"{name}-edges",
+        "cc-edges",
     )
     mark = None
     while True:
@@ -95,17 +96,18 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
             break
         mark = sign
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}-large")
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")), "cc-large")
         large = (
             both.where("v > u")
             .join(least, "u")
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
             .distinct()
         )
-        large = materialise(large, f"{name}-starred")
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
+        large = keep(large, "cc-starred")
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
+        now = keep(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+    keep.drop("cc-large", "cc-starred", "cc-small")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -114,32 +116,32 @@ def hamming_pairs(max_bits: int):
     return lambda pairs: pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
 
 
-def _with_roots(edges: DataFrame, name: str) -> DataFrame:
+def _with_roots(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root) of the components of edges (u, v), roots included."""
-    roots = connected(edges, name)
-    return materialise(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), f"{name}-roots")
+    roots = connected(edges, keep)
+    return keep(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
 
 
-def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _placed(members: DataFrame, roots: DataFrame, keep: Scratch) -> DataFrame:
     """(bucket, node, comp) of members (bucket, node)."""
     placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
-    return materialise(placed, "simhash-placed")
+    return keep(placed, "placed")
 
 
-def _mixed(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _mixed(placed: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """((bucket, comp, low, high), (bucket, main, low, high)) of the buckets with several components:
     the least and greatest node of each component, and those of the largest one."""
     sizes = placed.groupBy("bucket", "comp").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
-    sizes = materialise(sizes, "simhash-sizes")
+    sizes = keep(sizes, "sizes")
     largest = F.max_by(F.struct("comp", "low", "high"), F.struct("n", "comp")).alias("main")
     mixed = sizes.groupBy("bucket").agg(largest, F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    return sizes, materialise(mixed.select("bucket", F.col("main.comp").alias("main"), F.col("main.low").alias("main_low"), F.col("main.high").alias("main_high")), "simhash-mixed")
+    return sizes, keep(mixed.select("bucket", F.col("main.comp").alias("main"), F.col("main.low").alias("main_low"), F.col("main.high").alias("main_high")), "mixed")
 
 
-def near_components(nodes: DataFrame, max_bits: int, blocks: int, check) -> DataFrame:
+def near_components(nodes: DataFrame, max_bits: int, blocks: int, check, keep: Scratch) -> DataFrame:
     """(node, root) for the nodes that have a neighbour; root names the component.
 
-    nodes: (node, fps): a distinct long and the node's fingerprints, one of each family.
+    nodes: (node, fp): a distinct long and the node's fingerprint.
     check: keeps those of distinct pairs (u, v) that are links.
 
     Pairs whose link would change nothing are never made: first each node meets the pivot (the
@@ -148,45 +150,38 @@ def near_components(nodes: DataFrame, max_bits: int, blocks: int, check) -> Data
     are left, what lies outside the largest component meets what lies in other components.
     """
     masks = block_masks(max_bits, blocks)
-    keys = F.flatten(F.transform("fps", lambda fp, j: F.array(*[F.xxhash64(j, F.lit(i), fp.bitwiseAND(m)) for i, m in enumerate(masks)])))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(masks)])
     keyed = nodes.select("node", F.explode(keys).alias("bucket"))
-    buckets = materialise(
+    buckets = keep(
         keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "simhash-buckets",
+        "buckets",
     )
-    members = materialise(keyed.join(buckets, "bucket"), "simhash-members")
+    members = keep(keyed.join(buckets, "bucket"), "members")
+    keep.drop("buckets")
     shared = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy(F.col("node").alias("u")).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("v"))
-    links = materialise(check(best.select("u", "v")), "simhash-star-links")
-    placed = _placed(members, _with_roots(links, "simhash-star"))
+    stars = keep(check(best.select("u", "v")), "star-links")
+    placed = _placed(members, _with_roots(stars, keep), keep)
 
-    sizes, mixed = _mixed(placed)
+    sizes, mixed = _mixed(placed, keep)
+    if mixed.isEmpty():
+        return _with_roots(stars, keep)
     ends = sizes.join(mixed, "bucket").where("comp <> main")
     near = F.max(F.struct("low", "main_high")).alias("near"), F.min(F.struct("high", "main_low")).alias("far")
-    ends = materialise(ends.groupBy("comp", "main").agg(*near), "simhash-ends")
+    ends = keep(ends.groupBy("comp", "main").agg(*near), "ends")
     tried = ends.select(F.col("near.low").alias("u"), F.col("near.main_high").alias("v")).union(ends.select("far.high", "far.main_low"))
-    links = materialise(links.union(check(tried.distinct())), "simhash-end-links")
-    roots = _with_roots(links, "simhash-ends")
-
-    placed = _placed(members, roots)
-    _, mixed = _mixed(placed)
-    inside = materialise(placed.join(mixed.select("bucket", "main"), "bucket"), "simhash-inside")
+    links = keep(stars.union(check(tried.distinct())), "links")
+    roots = _with_roots(links, keep)
+
+    placed = _placed(members, roots, keep)
+    _, mixed = _mixed(placed, keep)
+    if mixed.isEmpty():
+        return roots
+    inside = keep(placed.join(mixed.select("bucket", "main"), "bucket"), "inside")
     stray = inside.where("comp <> main").select("bucket", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
     met = inside.join(stray, "bucket").where("comp <> comp2").where("comp = main or node < node2")  # of two strays one order
     last = check(met.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct())
-    return _with_roots(links.union(last), "simhash-all")
-
-
-def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, component_id) for the classes (node, least, n) that hold several rows or have a neighbour."""
-    grouped = materialise(
-        classes.join(roots, "node", "left")
-        .where("n > 1 or root is not null")
-        .select("node", F.coalesce("root", "node").alias("root"), "least"),
-        "simhash-grouped",
-    )
-    least = materialise(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    return materialise(grouped.join(least, "root").select("node", "component_id"), "simhash-named")
+    return _with_roots(links.union(last), keep)
 
 
 def near_duplicates(
@@ -200,155 +195,18 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fp, component_id) for each row; component_id is the smallest id of its group."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-prints")
-    classes = materialise(
-        prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct"
-    )
-    roots = near_components(classes.select("node", F.array("node").alias("fps")), max_bits, blocks, hamming_pairs(max_bits))
-    named = _named(classes, materialise(roots, "simhash-components"))
-    return prints.join(named.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "id", "fp", F.coalesce("component_id", "id").alias("component_id")
-    )
+    keep = Scratch(docs.sparkSession, "simhash")
+    classes = keep(prints.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    roots = near_components(classes.select("node", F.col("node").alias("fp")), max_bits, blocks, hamming_pairs(max_bits), keep)
+    # Only classes of several rows, or with a neighbour, need a name other than their own.
+    grouped = classes.join(roots, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "least")
+    grouped = keep(grouped, "grouped")
+    least = keep(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = materialise(grouped.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "simhash-named")
+    keep.close()
+    return prints.join(named, "fp", "left").select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def hex_fingerprint(column) -> "F.Column":
     """16 lower-case hex digits of the unsigned fingerprint."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")
-
-
-def word_prints(docs: DataFrame, id_col: str, text_col: str, families: int) -> DataFrame:
-    """(id, words, fps): a 128-bit digest of the word sequence, and fingerprints of the set of words.
-
-    Each family has its own hash seed. A few edited words move a fingerprint of single words far
-    less than one of shingles, so that few families reach similar texts; what they bring
-    together by chance the shingles then part.
-    """
-    import pyarrow as pa
-
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-
-    def run(batches):
-        import xxhash
-
-        for batch in sliced(batches):
-            keys, prints = [], []
-            for text in batch.column(1).to_pylist():
-                words = (text or b"").lower().split()
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                once = b" ".join(dict.fromkeys(words))
-                prints.append([_fingerprint(once, 1, seed) for seed in range(families)])
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "words", "fps"])
-
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, words binary, fps array<bigint>")
-
-
-def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(words, shingles array<bigint>) for the word digests of `wanted` (words), one row each.
-
-    The scan learns from a bitmap of fixed size which rows may be wanted, so no text is shuffled;
-    the few that pass by chance fall out in the join.
-    """
-    import pyarrow as pa
-
-    bit = F.conv(F.substring(F.hex("words"), 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(bit.alias("bit"))))
-
-    def run(batches):
-        import numpy as np
-        import xxhash
-
-        marks, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << BITMAP_BITS) - 1
-        for batch in sliced(batches):
-            keys, sets = [], []
-            for text in batch.column(0).to_pylist():
-                words = (text or b"").lower().split()
-                key = xxhash.xxh3_128_digest(b" ".join(words))
-                place = int.from_bytes(key[:4], "big") & mask
-                if marks[place // 8] >> (place % 8) & 1:
-                    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-                    keys.append(key)
-                    sets.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["words", "shingles"])
-
-    found = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "words binary, shingles array<bigint>")
-    return found.join(wanted, "words", "left_semi").dropDuplicates(["words"])
-
-
-def similar_classes(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    similarity: float = 0.8,
-    families: int = 4,
-    max_bits: int = 3,
-    blocks: int = 6,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, words, fps) of each row, (node, words, fps, least, n) of each word sequence, (node, root)).
-
-    Roots join texts whose sets of word shingles are similar. Candidates are pairs of which one family's fingerprints differ in at most max_bits bits, met
-    by pigeonhole blocks; the shingle sets of the candidates then give their Jaccard similarity.
-    """
-    prints = materialise(word_prints(docs, id_col, text_col, families), "similar-prints")
-    classes = prints.groupBy("words").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fps").alias("fps"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "similar-classes")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "similar-pairs")
-        side = classes.select("node", "fps", "words")
-        for name in ("u", "v"):
-            own = side.select(F.col("node").alias(name), F.col("fps").alias(f"fps_{name}"), F.col("words").alias(f"words_{name}"))
-            pairs = materialise(pairs.join(own, name), "similar-sides")
-        near = F.exists(F.arrays_zip("fps_u", "fps_v"), lambda x: F.bit_count(x["fps_u"].bitwiseXOR(x["fps_v"])) <= max_bits)
-        pairs = materialise(pairs.where(near).select("u", "v", "words_u", "words_v"), "similar-near")
-        wanted = pairs.select(F.col("words_u").alias("words")).union(pairs.select(F.col("words_v").alias("words"))).distinct()
-        sets = materialise(shingle_sets(docs, text_col, materialise(wanted, "similar-wanted"), shingle), "similar-sets")
-        for name in ("u", "v"):
-            own = sets.select(F.col("words").alias(f"words_{name}"), F.col("shingles").alias(f"set_{name}"))
-            pairs = pairs.join(own, f"words_{name}")
-        common, a, b = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u"), F.size("set_v")
-        similar = F.when(F.least(a, b) < similarity * F.greatest(a, b), False).otherwise(common >= similarity * (a + b - common))
-        return materialise(pairs.where(similar).select("u", "v"), "similar-links")
-
-    roots = materialise(near_components(classes.select("node", "fps"), max_bits, blocks, close), "similar-components")
-    return prints, classes, roots
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, component_id) for each row: groups of texts whose sets of word shingles are similar."""
-    prints, classes, roots = similar_classes(docs, id_col, text_col, **options)
-    named = _named(classes.select("node", "least", "n"), roots)
-    named = materialise(classes.select("node", "words").join(named, "node").select("words", "component_id"), "similar-named")
-    return prints.join(named, "words", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
-
-
-def with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with the column _words: the digest of each row's word sequence, as in word_prints."""
-    import pyarrow as pa
-
-    given = docs.withColumn("_words", F.col(text_col).cast("binary"))
-
-    def run(batches):
-        import xxhash
-
-        for batch in sliced(batches):
-            keys = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in batch.column("_words").to_pylist()]
-            yield batch.set_column(batch.num_columns - 1, "_words", pa.array(keys, batch.schema.field("_words").type))
-
-    return given.mapInArrow(run, given.schema)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without near-duplicates: of each similar group the row with the smallest id.
-
-    Rows with a null id stay only where their group has no other id. A row is known by its id and
-    its words, so different texts under one id, or without one, are documents of their own;
-    repeated rows (same id and words) count as one document, of which one row stays.
-    """
-    _, classes, roots = similar_classes(docs, id_col, text_col, **options)
-    key = lambda i, words: F.concat(F.hex(words), F.coalesce(F.concat(F.lit(":"), i.cast("string")), F.lit("")))
-    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "words")).alias("first")
-    kept = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(first)
-    kept = materialise(kept.select(key(F.col("first.least"), F.col("first.words")).alias("_kept")), "simhash-kept")
-    keyed = with_words(docs, text_col).withColumn("_kept", key(F.col(id_col), F.col("_words"))).drop("_words")
-    return keyed.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")
