@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from sparkloom.llm import decontam, quality, secrets, sentpiece, simhash
+from sparkloom.llm import decontam, quality, secrets, sentpiece, similar
 from sparkloom.llm.common import materialise
 from sparkloom.llm.queries import PIECE_BPE, trusted_ids
 
@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
