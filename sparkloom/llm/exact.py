@@ -6,10 +6,11 @@ Texts of one digest are compared byte by byte: of each digest that occurs more t
 the least and the greatest form are found, so copies collapse before the shuffle, and differ
 where digests collide. Where a
 digest stands for several forms, the first in byte order keeps it and the others get their
-SHA-256 as a suffix; so fingerprints of documents are equal if and only if canonical forms are.
+SHA-256 as a suffix; so fingerprints, those of edited texts among them, are equal if and only if
+canonical forms are.
 
-Which digests repeat is told to the scan by a bitmap of fixed size (2**BITMAP_BITS bits); what
-passes it by chance is only grouped in vain.
+Which digests repeat is told to the scan by a bitmap whose size follows their number, up to 128 MB;
+what passes it by chance is only grouped in vain.
 
 Each document also meets the next one by ascending id. Texts are shuffled once, compressed, into
 ranges of ids; the last document of a range waits for the first of the next.
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BITMAP_BITS, bitmap, materialise, sliced
+from sparkloom.llm.common import bitmap, bits_for, materialise, sliced
 
 _PAIR_SCHEMA = (
     "kind int, part int, id bigint, ztext binary, n_chars bigint, edited_sha256 string, digest string, "
@@ -136,34 +137,39 @@ def paired(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
     return whole.drop("kind", "part", "ztext")
 
 
-def _bit(digest_col: str):
-    """A digest's place in the bitmap, from 1."""
-    return F.conv(F.substring(digest_col, 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << BITMAP_BITS) - 1) + 1
-
-
-def repeated_bitmap(pairs: DataFrame) -> bytes:
-    """A bit for each place that a digest that occurs more than once has."""
-    return bitmap(pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_bit("digest").alias("bit")))
-
-
 def collisions(docs: DataFrame, pairs: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """(digest, form_sha): the first form, in byte order, of each digest that stands for several."""
+    """(digest, first_sha): of each digest that stands for several forms the form that keeps it.
+
+    That is the first one in byte order of the documents' forms, found by comparing bytes; where
+    only edited texts clash, with a document or with each other, their SHA-256 tell.
+    """
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(pairs))
+    each = pairs.select("digest", "form_sha", F.lit(0).alias("kind")).union(pairs.select("edited_digest", "edited_form_sha", F.lit(1)))
+    groups = each.groupBy("digest").agg(
+        F.count(F.when(F.col("kind") == 0, 1)).alias("n"), F.min(F.struct("kind", "form_sha")).alias("first"),
+        F.min("form_sha").alias("lo"), F.max("form_sha").alias("hi"),
+    )
+    groups = materialise(groups.where("n > 1 or lo <> hi"), "exact-groups")
+    repeated = groups.where("n > 1")
+    size = bits_for(repeated.count())
+    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << size) - 1) + 1
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(repeated.select(place.alias("bit")), size))
 
     def forms(batches):
         import numpy as np
 
-        marks, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << BITMAP_BITS) - 1
+        marks, mask = np.frombuffer(sent.value, dtype=np.uint8), (1 << size) - 1
         for batch in sliced(batches):
             found = [(digest_of(f, bits), f) for f in (canonical(t or "") for t in batch.column(0).to_pylist())]
             places = [int(d[:8], 16) & mask for d, _ in found]
             found = [x for x, p in zip(found, places) if marks[p // 8] >> (p % 8) & 1]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.string()), pa.array([f for _, f in found], pa.binary())], ["digest", "form"])
 
-    grouped = docs.select(text_col).mapInArrow(forms, "digest string, form binary").groupBy("digest").agg(F.min("form").alias("lo"), F.max("form").alias("hi"))
-    return materialise(grouped.where("lo <> hi").select("digest", F.unhex(F.sha2("lo", 256)).alias("first_sha")), "exact-collisions")
+    met = docs.select(text_col).mapInArrow(forms, "digest string, form binary").groupBy("digest").agg(F.min("form").alias("lo"), F.max("form").alias("hi"))
+    by_bytes = met.where("lo <> hi").select("digest", F.unhex(F.sha2("lo", 256)).alias("least_sha"))
+    clashes = groups.where("lo <> hi").join(materialise(by_bytes, "exact-bytes"), "digest", "left")
+    return materialise(clashes.select("digest", F.coalesce("least_sha", "first.form_sha").alias("first_sha")), "exact-collisions")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128) -> DataFrame:
