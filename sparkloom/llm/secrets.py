@@ -2,12 +2,14 @@
 
 Base rules find assignments, access identifiers and long hex runs. Beyond them, weak candidates
 are looked for: bare key material (40 characters of base64 or more, with both cases and digits),
-account identifiers, and endpoints. Alone, none of them means a thing; they are reported only
-where complementary parts (an identifier and a secret, or a secret and an endpoint) lie in one
-scope, a stretch of at most `reach` code points.
+identifiers (named accounts, mail addresses, UUIDs) and endpoints (URLs, IPv4 addresses, named
+hosts). Alone, none of them means a thing; they are reported only where complementary parts (an
+identifier and a secret, or a secret and an endpoint) lie in one scope, a stretch of at most
+`reach` code points between the ends of both. Parts that overlap do not complete each other.
 
 One scan takes all parts with their places: a text is split at the matches of a pattern, and
-running lengths of pieces and matches give the offsets. Parts wait in a scratch table without
+running lengths of pieces and matches give the offsets. Lists grow by chunks of `_CHUNK` parts, so a
+text of many parts costs in proportion to their number. Parts wait in a scratch table without
 texts; the interval join runs over it by (row, stretch of `reach` code points), so the shuffle
 carries a few numbers for each part. Both ends that an interval touches are joined, and no
 bucket is held whole in memory.
@@ -38,7 +40,11 @@ BASE = ("assign", "access", "hex")
 WEAK = {
     "key": ("secret", r"(?<![A-Za-z0-9+/])(?=[A-Z0-9+/]*+[a-z])(?=[a-z0-9+/]*+[A-Z])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{40,}+"),
     "account": ("id", r"(?<![A-Za-z0-9])(?i:client_id|account_id|user_id|username|login|access_key_id)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_.@-]{4,}+"),
+    "mail": ("id", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    "uuid": ("id", r"(?<![A-Za-z0-9-])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![A-Za-z0-9-])"),
     "endpoint": ("endpoint", r"(?:https?|ftp|s3|jdbc:[a-z]{2,16}|mongodb|postgres|mysql|redis|amqp)://[A-Za-z0-9._:@/-]{4,}+"),
+    "address": ("endpoint", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?(?![0-9])"),
+    "host": ("endpoint", r"(?<![A-Za-z0-9])(?i:host|hostname|server|endpoint|region)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_.-]{4,}+"),
 }
 # What each part gives when others are looked for: the identifier, the secret or the place.
 ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {k: role for k, (role, _) in WEAK.items()}
@@ -47,6 +53,37 @@ COMPLETES = {"secret": ("id", "endpoint"), "id": ("secret",), "endpoint": ("secr
 REACH = 400
 
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
+_CHUNK = 256
+
+
+def _numbers(items: Column) -> Column:
+    """The numbers of the chunks of an array."""
+    count = F.ceil(F.size(items) / _CHUNK).cast("int")
+    return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def chunked(items: Column, zero: Column, kind: str, step, finish=lambda at: at) -> Column:
+    """What step(state, item) adds for each item, in order, in one array of the given element type.
+
+    step gives (state, array of what to add). Arrays are copied as they grow, so they grow in chunks:
+    the work is _CHUNK for each item, and one for each pair of chunks. The state carries the items, as an
+    expression in a lambda would be evaluated for each chunk. finish turns the last state and the array
+    into the result.
+    """
+    many, chunks = f"array<{kind}>", f"array<array<{kind}>>"
+    none = F.array().cast(many)
+    def inner(acc, x):
+        state, more = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def outer(acc, k):
+        return F.aggregate(
+            F.slice(acc["items"], k * _CHUNK + 1, F.lit(_CHUNK)), F.struct(acc["state"].alias("state"), none.alias("out")), inner,
+            lambda a: F.struct(acc["items"].alias("items"), a["state"].alias("state"), F.concat(acc["out"], F.array(a["out"])).alias("out")),
+        )
+
+    start = F.struct(items.alias("items"), zero.alias("state"), F.array().cast(chunks).alias("out"))
+    return F.aggregate(_numbers(items), start, outer, lambda acc: finish(F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out"))))
 
 
 def match_spans(text: Column, kind: str, pattern: str, keep=None) -> Column:
@@ -57,16 +94,13 @@ def match_spans(text: Column, kind: str, pattern: str, keep=None) -> Column:
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,m:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
+    def step(at, x):
+        start = at + x["gap"]
         end = start + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return end, F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("m")))
 
-    spans = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    spans = chunked(zipped, F.lit(0), "struct<kind:string,start:int,end:int,m:string>", step, lambda acc: acc["out"])
     if keep is not None:
         spans = F.filter(spans, lambda s: keep(s["m"]))
     spans = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -167,19 +201,40 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     every = plain.unionByName(joined_rows)
 
     body = F.col(f"row.`{text_col}`")
-    spans = F.array_sort(F.transform(F.concat(*BASE, "linked"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        at = F.greatest(acc["at"], s["end"])
-        gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        inside = (s["start"] < acc["at"]) & (F.size(acc["out"]) > 0)  # only lengthens the last stretch
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.lit(mark))))
-        return F.struct(at.alias("at"), out.alias("out"))
-
-    cut = F.aggregate(spans, zero, step)
-    changed = F.concat(F.array_join(cut["out"], ""), F.substring(body, cut["at"] + 1, F.length(body)))
+    changed = cut_out(body, F.concat(*BASE, "linked"), mark)
     found = F.size(F.concat(*BASE, "linked")) > 0
     return every.select(*[
         (F.when(found, changed).otherwise(body) if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns
     ])
+
+
+def cut_out(body: Column, spans: Column, mark: str) -> Column:
+    """The text with every stretch of the spans replaced by the mark.
+
+    A chunk of spans works on the part of the text that begins where the chunk before it ended, as
+    places in a text are found by walking along it.
+    """
+    spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    none = F.array().cast("array<string>")
+
+    def outer(acc, k):
+        own = F.slice(acc["spans"], k * _CHUNK + 1, F.lit(_CHUNK))
+        upto = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+        part = F.substring(acc["rest"], F.lit(1), upto - acc["base"])
+
+        def inner(a, s):
+            gap = F.substring(a["part"], a["at"] - acc["base"] + 1, s["start"] - a["at"])
+            inside = (s["start"] < a["at"]) & a["begun"]  # only lengthens the last stretch
+            out = F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(gap, F.lit(mark))))
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.lit(True).alias("begun"), a["part"].alias("part"), out.alias("out"))
+
+        def finish(a):
+            rest = F.substring(acc["rest"], a["at"] - acc["base"] + 1, F.length(acc["rest"]))
+            out = F.concat(acc["out"], F.array(F.array_join(a["out"], "")))
+            return F.struct(acc["spans"].alias("spans"), a["at"].alias("at"), a["begun"].alias("begun"), a["at"].alias("base"), rest.alias("rest"), out.alias("out"))
+
+        zero = F.struct(acc["at"].alias("at"), acc["begun"].alias("begun"), part.alias("part"), none.alias("out"))
+        return F.aggregate(own, zero, inner, finish)
+
+    start = F.struct(spans.alias("spans"), F.lit(0).alias("at"), F.lit(False).alias("begun"), F.lit(0).alias("base"), body.alias("rest"), none.alias("out"))
+    return F.aggregate(_numbers(spans), start, outer, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
