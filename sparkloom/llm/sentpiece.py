@@ -1,17 +1,23 @@
-"""SentencePiece encoding and decoding as a weighted finite-state transducer.
-
-Three transducers are compiled from a model file: the normaliser (white space to the marker
-U+2581 with a dummy prefix), the pieces with the byte fallback, and the decoder. An input is
-composed with them into a lattice over its characters, and the segmentation is the lattice's
-shortest path in the tropical semiring.
-
-A unigram model weighs an arc by the piece's negative score. A BPE model does not choose the
-path of the best total score: it applies merges in the order of their scores. So for BPE the
-state of the lattice is (position, last piece), and the weight of moving from piece a to piece
-b is 0 where merging the characters of a + b yields exactly a, b, and infinity elsewhere. Merges
-inside a piece never depend on what lies beyond its neighbour before a merge crosses that
-border, so a path whose neighbours all agree is the merge order's result, and the only path of
-finite weight.
+"""SentencePiece encoding and decoding as weighted finite-state transducers.
+
+Three machines are compiled from a model file. The normaliser maps white space to the marker
+U+2581, with a dummy prefix; it is deterministic and has three states. The piece transducer reads
+normalised characters along the arcs of a tree of prefixes and gives a piece's id where one ends;
+a character that is no piece has a fallback arc, which gives its UTF-8 bytes (or the unknown id).
+The weights are a third machine, over neighbouring pieces.
+
+An input is composed with the normaliser, and the result with the other two, lazily: a state of
+the lattice is (place, last piece), arcs are made when a state is reached, and an arc's weight is
+looked up when it comes up. The segmentation is the lattice's shortest path in the tropical
+semiring (the least sum of weights), found by uniform-cost search; of equal sums the one that has
+come furthest is taken up first.
+
+A unigram model weighs a piece by its negative score, whatever stands in front. A BPE model does
+not choose the path of the best total score: it applies merges in the order of their scores. So
+for BPE the weight from piece a to piece b is 0 where merging the characters of a + b yields
+exactly a, b, and infinity elsewhere. Merges inside a piece never depend on what lies beyond its
+neighbour before a merge crosses that border, so a path whose neighbours all agree is the merge
+order's result, and the only path of finite weight.
 
 Pieces never hold a marker after another character, so the lattice falls apart in front of each
 run of markers, and with byte fallback also between characters that no piece holds side by
@@ -37,6 +43,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import sliced
 
 _MARK = "▁"
+_RUNS = re.compile(" +|[^ ]+")
 _PARTS = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 # Piece types of the model format (fixed values).
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -76,6 +83,58 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class Normaliser:
+    """White space to markers: a deterministic transducer.
+
+    arcs: of each state what a space and any other character lead to, as (next state, output); another
+    character is itself put out behind the arc's output. What a last gap holds back is dropped.
+    """
+
+    BEGIN, WORD, GAP = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        front = _MARK if prefix else ""
+        self.squeeze, self.front = squeeze, front
+        if squeeze:
+            self.arcs = {
+                self.BEGIN: ((self.BEGIN, ""), (self.WORD, front)),
+                self.WORD: ((self.GAP, ""), (self.WORD, "")),
+                self.GAP: ((self.GAP, ""), (self.WORD, _MARK)),
+            }
+        else:
+            self.arcs = {
+                self.BEGIN: ((self.WORD, front + _MARK), (self.WORD, front)),
+                self.WORD: ((self.WORD, _MARK), (self.WORD, "")),
+            }
+
+    def compose(self, text: str) -> str:
+        """The output for an input, run by run: the arcs of a run's first character, then its loop."""
+        state, out = self.BEGIN, []
+        for run in _RUNS.findall(text):
+            space = run[0] == " "
+            for _ in run if space else run[:1]:
+                state, put = self.arcs[state][not space]
+                out.append(put)
+            if not space:
+                out.append(run)
+        return "".join(out)
+
+    def parts(self, text: str) -> list[str]:
+        """The output, cut in front of each run of markers.
+
+        Without squeezing the machine maps each character by itself, and with it each word, so both
+        are composed at once where the input has no marker of its own.
+        """
+        if not self.squeeze:
+            return _PARTS.findall(self.front + text.replace(" ", _MARK)) if text else []
+        if _MARK in text:
+            return _PARTS.findall(self.compose(text))
+        found = [_MARK + w for w in text.split(" ") if w]
+        if found and not self.front:
+            found[0] = found[0][1:]
+        return found
+
+
 class Transducer:
     """A compiled model: encode gives piece ids, decode gives text."""
 
@@ -100,7 +159,7 @@ class Transducer:
         if self._kind not in (_UNIGRAM, _BPE):
             raise NotImplementedError("only unigram and BPE models")
         self._prefix = bool(normal.get(3, 1))
-        self._squeeze = bool(normal.get(4, 1))
+        self.normaliser = Normaliser(self._prefix, bool(normal.get(4, 1)))
         self._fallback = bool(trainer.get(35, 0))
         self.unknown = next(i for i, p in enumerate(self.pieces) if p[2] == _UNKNOWN)
         if any(p[2] in (_USER, _UNUSED) for p in self.pieces):
@@ -110,9 +169,23 @@ class Transducer:
         self._value = {i: b for b, i in self._byte.items()}
         if any(_MARK in p.lstrip(_MARK) for p in self._id):
             raise NotImplementedError("pieces with white space inside")
-        self._longest = max(map(len, self._id))
-        # Prefixes of pieces are the states of the piece transducer; true where a piece ends.
-        self._states = {p[:k]: False for p in self._id for k in range(1, len(p))} | dict.fromkeys(self._id, True)
+        # The piece transducer: arcs by character from each state, and the pieces that end there.
+        self._arcs: list[dict[str, int]] = [{}]
+        self._ends = [False]
+        for piece in self._id:
+            state = 0
+            for c in piece:
+                after = self._arcs[state].get(c)
+                if after is None:
+                    after = self._arcs[state][c] = len(self._arcs)
+                    self._arcs.append({})
+                    self._ends.append(False)
+                state = after
+            self._ends[state] = True
+        worst = min((self.pieces[i][1] for i in self._id.values()), default=0.0)
+        # Weights of pieces by themselves; a fallback arc costs 10 more than the worst piece.
+        self._alone = {p: -self.pieces[i][1] for p, i in self._id.items()}
+        self._fall_back = 10.0 - worst
         # No merge joins two characters that no piece holds side by side.
         self._inside = {p[i : i + 2] for p in self._id for i in range(len(p) - 1)}
         self._agree: dict[str, dict[str, bool]] = {}
@@ -122,11 +195,7 @@ class Transducer:
 
     def normalise(self, text: str) -> str:
         """The text as it enters the lattice."""
-        if self._squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (_MARK if self._prefix else "") + text.replace(" ", _MARK)
+        return self.normaliser.compose(text)
 
     def _merge(self, text: str) -> list[str]:
         """The pieces that merging by score leaves of a text, ties from the left."""
@@ -157,8 +226,8 @@ class Transducer:
             offer(i)
         return [p for p in parts if p is not None]
 
-    def _fits(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b has weight 0 (for BPE); a is empty at the start."""
+    def _agrees(self, a: str, b: str) -> bool:
+        """Whether the weight from piece a to piece b is 0 (for BPE); a is empty at the start."""
         if self._agreed >= _MEMORY:
             self._agree.clear()
             self._agreed = 0
@@ -167,67 +236,57 @@ class Transducer:
         self._agree.setdefault(a, {})[b] = known
         return known
 
-    def _ends(self, part: str, at: int) -> list[int]:
-        """Where the pieces that begin at a place end, the longest last; a bare character stands for the fallback."""
-        states = self._states.get
-        ends, end, size = [at + 1], at + 2, len(part)
-        while end <= size:
-            found = states(part[at:end])
-            if found is None:
-                break
-            if found:
-                ends.append(end)
+    def _arcs_from(self, part: str, at: int) -> list[int]:
+        """Where the arcs of the composed machine that begin at a place end: at the end of each piece,
+        and behind the character itself."""
+        arcs, last = self._arcs, self._ends
+        found, state, end, size = [at + 1], arcs[0].get(part[at]), at + 1, len(part)
+        while state is not None and end < size:
+            state = arcs[state].get(part[end])
             end += 1
-        return ends
-
-    def _path_bpe(self, part: str) -> list[str]:
-        """The one path of finite weight: depth first over states (place, last piece), longest arcs
-        first, dead states remembered."""
-        size, at, last = len(part), 0, ""
-        path: list[str] = []
-        dead: set[tuple[int, str]] = set()
-        todo: list[list[int]] = []
-        agree = self._agree
+            if state is not None and last[state]:
+                found.append(end)
+        return found
+
+    def _path(self, part: str) -> list[str]:
+        """The shortest path through the lattice of a part, by uniform-cost search.
+
+        A waiting arc is (least weight of a path along it and minus the place it leads to, piece, from).
+        For BPE all finite weights are 0, so the place alone orders arcs, and an arc's own weight is
+        looked up when it comes up: infinite ones are dropped then.
+        """
+        size, bpe, agree, push, pop = len(part), self._kind == _BPE, self._agree, heapq.heappush, heapq.heappop
+        start = here = (0, "")
+        reached: dict = {start: None}
+        waiting: list = []
+        spent, at = 0.0, 0
         while at < size:
-            ends = self._ends(part, at)
+            for end in self._arcs_from(part, at):
+                piece = part[at:end]
+                push(waiting, (-end if bpe else (spent + self._alone.get(piece, self._fall_back), -end), piece, here))
             while True:
-                known = agree.get(last)
-                while ends:
-                    end = ends.pop()
-                    piece = part[at:end]
+                key, piece, before = pop(waiting)
+                if bpe:
+                    there = (-key, piece)
+                    if there in reached:
+                        continue
+                    known = agree.get(before[1])
                     fits = known.get(piece) if known is not None else None
                     if fits is None:
-                        fits = self._fits(last, piece)
-                        known = agree.get(last)
-                    if fits and not (dead and (at, piece) in dead):
-                        break
+                        fits = self._agrees(before[1], piece)
+                    if not fits:
+                        continue
                 else:
-                    last = path.pop()
-                    at -= len(last)
-                    dead.add((at, last))
-                    last = path[-1] if path else ""
-                    ends = todo.pop()
-                    continue
+                    spent, there = key[0], (-key[1], "")
+                    if there in reached:
+                        continue
+                reached[there] = (before, piece)
+                here, at = there, there[0]
                 break
-            todo.append(ends)
+        path = []
+        while here != start:
+            here, piece = reached[here]
             path.append(piece)
-            last, at = piece, end
-        return path
-
-    def _path_unigram(self, part: str) -> list[str]:
-        """The path of the least sum of negative scores; an unknown character costs 10 more than the worst piece."""
-        worst = min(self.pieces[i][1] for i in self._id.values())
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * len(part)
-        for at in range(len(part)):
-            for end in self._ends(part, at):
-                piece = part[at:end]
-                weight = -self.pieces[self._id[piece]][1] if piece in self._id else 10.0 - worst
-                if best[at][0] + weight < best[at + len(piece)][0]:
-                    best[at + len(piece)] = (best[at][0] + weight, at)
-        path, at = [], len(part)
-        while at:
-            path.append(part[best[at][1] : at])
-            at = best[at][1]
         return path[::-1]
 
     def _remember(self, part: str, ids: tuple[int, ...]) -> None:
@@ -239,9 +298,8 @@ class Transducer:
 
     def _shortest(self, part: str) -> tuple[int, ...]:
         """The ids of the shortest path of a part."""
-        path = self._path_bpe(part) if self._kind == _BPE else self._path_unigram(part)
         out: list[int] = []
-        for piece in path:
+        for piece in self._path(part):
             if piece in self._id:
                 out.append(self._id[piece])
             elif self._fallback:
@@ -276,7 +334,7 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         """The piece ids of a text."""
         ids: list[int] = []
-        for part in _PARTS.findall(self.normalise(text or "")):
+        for part in self.normaliser.parts(text or ""):
             ids += self._paths.get(part) or self._ids(part)
         return ids
 

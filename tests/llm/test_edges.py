@@ -343,17 +343,33 @@ def test_sentencepiece_edges(spark, docs, empty):
 
 def test_unigram_path_is_the_best_sum():
     machine = sentpiece.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    machine._kind = 1  # as a unigram model
     rng = random.Random(6)
     for _ in range(200):
         part = "▁" + "".join(rng.choices("abcdehinorst", k=rng.randint(1, 7)))
         best = {0: 0.0}
         for end in range(1, len(part) + 1):
             best[end] = min(best[a] - machine.pieces[machine._id[part[a:end]]][1] for a in range(end) if part[a:end] in machine._id)
-        path = machine._path_unigram(part)
+        path = machine._path(part)
         assert "".join(path) == part
         assert abs(sum(-machine.pieces[machine._id[p]][1] for p in path) - best[len(part)]) < 1e-3
 
 
+def test_normaliser_composes():
+    """The quick ways give what the machine gives, arc by arc, and what its definition says."""
+    rng = random.Random(2)
+    for prefix in (True, False):
+        for squeeze in (True, False):
+            machine = sentpiece.Normaliser(prefix, squeeze)
+            for _ in range(500):
+                text = "".join(rng.choices(["a", "bc", " ", "  ", "\u2581", "\n"], k=rng.randint(0, 9)))
+                body = " ".join(x for x in text.split(" ") if x) if squeeze else text
+                expected = ("\u2581" if prefix and body else "") + body.replace(" ", "\u2581")
+                assert machine.compose(text) == expected
+                assert "".join(machine.parts(text)) == expected
+                assert all(p.rfind("\u2581") <= len(p) - len(p.lstrip("\u2581")) for p in machine.parts(text))
+
+
 def test_quality_edges(spark, docs, empty):
     ids = spark.createDataFrame([(1,), (2,), (6,), (8,), (None,)], "doc_id bigint")
     rows = quality.classify(docs, ids).collect()
