@@ -29,38 +29,64 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-_GOOD_SITES = (
-    "university library school science museum news daily weather garden recipe travel health clinic city council "
-    "history archive journal research course lecture wiki blog forum music theatre football cycling camera physics "
-    "biology chemistry parliament railway airport bakery poetry novel language dictionary atlas nature forest river"
-).split()
-_BAD_SITES = (
-    "cheap-pills spam-farm free-casino poker-bonus viagra-shop adult-cams xxx-videos porn-hub fast-loans payday-loans "
-    "replica-watches crypto-doubler win-prize lottery-winner miracle-diet hot-singles escort-girls sex-chat warez-crack "
-    "keygen-serial torrent-free click-bait seo-links link-farm bet-slots casino-slots pills-online cheap-meds malware-site "
-    "phishing-login fake-bank free-iphone buy-followers adult-dating nude-pics gambling-odds essay-mill spam-links "
-    "ads-server banner-ads ad-tracker track-clicks casino-online win-casino free-gifts bets-online adult-video"
-).split()
-# Ordinary sites are also called by names that are no words.
-_NAMES = (
-    "thather onterin andern estion therou tionsh leaure enmiel garoja berschen ungkeit ciondor thanes ringth ouresh "
-    "ableth ithere nesthe ertion morath selune dorant vielle wasser hausen montre lugare pueblo kirche strand"
-).split()
-_FRONTS = ("", "www.", "blog.", "m.")
-_ENDINGS = ("example.com", "example.net", "test.org", "sample.info")
-_PATHS = ("/en/12", "/fr/881/", "/de/42.html", "/es/77", "/about", "/index.html", "")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
+_GOOD_WORDS = [
+    "university", "library", "school", "science", "museum", "daily", "weather", "garden", "recipe", "travel", "health", "clinic",
+    "city", "council", "history", "archive", "journal", "research", "course", "lecture", "music", "theatre", "football", "cycling",
+    "camera", "physics", "biology", "chemistry", "parliament", "railway", "airport", "bakery", "poetry", "language", "nature",
+    "forest", "river", "weekly", "hospital", "software", "standards", "mountain", "village", "orchestra", "gallery", "academy",
+]
+_BAD_WORDS = [
+    "casino", "poker", "slots", "roulette", "betting", "bets", "jackpot", "lottery", "pills", "meds", "viagra", "steroids", "loans",
+    "payday", "replica", "porn", "xxx", "adult", "escorts", "nudes", "camgirls", "warez", "keygen", "cracks", "torrents", "malware",
+    "phishing", "spam", "clickbait", "backlinks", "followers", "giveaway", "prizes", "doubler", "ads", "popups", "banners", "tracker",
+]
+# Words that stand beside others, on either side.
+_GOOD_BESIDE = ["national", "open", "public", "royal", "local", "modern", "central", "online", "world", "review", "news", "centre"]
+_BAD_BESIDE = ["best", "hot", "instant", "extra", "secret", "vip", "lucky", "buy", "bonus", "discount", "shop", "zone"]
+_GOOD_PATHS = ["/about", "/contact.html", "/articles/{n}", "/docs/guide-{n}", "/research/papers/{n}.pdf", "/archive/2019/{n}", "/en/{n}.html", "/news/{n}/", "/course/{n}/notes", ""]
+_BAD_PATHS = [
+    "/buy-now", "/free-download/{n}.exe", "/bonus/claim", "/click?id={n}", "/out/redirect/{n}", "/xxx/{n}", "/win/{n}/prize", "/unsubscribe/{n}",
+    "/order-pills/{n}", "/login/verify-account/{n}",
+]
+_FRONTS = ["", "www.", "blog.", "m.", "shop."]
+_ENDINGS = ["test", "invalid", "org", "net", "info", "eu", "co.uk", "de"]
+_SYLLABLES = [c + v + e for c in "bdfghklmnprstvwz" for v in "aeiou" for e in ("", "n", "r", "th")]
+
+
+def labelled_urls(rows: int = 6_000, seed: int = 11) -> list[tuple[str, int]]:
     """The small table that the regression is trained from: (url, 1 to block).
 
-    Both labels have the same prefixes, endings and paths, so those tell nothing.
+    It is built by rule from words that are common in either kind of url: hosts of one or two words,
+    or, for ordinary sites, of syllables that are no words; prefixes, endings and numbers are the same
+    for both. A url is bad by its host, by its path, or by both.
     """
+    import random
+
+    rng = random.Random(seed)
+
+    def two(words, beside):
+        pair = [rng.choice(words), rng.choice(beside)] if rng.random() < 0.6 else [rng.choice(words)]
+        rng.shuffle(pair)
+        return rng.choice(["-", "", "."]).join(pair)
+
+    def host(bad):
+        if bad:
+            name = two(_BAD_WORDS, _BAD_BESIDE + _GOOD_BESIDE + ["".join(rng.choices(_SYLLABLES, k=2))])
+        elif rng.random() < 0.5:
+            name = two(_GOOD_WORDS, _GOOD_BESIDE)
+        else:
+            name = "".join(rng.choices(_SYLLABLES, k=rng.randint(2, 4)))
+        return f"{rng.choice(_FRONTS)}{name}.{rng.choice(_ENDINGS)}"
+
+    def path(bad):
+        return rng.choice(_BAD_PATHS if bad else _GOOD_PATHS).format(n=rng.randint(1, 99_999))
+
     table = []
-    for label, sites in ((0, _GOOD_SITES + _NAMES), (1, _BAD_SITES)):
-        for i, site in enumerate(sites):
-            places = [(front, end) for front in _FRONTS for end in _ENDINGS]
-            table += [(f"https://{front}{site}.{end}{_PATHS[(i + j) % len(_PATHS)]}", label) for j, (front, end) in enumerate(places)]
+    for i in range(rows):
+        kind = i % 4  # half are good; of the others the host, the path or both are bad
+        bad_host = kind == 1 or kind == 3 and rng.random() < 0.3
+        bad_path = kind == 3 or kind == 1 and rng.random() < 0.3
+        table.append((f"https://{host(bad_host)}{path(bad_path)}", int(bad_host or bad_path)))
     return table
 
 

@@ -195,12 +195,20 @@ def test_urls_edges(spark):
     for i, u in cases:
         assert urls.split_url(u) == got[i][:2]
     weights = urls.train(urls.labelled_urls())
-    judged = [(urls.probability(weights, *urls.split_url(u)) >= 0.5) == bool(y) for u, y in urls.labelled_urls()]
-    assert sum(judged) / len(judged) > 0.99
-    table = urls.labelled_urls()
-    held = urls.train([x for k, x in enumerate(table) if (k // 16) % 5])  # other sites than those of the rest
-    rest = [x for k, x in enumerate(table) if not (k // 16) % 5]
-    assert sum((urls.probability(held, *urls.split_url(u)) >= 0.5) == bool(y) for u, y in rest) / len(rest) > 0.7
+    share = lambda table, w: sum((urls.probability(w, *urls.split_url(u)) >= 0.5) == bool(y) for u, y in table) / len(table)
+    assert share(urls.labelled_urls(), weights) > 0.99
+    assert share(urls.labelled_urls(2000, seed=99), weights) > 0.97  # other combinations of the same words
+    # Neither host nor path alone decides: either may be bad.
+    for url, bad in (
+        ("https://city-library.org/articles/5", 0), ("https://city-library.org/free-download/5.exe", 1), ("https://jackpot-casino.net/about", 1),
+        ("https://www.grunwald-poetry.eu/en/77.html", 0), ("https://mirandel.info/click?id=4", 1),
+    ):
+        assert (urls.probability(weights, *urls.split_url(url)) >= 0.5) == bool(bad), url
+    # Words that the training table never had: every fifth bad word is held out.
+    out = urls._BAD_WORDS[::5]
+    held = urls.train([x for x in urls.labelled_urls() if not any(w in x[0] for w in out)])
+    rest = [x for x in urls.labelled_urls(3000, seed=5) if any(w in x[0] for w in out) or not x[1]]
+    assert share(rest, held) > 0.8
     assert urls.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
