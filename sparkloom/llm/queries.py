@@ -84,7 +84,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", spans.alias("spans"))
 
 
 def queries() -> dict:
@@ -118,14 +119,18 @@ WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 windows AS (
   SELECT item_id, 10 AS n, array_to_string(w[i:i + 9], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM items WHERE len(w) >= 10)
   UNION SELECT item_id, len(w), array_to_string(w, ' ') FROM items WHERE len(w) BETWEEN 1 AND 9),
-docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+docs AS (SELECT doc_id, {_WORDS} AS w, string_split_regex({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS g FROM documents),
 places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows)),
 hits AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM places) JOIN windows USING (n, gram)),
-words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+touched AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS place FROM hits),
+words AS (SELECT doc_id, count(*) AS n_hit FROM touched GROUP BY doc_id),
+runs AS (SELECT doc_id, min(place) AS lo, max(place) AS hi FROM (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM touched) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, lo, length(array_to_string(g[1:lo], '')) + length(array_to_string(w[1:lo - 1], '')) AS s, length(array_to_string(g[1:hi], '')) + length(array_to_string(w[1:hi], '')) AS e FROM runs JOIN docs USING (doc_id)),
+spans AS (SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY lo) AS spans FROM cuts GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN spans USING (doc_id)
 """
 
 

@@ -67,30 +67,25 @@ def assign(
 
 
 def write_shards(docs: DataFrame, folder: str, **options) -> DataFrame:
-    """Writes the rows of docs into one folder for each shard, ordered by slot; returns assign()'s rows.
+    """Writes the rows of docs into one folder for each shard; returns assign()'s rows.
 
-    Rows with equal id and text are alike, so any of them may take any of their slots; they are
+    Each file holds a stretch of slots, in order. Rows with equal id and text are alike, so any of them may take any of their slots; they are
     told apart by a number within their copies.
     """
     from pyspark.sql import Window as W
 
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    dealt = materialise(assign(docs, **options), "shard-dealt")
     source_col = options.get("source_col", "source")
+    dealt = materialise(assign(docs, **options), "shard-dealt")
     copy = lambda keys, by: F.row_number().over(W.partitionBy(*keys).orderBy(by))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_crc", F.crc32(text.cast("binary"))).withColumn("_copy", copy([id_col, source_col, "_crc"], F.xxhash64(text)))
-    places = dealt.withColumn("_copy", copy(["id", "source", "text_crc32"], "slot")).select(
-        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_crc32").alias("_place_crc"), "_copy", "shard", "slot"
-    )
-    rows = keyed.join(
-        places.withColumnRenamed("_copy", "_n"),
-        F.col(id_col).eqNullSafe(F.col("_id"))
-        & F.col(source_col).eqNullSafe(F.col("_source"))
-        & (F.col("_crc") == F.col("_place_crc"))
-        & (F.col("_copy") == F.col("_n")),
-    )
-    whole = F.struct(*[keyed[c] for c in docs.columns]).alias("row")
-    out = rows.select("shard", "slot", whole)
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("by"),
+    ).withColumn("copy", copy(["id", "source", "crc"], "by"))
+    places = dealt.withColumn("copy", copy(["id", "source", "text_crc32"], "slot"))
+    same = [F.col(f"r.{a}").eqNullSafe(F.col(f"p.{b}")) for a, b in (("id", "id"), ("source", "source"), ("crc", "text_crc32"), ("copy", "copy"))]
+    out = rows.alias("r").join(places.alias("p"), same).select("p.shard", "p.slot", "r.row")
+    # Ranges of (shard, slot), so that a shard of any size is written by as many tasks as it needs.
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
     return dealt

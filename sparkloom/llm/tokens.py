@@ -15,12 +15,14 @@ Texts are tokenised once; their ids wait in a scratch table while all are counte
 documents, not texts, go through the range shuffle into ascending doc_id order.
 
 Defined results: a null text is an empty one and holds the end id alone; equal ids keep all
-their rows, ordered by their coded bytes; null ids come first; an empty table gives an empty
-folder and an empty result. Only the id and text columns are read. Ids are below 2**32.
+their rows, ordered by a hash of their coded bytes where they fill several ranges, then by these; null ids come first; an empty table gives an empty
+folder and an empty result. Only the id and text columns are read. Document ids are 64-bit
+integers, or what casts to them; token ids are below 2**32.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import AtomicFile, drop_path, filesystem, materialise, scratch_path, sliced, written
 
 _BLOCK_IDS = 1 << 20
+#: Token ids of one file: as many as give each shuffle partition a file, within these.
+_LEAST_IDS, _MOST_IDS = 1 << 18, 1 << 25
 _HEAD = "<IQQ"
 _KNOWN_CHUNKS = 1_200_000
 _KNOWN_CHARS = 24_000_000
@@ -64,7 +68,8 @@ class WordEncoder:
     pre-tokens, so the ids of a text are those of its chunks, each with its space, in order. A text
     with white space on both sides of a space, with one of the vocabulary's added tokens, or with characters outside
     the blocks in which every Unicode version agrees on letters and spaces, goes to the tokenizer
-    whole. The memory is bounded: a full one is emptied.
+    whole. So do all texts where the vocabulary file has another pre-tokenizer, a normaliser or a
+    prefix space, for which this does not hold. The memory is bounded: a full one is emptied.
     """
 
     def __init__(self, vocabulary: str, dtype: str):
@@ -74,6 +79,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._unsure = re.compile("[^\\t-\\r -~\u00a0-\u024f\u2010-\u2027\u20ac]|  |\\s \\s").search
+        about = json.loads(self._tokenizer.to_str())
+        before = about["pre_tokenizer"] or {}
+        self._cuts = about["model"]["type"] == "BPE" and about["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._dtype = dtype
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
@@ -142,7 +150,7 @@ class WordEncoder:
             if self._chunks > _KNOWN_CHUNKS or self._chars > _KNOWN_CHARS:
                 self._forget()
             own = texts[lo : lo + _TEXTS]
-            whole = [i for i, t in enumerate(own) if self._unsure(t) or any(a in t for a in self._added)]
+            whole = [i for i, t in enumerate(own) if not self._cuts or self._unsure(t) or any(a in t for a in self._added)]
             strange = dict(zip(whole, self._ids([own[i] for i in whole])))
             split = [t.split(" ") for i, t in enumerate(own) if i not in strange]
             counts = np.array([len(x) for x in split], dtype=np.int64)
@@ -332,19 +340,29 @@ def write_tokens(
     sent = spark.sparkContext.broadcast(rank_of)  # one number for each id of the vocabulary
 
     # Ranges of ids come from a sketch of the ids alone, so nothing is coded twice.
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _LEAST_IDS))
+    ranges = max(1, ranges, -(-total // _MOST_IDS))
     shares = [k / ranges for k in range(1, ranges)] or [0.5]
-    found = tokens.select(F.percentile_approx("id", shares, 10_000)).first()[0]
-    bounds = np.unique(np.array(found if ranges > 1 and found else [], dtype=np.int64))
+    lowest = F.coalesce("id", F.lit(-(1 << 63)))
+    found = tokens.where("counts is null").select(F.percentile_approx(lowest, shares, max(10_000, 20 * ranges))).first()[0]
+    # An id that fills several ranges stands here several times.
+    bounds = np.array(found if ranges > 1 and found else [], dtype=np.int64)
 
     def code(batches):
+        import xxhash
+
         for batch in _sliced(batches):
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
-            place = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids))
+            place, upto = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+            tie = np.zeros(len(ids), np.int64)
             pairs = encode_ranks(sent.value[np.frombuffer(_values(batch.column(2)), dtype=dtype)], batch.column(1).to_numpy())
+            for i in np.flatnonzero(upto - place > 1):  # rows of a hot id are spread by a hash, in its order
+                digest = xxhash.xxh64_intdigest(pairs[i][0] + pairs[i][1])
+                tie[i], place[i] = digest - (1 << 63), place[i] + (digest * int(upto[i] - place[i]) >> 64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(place, pa.int32()), batch.column(0), batch.column(1), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
-                ["place", "id", "n", "control", "data"],
+                [pa.array(place, pa.int32()), batch.column(0), pa.array(tie), batch.column(1), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
+                ["place", "id", "tie", "n", "control", "data"],
             )
 
     def write(batches):
@@ -375,12 +393,13 @@ def write_tokens(
                 [{"file_no": number, "path": path, "n_docs": docs_total, "n_ids": ids_total, "n_bytes": bytes_total}]
             )
 
-    order = ["id", "n", "control", "data"]
-    coded = tokens.where("counts is null").select("id", "n", "ids").mapInArrow(code, "place int, id bigint, n bigint, control binary, data binary")
+    order = ["id", "tie", "n", "control", "data"]
+    coded = tokens.where("counts is null").select("id", "n", "ids").mapInArrow(code, "place int, id bigint, tie bigint, n bigint, control binary, data binary")
     files = (
         coded.repartitionById(ranges, F.col("place"))
         .select(*order)
         .sortWithinPartitions(*order)
+        .select("id", "n", "control", "data")
         .mapInArrow(write, "file_no bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint")
     )
     files = materialise(files, "tokens-files")
