@@ -344,6 +344,11 @@ def test_library_stands_without_the_text_operators(tmp_path):
     shutil.copytree(os.path.join(here, "sparkloom"), tmp_path / "sparkloom", ignore=lambda d, names: [n for n in names if n == "llm"])
     code = "import __spark_entry__ as e; q = e.queries(); assert 'user_stats' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    # As a removal leaves it: a folder with a cache, and the pipeline's file.
+    (tmp_path / "sparkloom" / "llm" / "__pycache__").mkdir(parents=True)
+    if os.path.exists(os.path.join(here, "corpus_pipeline.py")):
+        shutil.copy(os.path.join(here, "corpus_pipeline.py"), tmp_path)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
 def test_helper_columns_give_way(spark, sf):
