@@ -13,16 +13,17 @@ place; occurrences of others that a bitmap does not rule out are summed for each
 key and joined with the sharded table, and the joined terms are summed by row. Costs are integers
 (millionths of a nat), so sums do not depend on their order.
 
-A document's score is its mean negative log-likelihood for each character, in thousandths of a
-nat, drawn towards the mean of trusted text by `prior` characters, so that short texts do not
-stray by chance. It is rejected when its score is above its language's threshold: the `quantile`
-of the scores of the language's trusted documents, each under a model of the half of the trusted
-texts that it is not in (equal texts share a half). Quantiles are exact: they are read off a
-histogram of thousandths. Counts are kept for both halves, so three models come from one count.
-
-Defined results: a null or empty text has the trusted mean as its score and stays; a null
-language is one of its own, named ''; languages without trusted text take the threshold of all
-trusted documents; without any trusted text everything stays and scores are null; repeated rows
+The mean cost of a character strays the less the longer a text is, so a document's score is its
+negative log-likelihood beyond that of as much trusted text of its language, for each square root
+of its length (with `prior` characters more), in hundredths of a nat. It is rejected when its score
+is above its language's threshold: the `quantile` of the scores of the language's trusted
+documents, or 0 if that is greater. Trusted documents are held against a model of the half of the
+trusted texts that they are not in (equal texts share a half). Quantiles are exact: they are read
+off a histogram of hundredths. Counts are kept for both halves, so three models come from one count.
+
+Defined results: a null or empty text has a score of 0 and stays; a null
+language is one of its own, named ''; languages without trusted text take the mean and the threshold
+of all trusted documents; without any trusted text everything stays and scores are null; repeated rows
 count as often as they occur; labels with null ids match nothing; U+0000 counts as U+0001, the
 mark in front of texts. Only the id, text and language columns are read, and columns of any name
 come back unchanged.
@@ -409,9 +410,10 @@ def scores(docs: DataFrame, terms: DataFrame, parts, marks, place_size: int, kin
     return sums.select("doc.*", "n", (F.col("cost") + F.col("more")).alias("cost"), (F.col("held") + F.col("more_held")).alias("held"))
 
 
-def _score(cost: str, mean: int, prior: int):
-    """Thousandths of a nat for each character, rounded down, in whole numbers."""
-    return F.expr(f"cast(({cost} + {prior * mean}L) div (1000L * (n + {prior}L)) as int)")
+def _score(cost: str, mean: str, prior: int):
+    """Hundredths of a nat beyond the mean for each square root of the length, rounded down."""
+    beyond = (F.col(cost) - F.col("n") * F.col(mean)).cast("double")
+    return F.floor(beyond / (F.sqrt(F.col("n") + F.lit(prior)) * F.lit(_MICRO / 100.0))).cast("int")
 
 
 def verdicts(
@@ -439,26 +441,30 @@ def verdicts(
 
     good = scored.where("n > 0 and held is not null").withColumn("own", F.col("id").cast(kind)).join(trusted.withColumnRenamed("id", "own"), "own", "left_semi")
     good = keep(good.select("lang", "n", "held"), "good")
-    total = good.agg(F.sum("held"), F.sum("n")).first()
-    mean = total[0] // total[1]
-    histogram = keep(good.groupBy("lang", _score("held", mean, prior).alias("score")).agg(F.count(F.lit(1)).alias("rows")), "histogram")
+    # A row for each language: the mean cost of a character, in whole millionths.
+    means = keep(good.groupBy("lang").agg(F.sum("held").alias("held"), F.sum("n").alias("n")), "means")
+    total = means.agg(F.sum("held"), F.sum("n")).first()
+    means = means.select("lang", F.expr("held div n").alias("mean"))
+    scores_of = good.join(means, "lang").select("lang", _score("held", "mean", prior).alias("score"))
+    histogram = keep(scores_of.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("rows")), "histogram")
 
     def limits(table: DataFrame) -> DataFrame:
-        # A row for each language and thousandth: the width is bounded, whatever the documents.
+        # A row for each language and hundredth: the width is bounded, whatever the documents.
         upto, whole = W.partitionBy("lang").orderBy("score"), W.partitionBy("lang")
         ranked = table.withColumn("upto", F.sum("rows").over(upto)).withColumn("all", F.sum("rows").over(whole))
-        return ranked.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang").agg(F.min("score").alias("threshold"))
+        return ranked.where(F.col("upto") >= F.ceil(F.col("all") * quantile)).groupBy("lang").agg(F.greatest(F.min("score"), F.lit(0)).alias("threshold"))
 
     merged = histogram.groupBy("score").agg(F.sum("rows").alias("rows")).select(F.lit("").alias("lang"), "score", "rows")
     default = limits(merged).first()["threshold"]
-    by_lang = materialise(limits(histogram), "quality-limits")
+    by_lang = materialise(limits(histogram).join(means, "lang"), "quality-limits")
     keep.close()
-    limited = scored.join(by_lang, "lang", "left").withColumn("score", _score("cost", mean, prior)).withColumn("threshold", F.coalesce("threshold", F.lit(default)))
+    mean, threshold = F.coalesce("mean", F.lit(total[0] // total[1])), F.coalesce("threshold", F.lit(default))
+    limited = scored.join(by_lang, "lang", "left").withColumns({"mean": mean, "threshold": threshold}).withColumn("score", _score("cost", "mean", prior))
     return limited.select("id", "lang", "digest", "n", "cost", "score", "threshold", (F.col("score") <= F.col("threshold")).alias("keep"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """(id, lang, n_chars, perplexity, score, threshold, keep) of each row; score and threshold in thousandths of a nat."""
+    """(id, lang, n_chars, perplexity, score, threshold, keep) of each row; score and threshold in hundredths of a nat."""
     found = verdicts(docs, trusted_ids, id_col, text_col, lang_col, **options)
     if found is None:
         return docs.select(

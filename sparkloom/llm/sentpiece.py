@@ -39,7 +39,9 @@ import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from sparkloom.functions.text import free_name
 from sparkloom.llm.common import sliced
 
 _MARK = "▁"
@@ -399,30 +401,40 @@ def decode_documents(coded: DataFrame, model_file: str) -> DataFrame:
     return coded.mapInArrow(run, f"id {coded.schema['id'].dataType.simpleString()}, text string")
 
 
-def roundtrip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_pieces, pieces_crc32, decoded_equal) of each row, both directions in one pass.
+def with_pieces(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
+    """docs with pieces, n_pieces, pieces_crc32 and decoded_equal of each row, both directions in one pass.
 
-    pieces_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
+    pieces_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers. A column of
+    docs that has one of these names keeps it, and the new one gets underscores in front.
     """
     import pyarrow as pa
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    types = {"pieces": "array<int>", "n_pieces": "bigint", "pieces_crc32": "bigint", "decoded_equal": "boolean"}
+    names = [free_name(docs.columns, n) for n in types]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    given = docs.select(row, F.col(text_col).alias("text"))
 
     def run(batches):
         import numpy as np
 
         machine = transducer(model_file)
         for batch in sliced(batches):
-            sizes, sums, equal = [], [], []
+            pieces, sums, equal = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = machine.encode(text)
-                sizes.append(len(ids))
-                sums.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
-                equal.append(machine.decode(ids) == (text or ""))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(equal, pa.bool_())],
-                ["id", "n_pieces", "pieces_crc32", "decoded_equal"],
-            )
-
-    id_type = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {id_type}, n_pieces bigint, pieces_crc32 bigint, decoded_equal boolean")
+                ids = np.array(machine.encode(text), dtype="<i4")
+                pieces.append(ids)
+                sums.append(zlib.crc32(ids.tobytes()))
+                equal.append(machine.decode(ids.tolist()) == (text or ""))
+            sizes = [len(p) for p in pieces]
+            columns = [pa.array(pieces, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(equal, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", *types])
+
+    added = StructType.fromDDL(", ".join(f"{n} {t}" for n, t in types.items()))
+    done = given.mapInArrow(run, StructType([given.schema["row"], *added]))
+    return done.select("row.*", *[F.col(n).alias(own) for n, own in zip(types, names)])
+
+
+def roundtrip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_pieces, pieces_crc32, decoded_equal) of each row."""
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return with_pieces(picked, model_file).select("id", "n_pieces", "pieces_crc32", "decoded_equal")

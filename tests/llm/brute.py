@@ -190,16 +190,16 @@ def quality(rows, trusted, order, quantile, prior):
     whole = KneserNey(texts, order)
     parts = [KneserNey([t for t in texts if half(t) == h], order) for h in (0, 1)]
     held = [(lang or "", len(t), parts[1 - half(t)].cost(t)) for i, t, lang in rows if i in trusted and t]
-    mean = sum(c for *_, c in held) / sum(n for _, n, _ in held)
-    score = lambda n, c: math.floor(1000 * (c + prior * mean) / (n + prior))
-    limit = lambda found: sorted(found)[math.ceil(len(found) * quantile) - 1]
+    of = lambda rows: sum(c for *_, c in rows) / sum(n for _, n, _ in rows)
+    means = {lang: of([h for h in held if h[0] == lang]) for lang in {h[0] for h in held}}
+    score = lambda n, c, lang: math.floor(100 * (c - n * means.get(lang, of(held))) / math.sqrt(n + prior))
+    limit = lambda found: max(0, sorted(found)[math.ceil(len(found) * quantile) - 1])
     by_lang = defaultdict(list)
     for lang, n, c in held:
-        by_lang[lang].append(score(n, c))
+        by_lang[lang].append(score(n, c, lang))
     default = limit([x for found in by_lang.values() for x in found])
     out = {}
     for i, t, lang in rows:
-        n, c = len(t or ""), whole.cost(t or "")
-        threshold = limit(by_lang[lang or ""]) if (lang or "") in by_lang else default
-        out[i] = (n, math.exp(c / max(n, 1)), score(n, c), threshold)
+        n, c, lang = len(t or ""), whole.cost(t or ""), lang or ""
+        out[i] = (n, math.exp(c / max(n, 1)), score(n, c, lang), limit(by_lang[lang]) if lang in by_lang else default)
     return out

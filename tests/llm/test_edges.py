@@ -125,6 +125,61 @@ def test_similar_texts_leave_one(spark):
     assert kept == set(roots.values()) and len(kept) >= 80
 
 
+def _groups(texts):
+    """{number: component} by the exact similarity of all pairs of texts."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return brute.components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+def test_any_kind_of_edit_is_found(spark):
+    """Copies that are cut, extended, moved or edited, at all similarities around the bound: every link counts."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    shared = rng.choices(words, k=40)  # a passage that many texts hold
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(30, 200))
+        if rng.random() < 0.5:
+            base[5:5] = shared
+        n = len(base)
+        texts += [base, base[: int(n * rng.uniform(0.7, 1))], base[int(n * rng.uniform(0, 0.3)) :], base + rng.choices(words, k=int(n * rng.uniform(0, 0.4)))]
+        texts += [rng.choices(words, k=int(n * rng.uniform(0, 0.4))) + base, base[n // 2 :] + base[: n // 2]]
+        for share in (0.01, 0.02, 0.03, 0.04, 0.05):
+            other = list(base)
+            for at in rng.sample(range(n), max(1, int(n * share))):
+                other[at] = rng.choice(words)
+            texts.append(other)
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    expected = _groups(texts)
+    for bits in (64, 6):  # with few bits most numbers of texts clash
+        found = {r["id"]: r["component_id"] for r in similar.similar_groups(df, node_bits=bits).collect()}
+        assert found == expected
+
+
+def test_crowd_whose_members_are_not_alike(spark):
+    """A text with many copies at all distances: those that only another copy is similar to belong to the group."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(150)]
+    rows = [base] * 30
+    for k in range(350):
+        other = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 9)):
+            other[at] = f"x{k}-{at}"
+        rows.append(other)
+        if k % 7 == 0:  # a copy of a copy, further away
+            further = list(other)
+            for at in rng.sample(range(150), 2):
+                further[at] = f"y{k}-{at}"
+            rows.append(further)
+    texts = [" ".join(t) for t in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r["id"]: r["component_id"] for r in similar.similar_groups(df).collect()} == _groups(texts)
+
+
 def test_keep_one_keeps_null_and_repeated_ids(spark):
     texts = [f"{w} stands alone among all the others here with {w} and {w}s" for w in ("apple", "bridge", "candle", "dragon")]
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[2]), (None, texts[3])]
