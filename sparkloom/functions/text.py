@@ -55,6 +55,19 @@ def has(text: Column, part: str) -> Column:
     return flag(text.contains(part))
 
 
+def has_keyword(text: Column, keyword: str, case_sensitive: bool = False) -> Column:
+    """Whether a text holds a keyword; never for a null text or an empty keyword."""
+    if not keyword:
+        return F.lit(False)
+    found = text.contains(keyword) if case_sensitive else F.upper(text).contains(keyword.upper())
+    return F.coalesce(found, F.lit(False))
+
+
+def count_pattern(text: Column, pattern: str) -> Column:
+    """Matches of a pattern, in either case; 0 for a null text or an empty pattern."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"(?i){pattern}")), F.lit(0)) if pattern else F.lit(0)
+
+
 def at_most_one(value: Column, scale: float) -> Column:
     """value / scale, cut at 1."""
     return F.least(value / F.lit(float(scale)), F.lit(1.0))

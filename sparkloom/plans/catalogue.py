@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import features as feats
-from sparkloom.functions import text
+from sparkloom.functions import structure, text
 from sparkloom.functions.registry import FeatureSpec, base_names
 from sparkloom.functions.text import normalise_sql, stable_bucket
 from sparkloom.operators import analysis, etl, evaluation, parity, sampling, statistics, tfidf, training
@@ -313,6 +313,21 @@ def pruned_features(spark, sf_dir):
     return df.select("queryId", F.col("features")[0].alias("query_length"), F.col("features")[1].alias("join_count"))
 
 
+@register(O.structure_sql())
+def structure_metrics(spark, sf_dir):
+    """What gives each statement its structure; depth is checked with the features."""
+    cells = structure.structure_metrics(F.col("query"))
+    return log(spark, sf_dir).select("queryId", *[c.alias(n) for n, c in cells.items() if n != "depth"])
+
+
+@register(O.query("SELECT queryId, contains(upper(query), 'JOIN') AS joins, contains(query, 'select') AS lower_select, CAST(len(regexp_extract_all(query, 'l_[a-z]+', 0, 'i')) AS INTEGER) AS line_columns FROM query_log"))
+def text_search(spark, sf_dir):
+    """A keyword in either case, one as it stands, and matches of a pattern."""
+    q = F.col("query")
+    cells = text.has_keyword(q, "join").alias("joins"), text.has_keyword(q, "select", True).alias("lower_select"), text.count_pattern(q, "l_[a-z]+").alias("line_columns")
+    return log(spark, sf_dir).select("queryId", *cells)
+
+
 # --- analysis
 
 

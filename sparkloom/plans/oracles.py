@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparkloom.functions.registry import GROUP_NAMES
+from sparkloom.functions.structure import NOISE, PATTERNS
 from sparkloom.functions.text import LITERALS
 from sparkloom.operators.analysis import RESOURCE_ERRORS
 from sparkloom.operators.tfidf import SQL_KEYWORDS
@@ -176,6 +177,19 @@ def _feature_sql() -> dict[str, str]:
     return out
 
 
+def structure_sql() -> str:
+    text = "coalesce(query, '')"
+    for pattern, instead in NOISE:
+        text = f"regexp_replace({text}, {quoted(pattern.removeprefix('(?s)'))}, {quoted(instead)}, '{'gs' if pattern.startswith('(?s)') else 'g'}')"
+    n = {name: f"len(regexp_extract_all(u, {quoted(pattern)}))" for name, pattern in PATTERNS.items()}
+    cells = n | {
+        "subquery_count": f"greatest({n['subquery_count']} - {n['cte_count']}, 0)", "union_count": f"{n['union_count']} - {n['union_all_count']}",
+        "max_branches": "coalesce(list_max(list_transform(string_split_regex(u, '\\bCASE\\b')[2:], lambda z: len(regexp_extract_all(z, '\\bWHEN\\b')))), 0)",
+        "breadth": "len(regexp_extract_all(u, ',')) + 1",
+    }
+    return query("SELECT queryId, " + ", ".join(f"CAST({v} AS INTEGER) AS {k}" for k, v in cells.items()) + f" FROM (SELECT queryId, upper({text}) AS u FROM query_log)")
+
+
 FEATURES = _feature_sql()
 _WHERE = strip("regexp_extract(query, 'WHERE\\s+(.*?)(?:GROUP BY|ORDER BY|LIMIT|HAVING|UNION|EXCEPT|INTERSECT|$)', 1, 'is')")
 STAGED = f"staged AS (SELECT *, query AS q, upper(query) AS u, {_WHERE} AS w FROM query_log)"

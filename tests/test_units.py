@@ -409,6 +409,24 @@ def test_statistics_come_back_for_scoring(spark, sf):
     assert first == second
 
 
+def test_structure_of_statements(spark):
+    from sparkloom.functions.structure import structure_metrics
+
+    query = """WITH RECURSIVE a AS (SELECT DISTINCT x FROM t), b AS (SELECT 1) -- a UNION in a comment
+      SELECT CASE WHEN x = 'CASE WHEN' THEN 1 WHEN x = 2 THEN 2 ELSE 3 END, sum(y) OVER (PARTITION BY x), COALESCE(NULLIF(x, 1), 2)
+      FROM (SELECT * FROM a) /* HAVING
+      HAVING */ LATERAL VIEW explode(z) GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT CASE WHEN 1 THEN 2 END UNION SELECT 3"""
+    df = spark.createDataFrame([(query,), (None,), ("",)], "query string")
+    first, null, empty = df.select(*[c.alias(n) for n, c in structure_metrics(F.col("query")).items()]).collect()
+    got = first.asDict()
+    assert (got["with_count"], got["cte_count"], got["subquery_count"], got["case_when_count"], got["max_branches"]) == (1, 2, 1, 2, 2)
+    assert (got["union_count"], got["union_all_count"], got["having_count"], got["lateral_view_count"], got["window_func_count"]) == (1, 1, 1, 1, 1)
+    assert (got["coalesce_null_if_count"], got["distinct_count"], got["depth"]) == (2, 1, 2) and got["node_count"] > 60
+    assert null == empty and null["node_count"] == 0 and null["breadth"] == 1
+    rows = df.select(T.has_keyword(F.col("query"), "lateral"), T.has_keyword(F.col("query"), "lateral", True), T.count_pattern(F.col("query"), "select")).collect()
+    assert tuple(rows[0]) == (True, False, 6) and tuple(rows[1]) == (False, False, 0)
+
+
 def test_comparison_report(spark):
     before = spark.createDataFrame([(1,)] * 10 + [(0,)] * 90, "is_heavy int")
     text = analysis.comparison_report(before, before.where("is_heavy = 0"), "drop")
