@@ -9,13 +9,20 @@ Candidates come in two steps, and shingles decide on all of them.
 1. Stars. Fingerprints of the shingle sets meet by pigeonhole blocks and Hamming distance, as in
    `simhash`; besides, texts meet by the shingles of their prefixes (below). In either way a text
    is only compared with the one pivot that it shares most keys with. That collapses crowds.
-2. The rest. Shingles have one order: by the number of texts they occur in, rarest first. Two
-   similar texts share a shingle among the first `size - ceil(similarity * size) + 1` of each, so
-   texts that share a prefix shingle are candidates and no link is lost, whatever the kind of
-   edit. Shingles of one text alone never meet anything and are dropped where they are counted,
-   so most texts have no prefix left. Pairs that stars have joined already are not made; of the
-   others, places in the prefixes bound what two texts can share, and parities of 1,024 bins of
-   their shingles bound from below how much they differ. Both bounds are sound.
+2. The rest. Shingles have one order, and two similar texts share a shingle among the first
+   `size - ceil(similarity * size) + 1` of each, whatever the order; so texts that share a prefix
+   shingle are candidates and no link is lost, whatever the kind of edit. The order puts rare ones
+   first, as they bring together little else. Any order that is the same for all texts will do, so
+   not all shingles need to be counted: first come those with a low hash (a share of `_LOW`) that
+   few texts hold, by their number of texts; then those with a high hash; last the frequent ones
+   with a low hash. A prefix is a fifth of a text, so most texts never get beyond the first class,
+   and the high hashes are counted over those texts alone that do (crowds, and short texts by
+   chance). Shingles of one text alone never meet anything and are dropped where they are counted,
+   so most texts have no prefix left.
+
+   Pairs that stars have joined already are not made; of the others, places in the prefixes bound
+   what two texts can share, and parities of 1,024 bins of their shingles bound from below how much
+   they differ. Both bounds are sound.
 
 So a crowd of near copies meets its pivot, not itself. What is left is those members below the
 similarity with the pivot that the bounds allow to be similar to another member.
@@ -39,6 +46,9 @@ from sparkloom.llm.simhash import block_masks, connected
 
 #: Shingles that one range of the join holds in memory, and bins of the parities.
 _RANGE, _BINS = 2_000_000, 1024
+#: The share of hashes that are low, and how many texts hold a rare one at most.
+_LOW, _RARE = 0.35, 16
+_LOW_END = int(_LOW * (1 << 64))
 _PACKED, _PACKED_TEXTS = 2_000_000, 60_000
 _MOST_TASKS = 10_000
 _MOST_CLASHES = 1_000_000
@@ -93,8 +103,8 @@ def _node_of(digest: bytes, clashing, bits: int) -> int:
 
 
 def texts_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int = 64) -> DataFrame:
-    """(id, words, node, size, fp) of each row: the digest of its words, its number, the number of its
-    shingles and their fingerprint."""
+    """(id, words, node, size, low, fp) of each row: the digest of its words, its number, the number of its
+    shingles and of those with a low hash, and their fingerprint."""
     import pyarrow as pa
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -104,19 +114,27 @@ def texts_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits:
 
         cut = Shingler(shingle)
         for batch in sliced(batches):
-            keys, sizes, prints = [], [], []
+            keys, sizes, lows, prints = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = cut.words(text)
                 found = cut(words)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sizes.append(len(found))
+                lows.append(_lows(found))
                 prints.append(set_fingerprint(found))
             nodes = [_node_of(k, (), bits) for k in keys]
-            columns = [batch.column(0), pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in (nodes, sizes, prints))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "words", "node", "size", "fp"])
+            columns = [batch.column(0), pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in (nodes, sizes, lows, prints))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "words", "node", "size", "low", "fp"])
 
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, words binary, node bigint, size bigint, fp bigint")
+    return picked.mapInArrow(run, f"id {kind}, words binary, node bigint, size bigint, low bigint, fp bigint")
+
+
+def _lows(shingles) -> int:
+    """How many of sorted hashes are low."""
+    import numpy as np
+
+    return int(np.searchsorted(shingles, np.uint64(_LOW_END)))
 
 
 def _half(words: str) -> Column:
@@ -124,108 +142,174 @@ def _half(words: str) -> Column:
     return F.conv(F.hex(F.substring(words, 9, 8)), 16, -10).cast("bigint")
 
 
-def shared_shingles(docs: DataFrame, text_col: str, shingle: int, total: int, clashing: frozenset, bits: int) -> DataFrame:
-    """(node, size, token, df): the shingles of each text that occur in several texts, df being in how many.
+class Texts:
+    """The texts of a frame by number: each one's words are known by their digest."""
 
-    Each task packs its shingles by range; ranges are sorted within their tasks, and one range at a
-    time is counted. Copies of a text fall together by its number.
-    """
-    import pyarrow as pa
+    def __init__(self, docs: DataFrame, text_col: str, shingle: int, clashing: frozenset, bits: int):
+        self.spark = docs.sparkSession
+        self._texts = docs.select(F.col(text_col).cast("binary").alias("text"))
+        self._shingle, self._clashing, self._bits = shingle, clashing, bits
 
-    ranges = max(1, -(-total // _RANGE))
-    tasks = min(ranges, _MOST_TASKS)
-    names = ["range", "nodes", "sizes", "places", "tokens"]
+    def marks(self, nodes: DataFrame):
+        """A bitmap of nodes (node): (broadcast, size)."""
+        size = bits_for(nodes.count())
+        place = F.col("node").bitwiseAND((1 << size) - 1) + 1
+        return self.spark.sparkContext.broadcast(bitmap(nodes.select(place.alias("bit")), size)), size
 
-    def pack(batches):
-        import numpy as np
-        import xxhash
+    def map(self, work, schema: str, marks=None) -> DataFrame:
+        """work, over an iterator of (node, function that gives the shingles) of the texts, those alone that marks may mean."""
+        shingle, clashing, bits = self._shingle, self._clashing, self._bits
+
+        def run(batches):
+            import numpy as np
+            import xxhash
 
-        cut, held, waiting, seen = Shingler(shingle), 0, [], set()
-
-        def flush():
-            sizes = np.array([len(x) for _, x in waiting])
-            nodes = np.array([n for n, _ in waiting], np.int64)
-            tokens = np.concatenate([x for _, x in waiting])
-            owner = np.repeat(np.arange(len(waiting)), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            at = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            rows = []
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
-                own, places = np.unique(owner[lo:hi], return_inverse=True)
-                rows.append((int(at[lo]), nodes[own].tobytes(), sizes[own].astype("<u4").tobytes(), places.astype("<u2").tobytes(), tokens[lo:hi].tobytes()))
-            for lo in range(0, len(rows), 256):
-                columns = list(zip(*rows[lo : lo + 256]))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
+            cut = Shingler(shingle)
+            seen, size = (np.frombuffer(marks[0].value, np.uint8), marks[1]) if marks else (None, 0)
 
-        for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                words = cut.words(text)
-                node = _node_of(xxhash.xxh3_128_digest(b" ".join(words)), clashing, bits)
+            def each():
+                for batch in sliced(batches):
+                    for text in batch.column(0).to_pylist():
+                        words = cut.words(text)
+                        node = _node_of(xxhash.xxh3_128_digest(b" ".join(words)), clashing, bits)
+                        place = node & ((1 << size) - 1)
+                        if seen is None or seen[place >> 3] >> (place & 7) & 1:
+                            yield node, lambda words=words: cut(words)
+
+            return work(each())
+
+        return self._texts.mapInArrow(run, schema)
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, size, tokens, bits) of the wanted nodes: their shingles, and parities of how many fall in each bin."""
+        import pyarrow as pa
+
+        def work(each):
+            import numpy as np
+
+            held: list = []
+
+            def flush():
+                nodes, tokens, bits = zip(*held)
+                columns = [pa.array(nodes, pa.int64()), pa.array([len(t) for t in tokens], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (tokens, bits))]
+                return pa.RecordBatch.from_arrays(columns, ["node", "size", "tokens", "bits"])
+
+            for node, shingles in each:
+                tokens = shingles()
+                bins = np.bincount((tokens & np.uint64(_BINS - 1)).astype(np.int64), minlength=_BINS)
+                held.append((node, tokens.view(np.int64), np.packbits((bins & 1).astype(np.uint8)).view("<i8")))
+                if len(held) == 200:
+                    yield flush()
+                    held.clear()
+            if held:
+                yield flush()
+
+        found = self.map(work, "node bigint, size bigint, tokens array<bigint>, bits array<bigint>", self.marks(wanted))
+        return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    def shared(self, low: bool, total: int, marks=None) -> DataFrame:
+        """(node, token, df): the low or the high shingles that several of the texts hold, df being how many.
+
+        Each task packs its shingles by range; ranges are sorted within their tasks, and one range at a
+        time is counted. Copies of a text fall together by its number.
+        """
+        import pyarrow as pa
+
+        ranges = max(1, -(-total // _RANGE))
+        tasks = min(ranges, _MOST_TASKS)
+        names = ["range", "nodes", "places", "tokens"]
+
+        def pack(each):
+            import numpy as np
+
+            held, waiting, seen = 0, [], set()
+            start, width = (0, _LOW_END) if low else (_LOW_END, (1 << 64) - _LOW_END)
+
+            def flush():
+                nodes = np.array([n for n, _ in waiting], np.int64)
+                tokens = np.concatenate([x for _, x in waiting])
+                owner = np.repeat(np.arange(len(waiting)), [len(x) for _, x in waiting])
+                order = np.argsort(tokens, kind="stable")
+                tokens, owner = tokens[order], owner[order]
+                at = np.minimum((tokens - np.uint64(start)) // np.uint64(width // ranges + 1), np.uint64(ranges - 1))
+                starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+                rows = []
+                for lo, hi in zip(starts, [*starts[1:], len(at)]):
+                    own, places = np.unique(owner[lo:hi], return_inverse=True)
+                    rows.append((int(at[lo]), nodes[own].tobytes(), places.astype("<u2").tobytes(), tokens[lo:hi].tobytes()))
+                for lo in range(0, len(rows), 256):
+                    columns = list(zip(*rows[lo : lo + 256]))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
+
+            for node, shingles in each:
                 if node not in seen:
                     seen.add(node)
-                    waiting.append((node, cut(words)))
+                    tokens = shingles()
+                    cut = _lows(tokens)
+                    waiting.append((node, tokens[:cut] if low else tokens[cut:]))
                     held += len(waiting[-1][1])
                     if held >= _PACKED or len(waiting) >= _PACKED_TEXTS:
                         yield from flush()
                         held, waiting, seen = 0, [], set()
-        if waiting:
-            yield from flush()
-
-    def count(batches):
-        import numpy as np
-
-        out = ["node", "size", "token", "df"]
-
-        def flush(held):
-            rows = [(np.frombuffer(n, "<i8"), np.frombuffer(s, "<u4"), np.frombuffer(p, "<u2"), np.frombuffer(t, "<u8")) for n, s, p, t in held]
-            tokens = np.concatenate([r[3] for r in rows])
-            nodes = np.concatenate([r[0][r[2]] for r in rows])
-            sizes = np.concatenate([r[1][r[2]] for r in rows])
-            order = np.lexsort((nodes, tokens))
-            tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
-            once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])])
-            tokens, nodes, sizes = tokens[once], nodes[once], sizes[once]
-            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            df = np.diff(np.append(starts, len(tokens)))
-            df = np.repeat(df, df)
-            several = df > 1
-            tokens, nodes, sizes, df = tokens[several].view(np.int64), nodes[several], sizes[several].astype(np.int64), df[several]
-            for lo in range(0, len(tokens), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in (nodes, sizes, tokens, df)], out)
-
-        now, held = None, []
-        for batch in sliced(batches):
-            for at, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != now and held:
-                    yield from flush(held)
-                    held = []
-                now = at
-                held.append(row)
-        if held:
-            yield from flush(held)
-
-    packed = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(pack, "range int, nodes binary, sizes binary, places binary, tokens binary")
-    place = F.floor(F.col("range").cast("bigint") * tasks / ranges).cast("int")
-    return packed.repartitionById(tasks, place).sortWithinPartitions("range").mapInArrow(count, "node bigint, size bigint, token bigint, df bigint")
-
-
-def with_parities(sets: DataFrame) -> DataFrame:
-    """sets (node, size, tokens) with `bits`: the parities of the tokens in bins, as 64-bit words."""
-    import pyarrow as pa
-
-    def run(batches):
-        import numpy as np
+            if waiting:
+                yield from flush()
 
-        for batch in sliced(batches):
-            bits = []
-            for tokens in batch.column(2):
-                bins = np.bincount(tokens.values.to_numpy().view(np.uint64) & np.uint64(_BINS - 1), minlength=_BINS)
-                bits.append(np.packbits((bins & 1).astype(np.uint8)).view("<i8").tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.list_(pa.int64()))], ["node", "size", "tokens", "bits"])
+        def count(batches):
+            import numpy as np
 
-    return sets.select("node", "size", "tokens").mapInArrow(run, "node bigint, size bigint, tokens array<bigint>, bits array<bigint>")
+            def flush(held):
+                rows = [(np.frombuffer(n, "<i8"), np.frombuffer(p, "<u2"), np.frombuffer(t, "<u8")) for n, p, t in held]
+                tokens, nodes = np.concatenate([r[2] for r in rows]), np.concatenate([r[0][r[1]] for r in rows])
+                order = np.lexsort((nodes, tokens))
+                tokens, nodes = tokens[order], nodes[order]
+                once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])])
+                tokens, nodes = tokens[once], nodes[once]
+                starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+                df = np.diff(np.append(starts, len(tokens)))
+                df = np.repeat(df, df)
+                several = df > 1
+                tokens, nodes, df = tokens[several].view(np.int64), nodes[several], df[several]
+                for lo in range(0, len(tokens), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in (nodes, tokens, df)], ["node", "token", "df"])
+
+            now, held = None, []
+            for batch in sliced(batches):
+                for at, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if at != now and held:
+                        yield from flush(held)
+                        held = []
+                    now = at
+                    held.append(row)
+            if held:
+                yield from flush(held)
+
+        packed = self.map(pack, "range int, nodes binary, places binary, tokens binary", marks)
+        place = F.floor(F.col("range").cast("bigint") * tasks / ranges).cast("int")
+        return packed.repartitionById(tasks, place).sortWithinPartitions("range").mapInArrow(count, "node bigint, token bigint, df bigint")
+
+
+def prefixes(texts: Texts, classes: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
+    """(node, size, token, pos): the shared shingles of each text's prefix, with their place in its order."""
+    total = classes.agg(F.coalesce(F.sum("low"), F.lit(0))).first()[0]
+    of = lambda rows: rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    none = F.array().cast("array<bigint>")
+    chosen = lambda keeps: F.coalesce(F.filter("t", keeps)["token"], none)
+    low = classes.select("node", "size", "low").join(of(texts.shared(True, total)), "node", "left").select(
+        "node", "size", "low", (F.col("size") - F.ceil(F.col("size") * similarity - _EPS) + 1).cast("int").alias("prefix"),
+        chosen(lambda x: x["df"] <= _RARE).alias("rare"), chosen(lambda x: x["df"] > _RARE).alias("frequent"),
+    )
+    # Places: low ones of this text alone, rare ones, high ones of it alone, shared high ones, frequent ones.
+    alone, first = F.col("low") - F.size("rare") - F.size("frequent"), F.col("low") - F.size("frequent")
+    low = keep(low.where((alone < F.col("prefix")) | (first < F.col("prefix"))), "prefix-low")
+    beyond = low.where(first < F.col("prefix"))
+    more = beyond.agg(F.coalesce(F.sum(F.col("size") - F.col("low")), F.lit(0))).first()[0]
+    high = of(texts.shared(False, more, texts.marks(beyond.select("node")))).select("node", F.col("t")["token"].alias("high"))
+    every = low.join(high, "node", "left").withColumn("high", F.coalesce("high", none))
+    placed = lambda tokens, start: F.transform(tokens, lambda x, i: F.struct(x.alias("token"), (start + i).cast("bigint").alias("pos")))
+    after = F.col("size") - F.col("low")
+    order = F.concat(placed("rare", alone), placed("high", first + after - F.size("high")), placed("frequent", first + after))
+    kept = every.select("node", "size", F.explode(F.filter(order, lambda x: x["pos"] < F.col("prefix"))).alias("x"))
+    return keep(kept.select("node", "size", "x.token", "x.pos"), "prefixes")
 
 
 def _common_needed(similarity: float, both: Column) -> Column:
@@ -258,8 +342,7 @@ def block_stars(classes: DataFrame, max_bits: int, blocks: int, keep: Scratch) -
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v, ...) whose shingle sets are similar. Shingles of one text alone are in no set,
-    but in its size."""
+    """Those of the pairs (u, v, ...) whose shingle sets are similar; pairs without sets are not."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     met = pairs.join(side("u"), "u").join(side("v"), "v")
     common, both = F.size(F.array_intersect("tokens_u", "tokens_v")), F.col("size_u") + F.col("size_v")
@@ -268,27 +351,22 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def unlike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) without those that parities show to differ in too much."""
-    alone = F.col("size") - F.size("tokens")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), alone.alias(f"alone_{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
     met = pairs.join(side("u"), "u").join(side("v"), "v")
     differ = F.aggregate(F.zip_with("bits_u", "bits_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
     both = F.col("size_u") + F.col("size_v")
-    return met.where(F.col("alone_u") + F.col("alone_v") + differ <= both - 2 * _common_needed(similarity, both)).select("u", "v")
+    return met.where(differ <= both - 2 * _common_needed(similarity, both)).select("u", "v")
 
 
-def similar_links(docs: DataFrame, text_col: str, classes: DataFrame, keep: Scratch, shingle: int, similarity: float, max_bits: int, blocks: int, clashing: frozenset, bits: int) -> DataFrame:
+def similar_links(texts: Texts, classes: DataFrame, keep: Scratch, similarity: float, max_bits: int, blocks: int) -> DataFrame:
     """(u, v): links whose components are those of all links."""
-    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    prefix = F.col("size") - F.ceil(F.col("size") * similarity - _EPS) + 1
-    grouped = shared_shingles(docs, text_col, shingle, total, clashing, bits).groupBy("node").agg(F.first("size").alias("size"), F.collect_list(F.struct("df", "token")).alias("t"))
-    grouped = grouped.where(F.col("size") - F.size("t") < prefix).select("node", "size", F.array_sort("t")["token"].alias("tokens"))
-    sets = keep(with_parities(grouped), "sets")
-
-    alone = F.col("size") - F.size("tokens")
-    first = F.slice("tokens", F.lit(1), (prefix - alone).cast("int"))
-    members = sets.select("node", "size", alone.alias("alone"), F.posexplode(first).alias("place", "token")).select("node", "size", "token", (F.col("alone") + F.col("place")).alias("pos"))
+    members = prefixes(texts, classes, similarity, keep)
     central = F.min(F.struct((F.col("pos") / F.col("size")).alias("depth"), "node", "size", "pos"))
     buckets = keep(members.groupBy("token").agg(central.alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "pivot.node", "pivot.size", "pivot.pos"), "buckets")
+    members = keep(members.join(buckets.select("token"), "token", "left_semi"), "members")
+    # Only texts that share a prefix shingle can have links; their sets are made once.
+    sets = keep(texts.sets(keep(members.select("node").distinct(), "wanted")), "sets")
+    keep.drop("prefix-low", "prefixes")
     met = members.alias("m").join(buckets.alias("p"), "token").where((F.col("m.node") != F.col("p.node")) & _may_share(similarity, "m", "p"))
     tried = block_stars(classes, max_bits, blocks, keep).union(_best(met.select(F.col("m.node").alias("u"), F.col("p.node").alias("v")), 1))
     stars = keep(verified(keep(tried, "tried"), sets, similarity), "stars")
@@ -298,7 +376,7 @@ def similar_links(docs: DataFrame, text_col: str, classes: DataFrame, keep: Scra
     for _ in range(2):
         after = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
         label = keep(label.join(after, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
-    placed = members.join(buckets.select("token"), "token", "left_semi").join(label, "node", "left")
+    placed = members.join(label, "node", "left")
     placed = keep(placed.select("token", "node", "size", "pos", F.coalesce("label", "node").alias("label")), "placed")
     counted = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = counted.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
@@ -320,7 +398,7 @@ def similar_classes(
     node_bits: fewer bits serve to test clashing numbers.
     """
     rows = keep(texts_table(docs, id_col, text_col, shingle, node_bits), "texts")
-    classes = rows.groupBy("words").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("node", "size", "fp")])
+    classes = rows.groupBy("words").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("node", "size", "low", "fp")])
     classes = keep(classes, "classes")
     clashes = classes.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("node")
     clashing = frozenset(r[0] for r in clashes.limit(_MOST_CLASHES).collect())  # n * n / 2**65 of n texts are expected
@@ -329,7 +407,8 @@ def similar_classes(
         classes = keep(classes.withColumn("node", F.when(moved, _half("words")).otherwise(F.col("node"))), "classes-moved")
         if classes.groupBy("node").count().where("count > 1").limit(1).count():
             raise ValueError("texts cannot be told apart by either half of their digests")
-    links = keep(similar_links(docs, text_col, classes, keep, shingle, similarity, max_bits, blocks, clashing, node_bits), "links")
+    texts = Texts(docs, text_col, shingle, clashing, node_bits)
+    links = keep(similar_links(texts, classes, keep, similarity, max_bits, blocks), "links")
     roots = connected(links, keep)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     return rows, keep(classes.join(roots, "node", "left"), "grouped")
