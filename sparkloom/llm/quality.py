@@ -46,7 +46,8 @@ HEAD = 1 << 20
 #: Code points in all; the scale of costs; the models: of all trusted text and of either half.
 _POINTS, _MICRO, _MODELS = 0x110000, 1_000_000, (0, 1, 2)
 _MARK = 1
-_PIECE = 1 << 20
+#: Characters that are worked on at a time: when scoring, and when counting.
+_PIECE, _COUNTED = 1 << 19, 1 << 21
 #: Odd multipliers, one for each place of an n-gram.
 _PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -81,6 +82,17 @@ def batches_of(texts: list[str], order: int, most: int = _PIECE):
         yield joined()
 
 
+def sum_of(codes, order: int):
+    """The last of sums_of."""
+    import numpy as np
+
+    wide = codes.astype(np.uint64)
+    out = wide * np.uint64(_PLACES[0])
+    for k in range(1, order):
+        out[k:] += wide[:-k] * np.uint64(_PLACES[k])
+    return out
+
+
 def sums_of(codes, order: int) -> list:
     """For k from 0 to order: a number for the k code points up to each place (wrong where fewer stand in front)."""
     import numpy as np
@@ -149,8 +161,8 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         held: tuple[list, list] = ([], [])
 
         def flush(half):
-            for codes, places, _ in batches_of(held[half], order, 4 * _PIECE):
-                keys = sums_of(codes, order)[order][places]
+            for codes, places, _ in batches_of(held[half], order, _COUNTED):
+                keys = sum_of(codes, order)[places]
                 _, first, n = np.unique(keys, return_index=True, return_counts=True)
                 windows = np.ascontiguousarray(codes[places[first][:, None] + np.arange(1 - order, 1)], "<u4")
                 grams = windows.view(f"<U{order}").ravel()
@@ -168,7 +180,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 half = half_of(text)
                 held[half].append(text)
                 chars[half] += len(text)
-                if chars[half] >= 4 * _PIECE:
+                if chars[half] >= _COUNTED:
                     yield from flush(half)
                     chars[half] = 0
         for half in (0, 1):
@@ -199,7 +211,7 @@ def _keyed(table: DataFrame, k: int, context: bool) -> DataFrame:
 
         for batch in batches:
             codes = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
-            sums = sums_of(codes, size)[size][size - 1 :: size]
+            sums = sum_of(codes, size)[size - 1 :: size]
             yield pa.RecordBatch.from_arrays([pa.array(mixed(sums, k, context).view(np.int64)), *batch.columns[1:]], ["key", "n", *rest])
 
     return table.toDF("gram", "n", *rest).mapInArrow(run, "key bigint, n bigint, " + ", ".join(f"{c} int" for c in rest))

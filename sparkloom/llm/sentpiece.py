@@ -418,7 +418,7 @@ def with_pieces(docs: DataFrame, model_file: str, text_col: str = "text") -> Dat
         import numpy as np
 
         machine = transducer(model_file)
-        for batch in sliced(batches):
+        for batch in sliced(batches, 200):
             pieces, sums, equal = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.array(machine.encode(text), dtype="<i4")
