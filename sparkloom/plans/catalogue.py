@@ -473,15 +473,19 @@ def concatenated_vectors(spark, sf_dir):
     return rounded(done.select("queryId", *[F.col("features")[i].alias(n) for i, n in enumerate(pipeline.feature_names())]))
 
 
-@register(O.query("SELECT split, queryId, is_heavy FROM (SELECT CASE WHEN createTime < TIMESTAMP '2024-01-16' THEN 'train' ELSE 'test' END AS split, queryId, is_heavy FROM labelled)"))
+_SPLIT = "CASE WHEN CAST(createTime AS DATE) >= DATE '2024-01-23' THEN 'test' WHEN CAST(createTime AS DATE) >= DATE '2024-01-16' THEN 'val' ELSE 'train' END"
+
+
+@register(O.query(f"SELECT {_SPLIT} AS split, queryId, query, hour, round(cpu_time_seconds, 6) AS cpu_time_seconds, is_heavy, CAST(16 AS INTEGER) AS n_columns FROM labelled WHERE CAST(createTime AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'"))
 def split_roundtrip(spark, sf_dir):
-    """Splits that are written to folders of their own and read back."""
-    df, base = labelled(spark, sf_dir).select("queryId", "createTime", "is_heavy"), scratch(spark, "splits")
-    first = F.col("createTime") < F.lit("2024-01-16").cast("timestamp")
-    for name, rows in (("train", df.where(first)), ("test", df.where(~first))):
-        query_log.write_plain(rows, f"{base}/{name}")
-    found = query_log.read_splits(spark, base, ("train", "test"))
-    return found["train"].withColumn("split", F.lit("train")).union(found["test"].withColumn("split", F.lit("test"))).select("split", "queryId", "is_heavy")
+    """The three splits, written with their columns to folders of their own and read back."""
+    base = scratch(spark, "splits")
+    query_log.write_splits(etl.time_splits(etl.with_date_parts(labelled(spark, sf_dir)), "2024-01-01", "2024-01-30"), base)
+    found = None
+    for name, df in query_log.read_splits(spark, base).items():
+        rows = df.select(F.lit(name).alias("split"), "queryId", "query", "hour", "cpu_time_seconds", "is_heavy", F.lit(len(df.columns)).alias("n_columns"))
+        found = rows if found is None else found.union(rows)
+    return rounded(found)
 
 
 @register(O.query("SELECT count(*) AS rows, count(*) FILTER (is_heavy = 1) AS heavy FROM labelled"))

@@ -31,6 +31,13 @@ REQUIRED = (
     "errorName", "queryType", "createTime", "endTime", "clientInfo",
 )
 
+# The columns of written splits: of labelled rows, and of rows with features (fixed values).
+SPLIT_COLUMNS = [
+    "queryId", "query", "createTime", "endTime", "user", "catalog", "schema", "clientInfo", "queryDate", "hour", "cpuTime",
+    "peakUserMemoryBytes", "totalBytes", "queryType", "errorName", "sessionproperties", "cpu_time_seconds", "memory_gb", "is_heavy",
+]
+FEATURE_COLUMNS = ["queryId", "query", "user", "catalog", "schema", "queryDate", "hour", "is_heavy", "cpu_time_seconds", "memory_gb", "features"]
+
 #: A query log out of the `events` table, in SQL that Spark and DuckDB both take.
 DERIVE_SQL = """
 SELECT CAST(event_id AS STRING) AS queryId,
@@ -97,6 +104,13 @@ def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> Data
     return df
 
 
+def write_splits(splits: dict[str, DataFrame], base: str, columns: list[str] = SPLIT_COLUMNS, by: tuple[str, ...] = ("is_heavy",)) -> None:
+    """Each split in a folder of its own, with the given columns in their order; those that a log lacks are left out."""
+    for name, df in splits.items():
+        kept = df.select(*[c for c in columns if c in df.columns])
+        write_partitioned(kept, f"{base}/{name}", by) if by else write_plain(kept, f"{base}/{name}")
+
+
 def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("is_heavy",)) -> None:
     """Parquet in one folder for each value of `by`."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)

@@ -427,6 +427,14 @@ def test_structure_of_statements(spark):
     assert tuple(rows[0]) == (True, False, 6) and tuple(rows[1]) == (False, False, 0)
 
 
+def test_feature_sets_are_written(spark, sf, tmp_path):
+    df = etl.with_date_parts(catalogue.labelled(spark, sf))
+    pipeline.write_features({"train": pipeline.featurised(df, statistics.compute(df))}, str(tmp_path))
+    back = query_log.read_splits(spark, str(tmp_path), ("train",))["train"]
+    assert back.columns == query_log.FEATURE_COLUMNS and back.count() == df.count()
+    assert back.select(F.size("features")).distinct().collect()[0][0] == 95
+
+
 def test_comparison_report(spark):
     before = spark.createDataFrame([(1,)] * 10 + [(0,)] * 90, "is_heavy int")
     text = analysis.comparison_report(before, before.where("is_heavy = 0"), "drop")
