@@ -97,6 +97,18 @@ def bitmap(places: DataFrame, size: int) -> bytes:
     return out.tobytes()
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What make() gives, once for each Python worker and key. A worker holds one such thing at a time, as
+    it outlives its stage and would else pile up the tables of all operators that it has served."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def sliced(batches, rows: int = 500):
     """Arrow batches cut into slices, so that what is made of one at a time stays small."""
     for batch in batches:

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, materialise, sliced
+from sparkloom.llm.common import Scratch, held, materialise, sliced
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -129,15 +129,9 @@ def _sent(spark, items: list, window: int) -> tuple:
     return spark.sparkContext.broadcast(items), key
 
 
-_SCANNERS: dict = {}
-
-
 def _scanner(key: str, items, window: int) -> Scanner:
     """One automaton for each Python worker, however many tasks it runs."""
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(items, window)
-    return _SCANNERS[key]
+    return held(("scanner", key), lambda: Scanner(items, window))
 
 
 def contamination(

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Scratch, bitmap, bits_for, materialise, sliced
+from sparkloom.llm.common import Scratch, bitmap, bits_for, held, materialise, sliced
 
 ORDER = 5
 QUANTILE = 0.999
@@ -158,10 +158,10 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        held: tuple[list, list] = ([], [])
+        waiting: tuple[list, list] = ([], [])
 
         def flush(half):
-            for codes, places, _ in batches_of(held[half], order, _COUNTED):
+            for codes, places, _ in batches_of(waiting[half], order, _COUNTED):
                 keys = sum_of(codes, order)[places]
                 _, first, n = np.unique(keys, return_index=True, return_counts=True)
                 windows = np.ascontiguousarray(codes[places[first][:, None] + np.arange(1 - order, 1)], "<u4")
@@ -171,14 +171,14 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                     part = slice(lo, lo + 50_000)
                     own = [zero[part], n[part].astype(np.int64)][:: 1 if half else -1]
                     yield pa.RecordBatch.from_arrays([pa.array(grams[part].tolist(), pa.string()), *map(pa.array, own)], ["gram", "n1", "n2"])
-            held[half].clear()
+            waiting[half].clear()
 
         chars = [0, 0]
         for batch in sliced(batches):
             for packed in batch.column(0).to_pylist():
                 text = unpack(packed).decode("utf-8", "surrogatepass")
                 half = half_of(text)
-                held[half].append(text)
+                waiting[half].append(text)
                 chars[half] += len(text)
                 if chars[half] >= _COUNTED:
                     yield from flush(half)
@@ -356,17 +356,6 @@ class Scorer:
         return costs, [(p["text"], p["key"].view(np.int64), n) for p, n in rest]
 
 
-_SCORERS: dict = {}
-
-
-def _scorer(key: str, parts) -> Scorer:
-    """The scorer, once for each Python worker."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(*parts)
-    return _SCORERS[key]
-
-
 def row_digest(text_col: str, lang_col: str):
     """What a row's verdict depends on, as a digest."""
     return F.md5(F.concat_ws("\x00", F.coalesce(F.col(lang_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
@@ -386,24 +375,24 @@ def scores(docs: DataFrame, terms: DataFrame, parts, marks, place_size: int, kin
     def run(batches):
         import numpy as np
 
-        scorer, seen = _scorer(key, sent.value), np.frombuffer(marks.value, np.uint8)
+        scorer, seen = held(("scorer", key), lambda: Scorer(*sent.value)), np.frombuffer(marks.value, np.uint8)
         for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rids, at = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             maybe = np.flatnonzero((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
             halves = np.array([half_of(texts[i]) for i in maybe], np.int64)
-            held, rest = [None] * len(texts), []
+            other_half, rest = [None] * len(texts), []
             costs, found = scorer(texts, 0)
             rest += [(rids[i], k, n, 0) for i, k, n in found]
             for half in (0, 1):
                 own = maybe[halves == half]
                 other, found = scorer([texts[i] for i in own], 2 - half)
                 for i, x in zip(own.tolist(), other.tolist()):
-                    held[i] = x
+                    other_half[i] = x
                 rest += [(rids[own[i]], k, n, 2 - half) for i, k, n in found]
             # A row's own entry goes to any partition; no term touches it.
             none, size = pa.nulls(len(texts), pa.int32()), [len(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), none, none, batch.column(3), *(pa.array(x, pa.int64()) for x in (size, costs, held))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0), none, none, batch.column(3), *(pa.array(x, pa.int64()) for x in (size, costs, other_half))], names)
             for r, k, n, model in rest:
                 for lo in range(0, len(k), 50_000):
                     part = slice(lo, lo + 50_000)

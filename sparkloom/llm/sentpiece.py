@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkloom.functions.text import free_name
-from sparkloom.llm.common import sliced
+from sparkloom.llm.common import held, sliced
 
 _MARK = "▁"
 _RUNS = re.compile(" +|[^ ]+")
@@ -50,7 +50,7 @@ _PARTS = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 # Piece types of the model format (fixed values).
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
-_MEMORY = 400_000
+_MEMORY = 250_000
 
 
 # Each byte that is not UTF-8 becomes one replacement character.
@@ -362,14 +362,9 @@ class Transducer:
         return text[1:] if cut else text
 
 
-_TRANSDUCERS: dict[str, Transducer] = {}
-
-
 def transducer(model_file: str) -> Transducer:
     """One compiled transducer for each Python worker."""
-    if model_file not in _TRANSDUCERS:
-        _TRANSDUCERS[model_file] = Transducer(model_file)
-    return _TRANSDUCERS[model_file]
+    return held(("transducer", model_file), lambda: Transducer(model_file))
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

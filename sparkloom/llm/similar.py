@@ -303,8 +303,10 @@ def prefixes(texts: Texts, classes: DataFrame, similarity: float, keep: Scratch)
     low = keep(low.where((alone < F.col("prefix")) | (first < F.col("prefix"))), "prefix-low")
     beyond = low.where(first < F.col("prefix"))
     more = beyond.agg(F.coalesce(F.sum(F.col("size") - F.col("low")), F.lit(0))).first()[0]
-    high = of(texts.shared(False, more, texts.marks(beyond.select("node")))).select("node", F.col("t")["token"].alias("high"))
-    every = low.join(high, "node", "left").withColumn("high", F.coalesce("high", none))
+    every = low.withColumn("high", none)
+    if more:
+        high = of(texts.shared(False, more, texts.marks(beyond.select("node")))).select("node", F.col("t")["token"].alias("high"))
+        every = low.join(high, "node", "left").withColumn("high", F.coalesce("high", none))
     placed = lambda tokens, start: F.transform(tokens, lambda x, i: F.struct(x.alias("token"), (start + i).cast("bigint").alias("pos")))
     after = F.col("size") - F.col("low")
     order = F.concat(placed("rare", alone), placed("high", first + after - F.size("high")), placed("frequent", first + after))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import AtomicFile, drop_path, filesystem, materialise, scratch_path, sliced, written
+from sparkloom.llm.common import AtomicFile, drop_path, filesystem, held, materialise, scratch_path, sliced, written
 
 _BLOCK_IDS = 1 << 20
 #: Token ids of one file: as many as give each shuffle partition a file, within these.
@@ -181,14 +181,9 @@ class WordEncoder:
         return np.concatenate(parts_ids), np.concatenate(parts_sizes)
 
 
-_ENCODERS: dict = {}
-
-
 def _encoder(vocabulary: str, dtype: str) -> WordEncoder:
     """One encoder, with what it knows, for each Python worker."""
-    if (vocabulary, dtype) not in _ENCODERS:
-        _ENCODERS[vocabulary, dtype] = WordEncoder(vocabulary, dtype)
-    return _ENCODERS[vocabulary, dtype]
+    return held(("encoder", vocabulary, dtype), lambda: WordEncoder(vocabulary, dtype))
 
 
 def token_table(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id: int, dtype: str) -> DataFrame:
