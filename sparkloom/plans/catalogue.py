@@ -47,9 +47,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("queryId", "is_heavy", score.alias("score"))
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """df with doubles rounded to 6 places, so the order of sums does not show."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """df with doubles rounded, so the order of sums does not show."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -275,7 +275,7 @@ def historical_features(spark, sf_dir):
     """Features of all queries by the statistics of the training days."""
     df = labelled(spark, sf_dir)
     stats = statistics.compute(training_days(df), exact=True)
-    return rounded(statistics.with_historical(df, stats).select("queryId", *pipeline.HISTORICAL_NAMES))
+    return rounded(statistics.with_historical(df, stats).select("queryId", *pipeline.HISTORICAL_NAMES), 10)
 
 
 # --- base features, one query for each group
@@ -462,7 +462,7 @@ def union_by_name(spark, sf_dir):
 
 
 _VALID = "WHERE regexp_matches(q, '\\S')"
-_CELLS = ", ".join(f"round({O.FEATURES[n]}, 6) AS {n}" for n in base_names())
+_CELLS = ", ".join(O.r10(O.FEATURES[n], n) for n in base_names())
 
 
 @register(O.query(f"SELECT b.*, h.* EXCLUDE (queryId) FROM (SELECT queryId, {_CELLS} FROM staged {_VALID}) b JOIN (SELECT * FROM ({O.historical_sql(rows='true')})) h USING (queryId)", O.STAGED))
@@ -470,7 +470,7 @@ def concatenated_vectors(spark, sf_dir):
     """78 base and 17 historical features, each read off one array."""
     df = labelled(spark, sf_dir)
     done = pipeline.featurised(df.where(feats.valid_query()), statistics.compute(training_days(df), exact=True))
-    return rounded(done.select("queryId", *[F.col("features")[i].alias(n) for i, n in enumerate(pipeline.feature_names())]))
+    return rounded(done.select("queryId", *[F.col("features")[i].alias(n) for i, n in enumerate(pipeline.feature_names())]), 10)
 
 
 _SPLIT = "CASE WHEN CAST(createTime AS DATE) >= DATE '2024-01-23' THEN 'test' WHEN CAST(createTime AS DATE) >= DATE '2024-01-16' THEN 'val' ELSE 'train' END"

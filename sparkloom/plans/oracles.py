@@ -73,16 +73,16 @@ MEASURED = """measured AS (SELECT *, cpuTime / 1000.0::DOUBLE AS c, peakUserMemo
 def _entity(key: str, other: tuple[str, str], prefix: str = "") -> str:
     names = ", ".join(f"count(DISTINCT {c}) AS {n}" for n, c in (("unique_users", "user_"), other))
     return f"""SELECT k AS {key}, count(*) AS query_count, {r6('avg(CAST(is_heavy AS DOUBLE))', 'heavy_rate')},
-  {r6('coalesce(avg(c), 0.0::DOUBLE)', 'avg_cpu_seconds')}, {', '.join(r6(_disc('c', p / 100), f'p{p}_cpu_seconds') for p in (50, 75, 90, 95))},
-  {r6('coalesce(avg(m), 0.0::DOUBLE)', 'avg_memory_gb')}, {r6(_disc('m', 0.95), 'p95_memory_gb')}, {names}
+  {r6('coalesce(avg(cpuTime) / 1000.0::DOUBLE, 0.0::DOUBLE)', 'avg_cpu_seconds')}, {', '.join(r6(_disc('c', p / 100), f'p{p}_cpu_seconds') for p in (50, 75, 90, 95))},
+  {r6('coalesce(avg(peakUserMemoryBytes) / 1073741824.0::DOUBLE, 0.0::DOUBLE)', 'avg_memory_gb')}, {r6(_disc('m', 0.95), 'p95_memory_gb')}, {names}
   FROM (SELECT *, coalesce(nullif({key}, ''), 'NULL') AS k, "user" AS user_ FROM measured) GROUP BY k"""
 
 
 def stats_sql(kind: str) -> str:
     if kind == "user":
         select = f"""SELECT "user", count(*) AS query_count, {r6('avg(CAST(is_heavy AS DOUBLE))', 'heavy_rate')},
-  {r6('coalesce(avg(c), 0.0::DOUBLE)', 'avg_cpu_seconds')}, {r6(_disc('c', 0.9), 'p90_cpu_seconds')}, {r6('coalesce(stddev_samp(c), 0.0::DOUBLE)', 'cpu_stddev')},
-  {r6('coalesce(avg(m), 0.0::DOUBLE)', 'avg_memory_gb')}, {r6(_disc('m', 0.9), 'p90_memory_gb')},
+  {r6('coalesce(avg(cpuTime) / 1000.0::DOUBLE, 0.0::DOUBLE)', 'avg_cpu_seconds')}, {r6(_disc('c', 0.9), 'p90_cpu_seconds')}, {r6('coalesce(stddev_samp(c), 0.0::DOUBLE)', 'cpu_stddev')},
+  {r6('coalesce(avg(peakUserMemoryBytes) / 1073741824.0::DOUBLE, 0.0::DOUBLE)', 'avg_memory_gb')}, {r6(_disc('m', 0.9), 'p90_memory_gb')},
   count(DISTINCT catalog) AS unique_catalogs, count(DISTINCT schema) AS unique_schemas FROM measured GROUP BY "user" """
     elif kind == "catalog":
         select = _entity("catalog", ("unique_schemas", "schema"))
@@ -91,9 +91,14 @@ def stats_sql(kind: str) -> str:
     return query(select, MEASURED)
 
 
+def r10(expression: str, name: str) -> str:
+    """Ten places: shares of whole numbers often end in a 5 behind the sixth, which engines round apart."""
+    return f"round({expression}, 10) AS {name}"
+
+
 def historical_sql(known: str = "createTime < TIMESTAMP '2024-01-16'", rows: str = "true") -> str:
     """known: the rows that statistics are made of; rows: those that get features."""
-    common = "count(*) AS n, avg(CAST(is_heavy AS DOUBLE)) AS r, coalesce(avg(c), 0) AS a, " + _disc("c", 0.9) + " AS p, coalesce(avg(m), 0) AS g"
+    common = "count(*) AS n, avg(CAST(is_heavy AS DOUBLE)) AS r, coalesce(avg(cpuTime) / 1000.0::DOUBLE, 0) AS a, " + _disc("c", 0.9) + " AS p, coalesce(avg(peakUserMemoryBytes) / 1073741824.0::DOUBLE, 0) AS g"
     sides = {
         "u": f'SELECT "user" AS k, {common}, count(DISTINCT catalog) AS d FROM measured WHERE {known} GROUP BY "user"',
         "cs": f"SELECT coalesce(nullif(catalog, ''), 'NULL') AS k, {common}, count(DISTINCT \"user\") AS d FROM measured WHERE {known} GROUP BY 1",
@@ -103,14 +108,14 @@ def historical_sql(known: str = "createTime < TIMESTAMP '2024-01-16'", rows: str
     cells = []
     for kind, t in (("user", "u"), ("catalog", "cs"), ("schema", "ss")):
         cells += [
-            r6(cut((f"{t}.n", "1"), 10000), f"{kind}_query_count_norm"), r6(f"coalesce({t}.r, 0.1::DOUBLE)", f"{kind}_heavy_rate"),
-            r6(cut((f"{t}.a", "30"), 300), f"{kind}_avg_cpu_seconds_norm"),
+            r10(cut((f"{t}.n", "1"), 10000), f"{kind}_query_count_norm"), r10(f"coalesce({t}.r, 0.1::DOUBLE)", f"{kind}_heavy_rate"),
+            r10(cut((f"{t}.a", "30"), 300), f"{kind}_avg_cpu_seconds_norm"),
         ]
         if kind != "schema":
-            cells.append(r6(cut((f"{t}.p", "100"), 300), f"{kind}_p90_cpu_seconds_norm"))
-        cells.append(r6(cut((f"{t}.g", "5"), 50), f"{kind}_avg_memory_gb_norm"))
+            cells.append(r10(cut((f"{t}.p", "100"), 300), f"{kind}_p90_cpu_seconds_norm"))
+        cells.append(r10(cut((f"{t}.g", "5"), 50), f"{kind}_avg_memory_gb_norm"))
         if kind != "schema":
-            cells.append(r6(cut((f"{t}.d", "1"), 100), "user_catalog_diversity_norm" if kind == "user" else "catalog_user_diversity_norm"))
+            cells.append(r10(cut((f"{t}.d", "1"), 100), "user_catalog_diversity_norm" if kind == "user" else "catalog_user_diversity_norm"))
     cells.append("CAST(CASE WHEN u.k IS NULL AND cs.k IS NULL AND ss.k IS NULL THEN 1 ELSE 0 END AS DOUBLE) AS is_cold_start")
     key = lambda c: f"CASE WHEN m.{c} IS NULL OR m.{c} IN ('', 'null', 'NULL') THEN 'NULL' ELSE m.{c} END"
     select = f"""SELECT m.queryId, {', '.join(cells)} FROM measured m
