@@ -50,7 +50,7 @@ _PARTS = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 # Piece types of the model format (fixed values).
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
-_MEMORY = 250_000
+_MEMORY = 400_000
 
 
 # Each byte that is not UTF-8 becomes one replacement character.
@@ -396,15 +396,16 @@ def decode_documents(coded: DataFrame, model_file: str) -> DataFrame:
     return coded.mapInArrow(run, f"id {coded.schema['id'].dataType.simpleString()}, text string")
 
 
-def with_pieces(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
-    """docs with pieces, n_pieces, pieces_crc32 and decoded_equal of each row, both directions in one pass.
+def with_pieces(docs: DataFrame, model_file: str, text_col: str = "text", pieces: bool = True) -> DataFrame:
+    """docs with pieces (if they are wanted), n_pieces, pieces_crc32 and decoded_equal of each row, both
+    directions in one pass.
 
     pieces_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers. A column of
     docs that has one of these names keeps it, and the new one gets underscores in front.
     """
     import pyarrow as pa
 
-    types = {"pieces": "array<int>", "n_pieces": "bigint", "pieces_crc32": "bigint", "decoded_equal": "boolean"}
+    types = ({"pieces": "array<int>"} if pieces else {}) | {"n_pieces": "bigint", "pieces_crc32": "bigint", "decoded_equal": "boolean"}
     names = [free_name(docs.columns, n) for n in types]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     given = docs.select(row, F.col(text_col).alias("text"))
@@ -414,14 +415,14 @@ def with_pieces(docs: DataFrame, model_file: str, text_col: str = "text") -> Dat
 
         machine = transducer(model_file)
         for batch in sliced(batches, 200):
-            pieces, sums, equal = [], [], []
+            coded, sums, equal = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.array(machine.encode(text), dtype="<i4")
-                pieces.append(ids)
+                coded.append(ids)
                 sums.append(zlib.crc32(ids.tobytes()))
                 equal.append(machine.decode(ids.tolist()) == (text or ""))
-            sizes = [len(p) for p in pieces]
-            columns = [pa.array(pieces, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(equal, pa.bool_())]
+            columns = [pa.array(coded, pa.list_(pa.int32()))] if pieces else []
+            columns += [pa.array([len(p) for p in coded], pa.int64()), pa.array(sums, pa.int64()), pa.array(equal, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", *types])
 
     added = StructType.fromDDL(", ".join(f"{n} {t}" for n, t in types.items()))
@@ -432,4 +433,4 @@ def with_pieces(docs: DataFrame, model_file: str, text_col: str = "text") -> Dat
 def roundtrip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, pieces_crc32, decoded_equal) of each row."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return with_pieces(picked, model_file).select("id", "n_pieces", "pieces_crc32", "decoded_equal")
+    return with_pieces(picked, model_file, pieces=False).select("id", "n_pieces", "pieces_crc32", "decoded_equal")
