@@ -109,6 +109,33 @@ def held(key, make):
     return _HELD[key]
 
 
+def tidy(run):
+    """run, over Arrow batches; when a task ends its worker gives what it has freed back to the system.
+
+    Workers outlive their tasks, and allocators keep what is freed: idle ones would hold the peak of all
+    stages that they have served beside those at work.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def trim() -> None:
+    """Gives freed memory of this process back to the system, where its allocators can do so."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def sliced(batches, rows: int = 500):
     """Arrow batches cut into slices, so that what is made of one at a time stays small."""
     for batch in batches:

@@ -36,8 +36,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from sparkloom.llm.common import Scratch, bitmap, bits_for, held, materialise, sliced
+from sparkloom.llm.common import Scratch, bitmap, bits_for, held, materialise, sliced, tidy
 
 ORDER = 5
 QUANTILE = 0.999
@@ -144,7 +145,7 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, marks, size: int, id_col:
             packed = [pack(t.encode("utf-8", "surrogatepass")) if t else None for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
-    made = picked.mapInArrow(run, f"id {kind}, packed binary").where("packed is not null")
+    made = picked.mapInArrow(tidy(run), f"id {kind}, packed binary").where("packed is not null")
     # One plan for every size: both sides are shuffled, however few the trusted are.
     return made.join(trusted.hint("merge"), "id", "left_semi").select("packed")
 
@@ -186,7 +187,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         for half in (0, 1):
             yield from flush(half)
 
-    made = texts.select("packed").mapInArrow(run, "gram string, n1 bigint, n2 bigint")
+    made = texts.select("packed").mapInArrow(tidy(run), "gram string, n1 bigint, n2 bigint")
     return made.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
 
 
@@ -400,7 +401,7 @@ def scores(docs: DataFrame, terms: DataFrame, parts, marks, place_size: int, kin
                     columns = [pa.array(k[part]), pa.array(r[part]), pa.array(n[part].astype(np.int32)), pa.array(np.full(size, model, np.int32)), pa.nulls(size, batch.column(3).type)]
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(size, pa.int64()) for _ in range(3))], names)
 
-    made = picked.mapInArrow(run, f"key bigint, rid bigint, times int, model int, doc {picked.schema['doc'].dataType.simpleString()}, n bigint, cost bigint, held bigint")
+    made = picked.mapInArrow(tidy(run), f"key bigint, rid bigint, times int, model int, doc {picked.schema['doc'].dataType.simpleString()}, n bigint, cost bigint, held bigint")
     met = made.join(terms.select("key", *[f"more{m}" for m in _MODELS]), "key", "left")
     term = F.when(F.col("model") == 0, F.col("more0")).when(F.col("model") == 1, F.col("more1")).when(F.col("model") == 2, F.col("more2"))
     added = F.col("times").cast("bigint") * term
@@ -488,20 +489,18 @@ def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
     size = bits_for(bad.count())
     place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << size) - 1)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(bad.select((place + 1).alias("bit")), size))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = docs.select(row, row_digest(text_col, lang_col).alias("digest")).select("row", "digest", place.alias("place"))
-
-    def suspects(wanted: bool):
-        def run(batches):
-            import numpy as np
 
-            marks = np.frombuffer(sent.value, np.uint8)
-            for batch in sliced(batches):
-                at = batch.column(2).to_numpy()
-                yield batch.filter(pa.array(((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) == wanted))
+    def suspect(places):
+        import numpy as np
 
-        return marked.mapInArrow(run, marked.schema)
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((np.frombuffer(sent.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
+    # Python is given a number for each row, rows wait beside it; not deterministic, so it is evaluated once.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    digests = docs.select(row, row_digest(text_col, lang_col).alias("digest"))
+    pointed = F.arrow_udf(suspect, "boolean", ArrowUDFType.SCALAR).asNondeterministic()
+    marked = digests.select("row", "digest", pointed(place).alias("suspect"))
     # Only what the bitmap points at is shuffled.
-    held = suspects(True).join(bad.hint("merge"), "digest", "left_anti").select("row.*")
-    return suspects(False).select("row.*").union(held)
+    held = marked.where("suspect").join(bad.hint("merge"), "digest", "left_anti").select("row.*")
+    return marked.where("not suspect").select("row.*").union(held)

@@ -40,8 +40,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from sparkloom.llm.common import Scratch, bitmap, bits_for, materialise, sliced
+from sparkloom.llm.common import Scratch, bitmap, bits_for, materialise, sliced, tidy, trim
 from sparkloom.llm.simhash import block_masks, connected
 
 #: Shingles that one range of the join holds in memory, and bins of the parities.
@@ -127,7 +128,7 @@ def texts_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits:
             yield pa.RecordBatch.from_arrays(columns, ["id", "words", "node", "size", "low", "fp"])
 
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, words binary, node bigint, size bigint, low bigint, fp bigint")
+    return picked.mapInArrow(tidy(run), f"id {kind}, words binary, node bigint, size bigint, low bigint, fp bigint")
 
 
 def _lows(shingles) -> int:
@@ -178,7 +179,7 @@ class Texts:
 
             return work(each())
 
-        return self._texts.mapInArrow(run, schema)
+        return self._texts.mapInArrow(tidy(run), schema)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, size, tokens, bits) of the wanted nodes: their shingles, and parities of how many fall in each bin."""
@@ -285,7 +286,7 @@ class Texts:
 
         packed = self.map(pack, "range int, nodes binary, places binary, tokens binary", marks)
         place = F.floor(F.col("range").cast("bigint") * tasks / ranges).cast("int")
-        return packed.repartitionById(tasks, place).sortWithinPartitions("range").mapInArrow(count, "node bigint, token bigint, df bigint")
+        return packed.repartitionById(tasks, place).sortWithinPartitions("range").mapInArrow(tidy(count), "node bigint, token bigint, df bigint")
 
 
 def prefixes(texts: Texts, classes: DataFrame, similarity: float, keep: Scratch) -> DataFrame:
@@ -456,23 +457,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     size = bits_for(touched.count())
     place = F.conv(F.substring(F.hex("words"), 1, 8), 16, 10).cast("bigint").bitwiseAND((1 << size) - 1)
     sent = spark.sparkContext.broadcast(bitmap(touched.select((place + 1).alias("bit")), size))
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("binary").alias("words"))
+    def touching(texts):
+        import numpy as np
+        import xxhash
 
-    def marked(wanted: bool):
-        def run(batches):
-            import numpy as np
-            import xxhash
+        marks = np.frombuffer(sent.value, np.uint8)
 
-            marks = np.frombuffer(sent.value, np.uint8)
-            for batch in sliced(batches):
-                keys = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in batch.column(1).to_pylist()]
-                at = np.array([int.from_bytes(k[:4], "big") for k in keys], np.int64) & ((1 << size) - 1)
-                hit = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                yield batch.set_column(1, "words", pa.array(keys, batch.schema.field("words").type)).filter(pa.array(hit == wanted))
+        def digest(text):
+            found = xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
+            at = int.from_bytes(found[:4], "big") & ((1 << size) - 1)
+            return found if marks[at >> 3] >> (at & 7) & 1 else None
 
-        return given.mapInArrow(run, given.schema)
+        for column in texts:
+            yield pa.array([digest(t.as_py()) for t in column], pa.binary())
+        trim()
 
-    decided = marked(True).select("row", key(F.col(f"row.`{id_col}`"), F.col("words")).alias("key"))
+    # Python is given the text alone and returns a digest, or null; rows wait beside it. Not deterministic: evaluated once.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = F.arrow_udf(touching, "binary", ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    given = docs.select(row, marked(F.col(text_col).cast("binary")).alias("words"))
+    decided = given.where("words is not null").select("row", key(F.col(f"row.`{id_col}`"), F.col("words")).alias("key"))
     decided = decided.join(gone, "key", "left_anti").dropDuplicates(["key"])
     keep.close()  # what is left to run needs `gone` and the bitmap alone
-    return marked(False).select("row.*").union(decided.select("row.*"))
+    return given.where("words is null").select("row.*").union(decided.select("row.*"))

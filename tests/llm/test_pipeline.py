@@ -120,3 +120,15 @@ def test_stages_take_any_rows(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), sf).count() == 0
     near = corpus_pipeline.drop_near_copies(spark, docs, sf)
     assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "2", "3", "None"]
+
+
+def test_decided_rows_wait_in_the_jvm(spark, sf):
+    """The first two stages hand Python what they decide by, not whole rows: those would lie there, and in buffers both ways, twice over."""
+    rows = [(1, "a good text of some words here", "en", "a"), (2, "A good text of some words here", "en", "a"), (3, "other words", None, "c"), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x", "y", "z", "k") for r in rows], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, sf)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+        assert out.dtypes == docs.dtypes
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None"]
