@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import Scratch, materialise, sliced
 
 _CHUNK = 8192
+#: Edges that one task joins up by itself.
+_TASK_EDGES = 1 << 19
 
 
 def _fingerprint(data: bytes, width: int, seed: int) -> int:
@@ -77,20 +79,67 @@ def block_masks(max_bits: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _stars(u, v):
+    """(node, least node of its component) of edges given as arrays, for each node that is not the least itself."""
+    import numpy as np
+
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        # Roots with a lesser neighbour are hooked to their least one, and paths cut short.
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(above := root[root], root):
+            root = above
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges (u, v) with the same components: in each task those that it reads become stars.
+
+    A task takes up what it has found once more with every `_TASK_EDGES` new edges, so it holds these
+    and an edge for each of its nodes at most.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        parts, found = [], None
+        for batch in batches:
+            parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(p[0]) for p in parts) >= _TASK_EDGES:
+                found = _stars(*map(np.concatenate, zip(*parts, *([found] if found else []))))
+                parts = []
+        if parts:
+            found = _stars(*map(np.concatenate, zip(*parts, *([found] if found else []))))
+        if found:
+            for lo in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in found], ["u", "v"])
+
+    return edges.coalesce(tasks).mapInArrow(run, edges.schema)
+
+
 def connected(edges: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root) for every node of the edges (u, v), root being the smallest node reachable.
 
-    Alternating large-star and small-star steps, each a grouped minimum with map-side
-    combination and a join. Minima are written before they are joined, so both sides of each
+    First each task turns `_TASK_EDGES` or so of the edges into stars. Where one task holds all, these
+    are the result; else alternating large-star and small-star steps go on, each a grouped minimum with
+    map-side combination and a join. Minima are written before they are joined, so both sides of each
     join are plain exchanges and the adaptive planner can split a hub's rows. Each round's
     tables replace those of the round before.
     """
-    now = keep(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        "cc-edges",
-    )
+    now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "cc-edges")
+    tasks = max(1, -(-now.count() // _TASK_EDGES))
+    now = keep(_contracted(now, tasks), "cc-edges")
     mark = None
-    while True:
+    while tasks > 1:
         sign = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if sign == mark or sign[0] == 0:
             break

@@ -193,6 +193,36 @@ def test_connected_long_path(spark):
     assert found == {i: 0 for i in range(1, 61)} | {101: 100}
 
 
+def test_connected_few_tables_for_few_edges(spark):
+    class Counted(common.Scratch):
+        tables = 0
+
+        def __call__(self, df, name):
+            self.tables += 1
+            return super().__call__(df, name)
+
+    keep = Counted(spark, "test")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u bigint, v bigint")
+    assert {r["root"] for r in simhash.connected(edges, keep).collect()} == {0}
+    assert keep.tables <= 2  # however long the path
+
+
+def test_connected_over_many_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(100)] + [(5, 5), (-3, -9)]
+    edges = spark.createDataFrame([*pairs, (None, 5), (6, None)], "u bigint, v bigint").repartition(7)
+    links = {frozenset(p) for p in pairs}
+    roots = brute.components({n for p in pairs for n in p}, lambda a, b: frozenset((a, b)) in links)
+    least: dict = {}
+    for node, root in roots.items():
+        least[root] = min(node, least.get(root, node))
+    expected = {n: least[r] for n, r in roots.items() if n != least[r]}
+    for most in (1 << 19, 40):
+        monkeypatch.setattr(simhash, "_TASK_EDGES", most)
+        found = simhash.connected(edges, common.Scratch(spark, "test")).collect()
+        assert len(found) == len(expected) and {r["node"]: r["root"] for r in found} == expected
+
+
 def test_tokens_edges(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
