@@ -45,6 +45,7 @@ from sparkloom.functions.text import free_name
 from sparkloom.llm.common import held, sliced
 
 _MARK = "▁"
+_BREAK = "\ud800"
 _RUNS = re.compile(" +|[^ ]+")
 _PARTS = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 # Piece types of the model format (fixed values).
@@ -168,9 +169,14 @@ class Transducer:
             raise NotImplementedError("models with user-defined or unused pieces")
         self._id = {p[0]: i for i, p in enumerate(self.pieces) if p[2] == _NORMAL}
         self._byte = {int(p[0][1:-1], 16): i for i, p in enumerate(self.pieces) if p[2] == _BYTE}
-        self._value = {i: b for b, i in self._byte.items()}
         if any(_MARK in p.lstrip(_MARK) for p in self._id):
             raise NotImplementedError("pieces with white space inside")
+        # What each id decodes to. Bytes outside ASCII wait as surrogates, which no piece has, for those beside
+        # them; a control piece is a surrogate that keeps bytes apart.
+        self._texts = [" ⁇ " if p[2] == _UNKNOWN else _BREAK if p[2] == _CONTROL else p[0].replace(_MARK, " ") for p in self.pieces]
+        for byte, i in self._byte.items():
+            self._texts[i] = chr(byte if byte < 128 else 0xDC00 + byte)
+        self._marked = {i for i, p in enumerate(self.pieces) if p[2] != _BYTE and p[0].startswith(_MARK)}
         # The piece transducer: arcs by character from each state, and the pieces that end there.
         self._arcs: list[dict[str, int]] = [{}]
         self._ends = [False]
@@ -342,24 +348,14 @@ class Transducer:
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
-        out: list[str] = []
-        held = bytearray()
-        cut = False  # whether the dummy prefix stands in front
-        for i in ids:
-            byte = self._value.get(i)
-            if byte is not None:
-                held.append(byte)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "sparkloom-each"))
-                held.clear()
-            piece, _, kind = self.pieces[i]
-            cut = cut or self._prefix and not out and piece.startswith(_MARK)
-            out.append(" ⁇ " if kind == _UNKNOWN else "" if kind == _CONTROL else piece)
-        if held:
-            out.append(held.decode("utf-8", "sparkloom-each"))
-        text = "".join(out).replace(_MARK, " ")
-        return text[1:] if cut else text
+        out = "".join(map(self._texts.__getitem__, ids))
+        try:
+            out.encode()
+        except UnicodeEncodeError:  # bytes outside ASCII, or control pieces
+            runs = [r.encode("utf-8", "surrogateescape").decode("utf-8", "sparkloom-each") for r in out.split(_BREAK)]
+            out = "".join(runs).replace(_MARK, " ")
+        # Whether the dummy prefix stands in front.
+        return out[1:] if self._prefix and len(ids) and ids[0] in self._marked else out
 
 
 def transducer(model_file: str) -> Transducer:

@@ -223,6 +223,50 @@ def test_connected_over_many_tasks(spark, monkeypatch):
         assert len(found) == len(expected) and {r["node"]: r["root"] for r in found} == expected
 
 
+def test_pieces_decode_any_ids():
+    machine = sentpiece.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    values = {i: b for b, i in machine._byte.items()}
+    rng = random.Random(3)
+    kinds = {kind: [i for i, p in enumerate(machine.pieces) if p[2] == kind] for kind in {p[2] for p in machine.pieces}}
+
+    def literal(ids):
+        out, run = [], bytearray()
+        for i in [*ids, None]:
+            if i in values:
+                run.append(values[i])
+                continue
+            if run:
+                out.append(run.decode("utf-8", "sparkloom-each"))
+                run.clear()
+            if i is not None:
+                text, _, kind = machine.pieces[i]
+                out.append(" \u2047 " if kind == 2 else "" if kind == 3 else text)
+        cut = ids and ids[0] not in values and machine.pieces[ids[0]][0].startswith("\u2581")
+        return "".join(out).replace("\u2581", " ")[bool(cut) :]
+
+    for _ in range(20_000):
+        ids = [rng.choice(kinds[rng.choice([*kinds, 6, 6])]) for _ in range(rng.randrange(9))]
+        assert machine.decode(ids) == literal(ids), ids
+    mark = [machine._byte[b] for b in "\u2581".encode()]
+    assert machine.decode(mark) == " " and machine.decode(mark[:1] + mark) == "\ufffd "
+
+
+def test_pieces_decode_is_one_join():
+    machine = sentpiece.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = machine.encode("several words of a text that stand in one line,\nand in another one. " * 3000)
+    names = [p[0] for p in machine.pieces]
+
+    def least(run):
+        times = []
+        for _ in range(9):
+            began = time.process_time()
+            run()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert least(lambda: machine.decode(ids)) < 2 * least(lambda: "".join(map(names.__getitem__, ids)).replace("\u2581", " "))
+
+
 def test_tokens_edges(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
