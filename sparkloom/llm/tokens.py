@@ -45,6 +45,25 @@ _KNOWN_CHARS = 24_000_000
 
 
 _TEXTS = 200
+_PLAIN = b"\n" + bytes(range(32, 127))
+_STRANGE = re.compile("[^\\t-\\r -~\u00a0-\u024f\u2010-\u2027\u20ac]").search
+_GAP, _GAPS = re.compile("[\\t\\v\\f\\r\u00a0]").search, re.compile(r"\s \s").search
+
+
+def _unsure(text: str) -> bool:
+    """Whether a text has characters outside the blocks that are sure, or white space on both sides of a space.
+
+    Bytes of plain ASCII are dropped first, so that characters are looked at one by one only where they are others.
+    """
+    if "  " in text:
+        return True
+    gaps = "\n " in text
+    if rest := text.encode("utf-8", "surrogatepass").translate(None, _PLAIN):
+        others = rest.decode("utf-8", "surrogatepass")
+        if _STRANGE(others):
+            return True
+        gaps = gaps or _GAP(others) is not None
+    return gaps and _GAPS(text) is not None
 
 
 class _Chunks(dict):
@@ -78,7 +97,6 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._unsure = re.compile("[^\\t-\\r -~\u00a0-\u024f\u2010-\u2027\u20ac]|  |\\s \\s").search
         about = json.loads(self._tokenizer.to_str())
         before = about["pre_tokenizer"] or {}
         self._cuts = about["model"]["type"] == "BPE" and about["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
@@ -150,7 +168,7 @@ class WordEncoder:
             if self._chunks > _KNOWN_CHUNKS or self._chars > _KNOWN_CHARS:
                 self._forget()
             own = texts[lo : lo + _TEXTS]
-            whole = [i for i, t in enumerate(own) if not self._cuts or self._unsure(t) or any(a in t for a in self._added)]
+            whole = [i for i, t in enumerate(own) if not self._cuts or _unsure(t) or any(a in t for a in self._added)]
             strange = dict(zip(whole, self._ids([own[i] for i in whole])))
             split = [t.split(" ") for i, t in enumerate(own) if i not in strange]
             counts = np.array([len(x) for x in split], dtype=np.int64)

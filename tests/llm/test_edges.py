@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -267,6 +268,26 @@ def test_pieces_decode_is_one_join():
     assert least(lambda: machine.decode(ids)) < 2 * least(lambda: "".join(map(names.__getitem__, ids)).replace("\u2581", " "))
 
 
+def test_tokens_unsure_texts():
+    literal = re.compile("[^\\t-\\r -~\u00a0-\u024f\u2010-\u2027\u20ac]|  |\\s \\s").search
+    rng = random.Random(4)
+    odd = "ab \n\r\t\v\f\u00a0\u00ad\x85\x1c\x1f\x00\x7f\u2003\u2028\u200b\u2019\u3000\u00e9\u20ac\u65e5\ud800\U0001f600"
+    for _ in range(40_000):
+        text = "".join(rng.choice(odd if rng.random() < 0.3 else "ab \n") for _ in range(rng.randrange(9)))
+        assert tokens._unsure(text) == bool(literal(text)), repr(text)
+
+    def least(run, text):
+        times = []
+        for _ in range(9):
+            began = time.process_time()
+            run(text)
+            times.append(time.process_time() - began)
+        return min(times)
+
+    for plain in ("A line of plain text, and\nanother one. ", "Une ligne \u00e9crite, et\nune autre. "):
+        assert not literal(plain * 5000) and least(tokens._unsure, plain * 5000) < least(literal, plain * 5000) / 2
+
+
 def test_tokens_edges(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
