@@ -34,17 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import AtomicFile, drop_path, filesystem, held, materialise, scratch_path, sliced, written
+from sparkloom.llm.common import AtomicFile, drop_path, filesystem, held, materialise, scratch_path, sliced, tidy, written
 
 _BLOCK_IDS = 1 << 20
 #: Token ids of one file: as many as give each shuffle partition a file, within these.
 _LEAST_IDS, _MOST_IDS = 1 << 18, 1 << 25
 _HEAD = "<IQQ"
-_KNOWN_CHUNKS = 1_200_000
-_KNOWN_CHARS = 24_000_000
+_KNOWN_PARTS = 800_000
+_KNOWN_BYTES = 24_000_000
 
-
-_TEXTS = 200
+#: Characters of the texts that are cut at once, and new parts that the tokenizer gets at once.
+_TEXT_CHARS, _NEW_PARTS = 1 << 22, 20_000
 _PLAIN = b"\n" + bytes(range(32, 127))
 _STRANGE = re.compile("[^\\t-\\r -~\u00a0-\u024f\u2010-\u2027\u20ac]").search
 _GAP, _GAPS = re.compile("[\\t\\v\\f\\r\u00a0]").search, re.compile(r"\s \s").search
@@ -66,40 +66,83 @@ def _unsure(text: str) -> bool:
     return gaps and _GAPS(text) is not None
 
 
-class _Chunks(dict):
-    """Chunks of text by number; a new one gets the next number and is noted with what stands in front."""
+#: Classes of bytes: letters, digits, other signs, apostrophes, a space, other white space; the rest may be anything.
+_LETTER, _DIGIT, _SIGN, _QUOTE, _SPACE, _BREAK, _ANY = range(7)
+#: Bytes of parts that are a single pre-token, or those of a space and what follows it.
+_SINGLE = bytes(set(range(32, 127)) - {39}) + bytes(set(range(0x80, 0xC0)) - {0x97, 0xB7}) + bytes(range(0xC3, 0xCA))
+
+
+def _classes() -> tuple[bytes, bytes]:
+    """The class of each byte, and for 8 * class + class of the next byte whether a pre-token ends between them."""
+    import numpy as np
+
+    of = np.full(256, _ANY, dtype=np.uint8)
+    of[33:127], of[ord("'")], of[32], of[9:14] = _SIGN, _QUOTE, _SPACE, _BREAK
+    of[48:58], of[65:91], of[97:123], of[0xC3:0xCA] = _DIGIT, _LETTER, _LETTER, _LETTER
+    ends = np.zeros((32, 8), dtype=np.uint8)
+    ends[: _QUOTE + 1, : _BREAK + 1] = 1
+    ends[range(_BREAK + 1), range(_BREAK + 1)] = 0
+    ends[_SIGN, _QUOTE] = ends[_QUOTE, _SIGN] = ends[_QUOTE, _LETTER] = 0
+    return of.tobytes(), ends.tobytes()
+
 
-    def __init__(self, front: str, noted: list[str]):
+def _cut_places(raw: bytes, bounds):
+    """Where the parts of texts begin, and the end of the last; raw: the texts, bounds: where each begins and the end."""
+    import numpy as np
+
+    of, ends = _classes()
+    data, kinds = np.frombuffer(raw, dtype=np.uint8), np.frombuffer(bytearray(raw).translate(of), dtype=np.uint8)
+    # U+00C0 to U+024F are letters of two bytes, but for the signs of multiplication and division.
+    lead = np.flatnonzero((data >= 0xC3) & (data < 0xCA))
+    kinds[lead + 1] = _LETTER
+    signs = lead[(data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))]
+    kinds[signs] = kinds[signs + 1] = _ANY
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[1:-1] = np.frombuffer((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(ends), dtype=bool)
+    alone = np.flatnonzero(kinds[1:-1] == _BREAK) + 1
+    cut[alone[(kinds[alone - 1] <= _QUOTE) & (kinds[alone + 1] <= _QUOTE)] + 1] = True
+    cut[bounds] = True
+    return np.flatnonzero(cut)
+
+
+class _Parts(dict):
+    """Parts of texts by number; a new one gets the next number and is noted."""
+
+    def __init__(self):
         super().__init__()
-        self._front, self._noted = front, noted
-        self.first = 0
+        self.noted: list[bytes] = []
 
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = self.first + len(self._noted)
-        self._noted.append(self._front + chunk)
+    def __missing__(self, part: bytes) -> int:
+        number = self[part] = len(self)
+        self.noted.append(part)
         return number
 
 
 class WordEncoder:
-    """Encodes texts by their chunks between single spaces, each of which the tokenizer encodes once.
-
-    A single space in front of a chunk always begins a pre-token, and merges never cross
-    pre-tokens, so the ids of a text are those of its chunks, each with its space, in order. A text
-    with white space on both sides of a space, with one of the vocabulary's added tokens, or with characters outside
-    the blocks in which every Unicode version agrees on letters and spaces, goes to the tokenizer
-    whole. So do all texts where the vocabulary file has another pre-tokenizer, a normaliser or a
+    """Encodes texts by their parts, about words and signs, each of which the tokenizer encodes once.
+
+    Texts are cut where a pre-token always ends, whatever stands around: between letters, digits and signs, in
+    front of white space behind one of them, and behind a single break between two of them. A space stays with
+    what follows it, an apostrophe with letters behind it, and no cut is made beside other white space or beside characters
+    outside ASCII that are no Latin letters. Merges never cross pre-tokens, so the ids of a text are
+    those of its parts in order. A text with white space on both sides of a space, with one of the vocabulary's
+    added tokens, or with characters outside the blocks in which every Unicode version agrees on letters and spaces,
+    goes to the tokenizer whole. So do all texts where the vocabulary file has another pre-tokenizer, a normaliser or a
     prefix space, for which this does not hold. The memory is bounded: a full one is emptied.
     """
 
     def __init__(self, vocabulary: str, dtype: str):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(vocabulary)
         about = json.loads(self._tokenizer.to_str())
         before = about["pre_tokenizer"] or {}
         self._cuts = about["model"]["type"] == "BPE" and about["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
+        # Takes lines that are a pre-token each.
+        self._lines = Tokenizer(self._tokenizer.model)
+        self._lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._dtype = dtype
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
@@ -110,17 +153,16 @@ class WordEncoder:
     def _forget(self) -> None:
         import numpy as np
 
-        self._noted: list[str] = []
-        self._heads, self._rest = _Chunks("", self._noted), _Chunks(" ", self._noted)
+        self._parts = _Parts()
         self._flat, self._used = np.zeros(1 << 16, dtype=self._dtype), 0
         self._starts, self._sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self._chunks = self._chars = 0
+        self._held = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _store(self, numbers, ids, sizes) -> None:
-        """Appends the ids of chunks; numbers: the chunks' numbers, sizes: how many ids each has."""
+        """Appends the ids of parts; numbers: the parts' numbers, sizes: how many ids each has."""
         import numpy as np
 
         while self._used + len(ids) > len(self._flat):
@@ -131,59 +173,73 @@ class WordEncoder:
         self._used += len(ids)
 
     def _learn(self) -> None:
-        """Encodes the noted chunks. Those that begin with a space go through in one text, and the
+        """Encodes the noted parts. Those of a single pre-token go through as lines of one text, and the
         bytes of pieces tell where each ends."""
         import numpy as np
 
-        first, noted = self._chunks, self._noted
-        if not noted:
-            return
-        self._chunks += len(noted)
-        self._chars += sum(map(len, noted))
-        while self._chunks > len(self._starts):
+        noted, self._parts.noted = self._parts.noted, []
+        first = len(self._parts) - len(noted)
+        self._held += sum(map(len, noted))
+        while len(self._parts) > len(self._starts):
             self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
-        spaced = [i for i, c in enumerate(noted) if len(c) > 1 and c[0] == " "]
-        if spaced:
-            chunks = [noted[i] for i in spaced]
-            ids = np.array(self._ids(["".join(chunks)])[0], dtype=self._dtype)
-            ends, at = np.cumsum([len(c.encode()) for c in chunks]), np.cumsum(self._bytes[ids])
+        several = [bool(part.translate(None, _SINGLE)) for part in noted]
+        single, other = ([i for i, x in enumerate(several) if x is kind] for kind in (False, True))
+        for lo in range(0, len(single), _NEW_PARTS):
+            numbers = single[lo : lo + _NEW_PARTS]
+            lines = [noted[i] for i in numbers]
+            text = b"\n".join(lines).decode()
+            ids = np.array(self._lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self._dtype)
+            ends, at = np.cumsum(list(map(len, lines))), np.cumsum(self._bytes[ids])
             cuts = np.searchsorted(at, ends)
-            if not np.array_equal(at[cuts], ends):
-                raise ValueError("pieces cross chunks")
-            self._store(first + np.array(spaced), ids, np.diff(cuts, prepend=-1))
-        inside = set(spaced)
-        other = [i for i in range(len(noted)) if i not in inside]
-        if other:
-            found = self._ids([noted[i] for i in other])
-            self._store(first + np.array(other), [t for ids in found for t in ids], np.array([len(ids) for ids in found]))
-        noted.clear()
-        self._heads.first = self._rest.first = self._chunks
+            if len(at) == 0 or at[-1] != ends[-1] or not np.array_equal(at[cuts], ends):
+                raise ValueError("pieces cross parts")
+            self._store(first + np.array(numbers), ids, np.diff(cuts, prepend=-1))
+        for lo in range(0, len(other), _NEW_PARTS):
+            numbers = other[lo : lo + _NEW_PARTS]
+            found = self._ids([noted[i].decode() for i in numbers])
+            self._store(first + np.array(numbers), list(chain.from_iterable(found)), np.array(list(map(len, found))))
+
+    def _joined(self, texts: list[bytes]):
+        """(ids of texts that can be cut, how many each has)."""
+        import numpy as np
+        import pyarrow as pa
+
+        raw = b"".join(texts)
+        if not raw:
+            return np.zeros(0, dtype=self._dtype), np.zeros(len(texts), dtype=np.int64)
+        bounds = np.cumsum([0, *map(len, texts)])
+        starts = _cut_places(raw, bounds)
+        offsets = pa.py_buffer(starts.astype("<i4"))
+        parts = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self._parts.__getitem__, distinct), np.int64, len(distinct))
+        self._learn()
+        sizes = self._sizes[numbers]
+        ends = np.cumsum(sizes)
+        ids = self._flat[np.repeat(self._starts[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
+        # The ids of each distinct part, as bytes, are laid out by the parts of the texts.
+        width = ids.itemsize
+        each = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], ends]) * width), pa.py_buffer(ids)])
+        laid = each.take(parts.indices)
+        upto = np.frombuffer(laid.buffers()[1], dtype="<i8", count=len(laid) + 1) // width
+        ids = np.frombuffer(laid.buffers()[2], dtype=self._dtype, count=int(upto[-1]))
+        return ids, np.diff(upto[np.searchsorted(starts, bounds)])
 
     def encode(self, texts: list[str]):
         """(ids of all texts in order, how many each text has)."""
         import numpy as np
 
         parts_ids, parts_sizes = [np.zeros(0, dtype=self._dtype)], [np.zeros(0, dtype=np.int64)]
-        for lo in range(0, len(texts), _TEXTS):
-            if self._chunks > _KNOWN_CHUNKS or self._chars > _KNOWN_CHARS:
+        upto = np.cumsum([len(t) for t in texts])
+        lo = 0
+        while lo < len(texts):
+            if len(self._parts) > _KNOWN_PARTS or self._held > _KNOWN_BYTES:
                 self._forget()
-            own = texts[lo : lo + _TEXTS]
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - len(texts[lo]) + _TEXT_CHARS, side="right")))
+            own, lo = texts[lo:hi], hi
             whole = [i for i, t in enumerate(own) if not self._cuts or _unsure(t) or any(a in t for a in self._added)]
             strange = dict(zip(whole, self._ids([own[i] for i in whole])))
-            split = [t.split(" ") for i, t in enumerate(own) if i not in strange]
-            counts = np.array([len(x) for x in split], dtype=np.int64)
-            at = np.cumsum(counts) - counts
-            index = np.empty(int(counts.sum()), dtype=np.int64)
-            index[at] = [self._heads[x[0]] for x in split]
-            rest = np.ones(len(index), dtype=bool)
-            rest[at] = False
-            get = self._rest.__getitem__
-            index[rest] = np.fromiter(chain.from_iterable(map(get, x[1:]) for x in split), np.int64, len(index) - len(split))
-            self._learn()
-            sizes = self._sizes[index]
-            place = np.cumsum(sizes) - sizes
-            ids = self._flat[np.repeat(self._starts[index] - place, sizes) + np.arange(int(sizes.sum()))]
-            per_text = np.add.reduceat(sizes, at) if len(at) else np.zeros(0, dtype=np.int64)
+            ids, per_text = self._joined([t.encode() for i, t in enumerate(own) if i not in strange])
             if strange:
                 ends, plain, mixed, lengths = np.cumsum(per_text), 0, [], []
                 for i in range(len(own)):
@@ -237,7 +293,7 @@ def token_table(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, en
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names
             )
 
-    return picked.mapInArrow(run, "id bigint, n bigint, ids binary, counts binary")
+    return picked.mapInArrow(tidy(run), "id bigint, n bigint, ids binary, counts binary")
 
 
 def _values(column):

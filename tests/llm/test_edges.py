@@ -359,6 +359,48 @@ def test_word_encoder_takes_any_text():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_cuts():
+    """No pre-token goes on over a cut, in any text: parts encoded one by one give the ids of the whole."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, t = tokens.WordEncoder(path, "<u2"), Tokenizer.from_file(path)
+    rng = random.Random(5)
+    odd = ["a", "B", "the", "7", "42", ".", ",", "_", "-", "'", "'s", "'ll", "\"", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x7f", "\x85", "\xa0", "\xad", "²", "é", "ß", "×", "÷", "ė", "ķ", "Ɏ", "ɐ", "e\u0301", "’", "€", "\u3000", "日本", "😀"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(1, 12))) for _ in range(4_000)] + ["It's 3 o'clock, don't\nwait... 'tis 'so'", "a\n", "\na", "3×4÷2"]
+    raw = [x.encode() for x in texts]
+    bounds = np.cumsum([0, *map(len, raw)])
+    starts = tokens._cut_places(b"".join(raw), bounds).tolist()
+    parts = [b"".join(raw)[a:b].decode() for a, b in zip(starts, starts[1:])]
+    found = np.concatenate([e.ids for e in t.encode_batch(parts, add_special_tokens=False)])
+    expected = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert len(parts) > 2 * len(texts) and found.tolist() == [i for ids in expected for i in ids]
+    for _ in range(2):  # once with new parts, once with known ones
+        ids, sizes = encoder.encode(texts)
+        assert ids.tolist() == found.tolist() and sizes.tolist() == list(map(len, expected))
+
+
+def test_tokens_know_words_beside_any_sign(monkeypatch):
+    """A word is encoded once, whatever signs and breaks stand around it; a memory that is full begins anew."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghiklmnoprstuvé", k=rng.randint(4, 14))) for _ in range(3000)]
+    texts = [" ".join(f"{rng.choice('([{<#*')}{w}{rng.choice('.,;:!?)]}%$')}{rng.randrange(10)}" for w in rng.sample(words, 300)) for _ in range(300)]
+    encoder, t = tokens.WordEncoder(path, "<u2"), Tokenizer.from_file(path)
+    began = time.process_time()
+    expected = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    middle = time.process_time()
+    ids, sizes = encoder.encode(texts)
+    assert time.process_time() - middle < (middle - began) / 2
+    assert ids.tolist() == [i for e in expected for i in e] and sizes.tolist() == list(map(len, expected))
+    monkeypatch.setattr(tokens, "_KNOWN_PARTS", 100)
+    monkeypatch.setattr(tokens, "_TEXT_CHARS", 10_000)
+    again, sizes = tokens.WordEncoder(path, "<u2").encode([*texts, "", "x" * 20_000])
+    assert again[: len(ids)].tolist() == ids.tolist() and sizes.tolist()[:-2] == list(map(len, expected)) and sizes[-2] == 0
+
+
 def test_urls_edges(spark):
     cases = [
         (1, None), (2, "no scheme"), (3, "http://EXAMPLE.org"), (4, "http://example.org/en/1x?y#z"), (5, "https://a.b.Example.ORG/es/"),
